@@ -1,11 +1,12 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from leafmill.llm import decontamination, mixing, quality_rules, token_counts, token_output
+from leafmill.llm import decontamination, mixing, near_dedup, quality_rules, token_counts, token_output
 
 QUERIES = {
     "op1_token_output": token_output.query,
     "op2_token_counts": token_counts.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_near_dedup": near_dedup.query,
     "op7_decontamination": decontamination.query,
     "op9_mixing": mixing.query,
 }
