@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import decontamination, mixing, quality_rules, token_output
+from leafmill.llm import decontamination, mixing, near_dedup, quality_rules, token_output
 from leafmill.llm.common import materialize, table
 
 STAGES = [
     ("quality rules", lambda spark, docs, sf_dir: quality_rules.keep(docs)),
+    ("near-duplicates", lambda spark, docs, sf_dir: near_dedup.keep(docs)),
     ("benchmark decontamination", lambda spark, docs, sf_dir: decontamination.keep(docs, table(spark, sf_dir, "benchmark"))),
     ("mixing sources", lambda spark, docs, sf_dir: mixing.mix(docs)),
     ("token output", lambda spark, docs, sf_dir: token_output.read_blocks(token_output.write_blocks(docs))),
