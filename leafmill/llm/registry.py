@@ -1,6 +1,6 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from leafmill.llm import decontamination, mixing, near_dedup, quality_rules, token_counts, token_output
+from leafmill.llm import decontamination, katz, mixing, near_dedup, quality_rules, token_counts, token_output
 
 QUERIES = {
     "op1_token_output": token_output.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_near_dedup": near_dedup.query,
     "op7_decontamination": decontamination.query,
     "op9_mixing": mixing.query,
+    "op10_katz_scores": katz.query,
 }
 
 ORACLES = {
