@@ -1,4 +1,399 @@
 """The library and news queries by name, and the SQL of those that SQL can express."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.functions import language, text
+from leafmill.operators import chat, chunking, jobs, library, markdown, model_output, news, search
+from leafmill.plans import views as v
+from leafmill.streaming import jobs as streams
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+NOW = "2024-03-20T00:00:00Z"
+
+
+def query(sql: str | None = None, with_views: bool = True):
+    """Registers a function under its own name; sql sees the views."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = (v.SQL + sql if with_views else sql).strip()
+        return f
+
+    return add
+
+
+PROGRESS = "SELECT book_id, count(*) AS total, count(*) FILTER (summary_status = 'ready') AS ready FROM segments GROUP BY book_id"
+
+
+@query(f"SELECT b.book_id, b.title, b.status, p.total, p.ready, CASE WHEN p.total > 0 AND p.ready >= p.total THEN 'summarized' WHEN b.status = 'processing' THEN 'running' ELSE 'idle' END AS state FROM books b JOIN ({PROGRESS}) p ON b.book_id = p.book_id")
+def library_progress(spark: SparkSession, d: str) -> DataFrame:
+    b = library.with_progress(v.books(spark, d), v.segments(spark, d))
+    state = library.state(F.col("total"), F.col("ready"), F.col("status") == "processing", F.lit(False), F.lit(False))
+    return b.select("book_id", "title", "status", "total", "ready", state.alias("state"))
+
+
+@query(f", s AS (SELECT CASE WHEN p.ready >= p.total THEN 'summarized' WHEN b.status = 'reading' THEN 'running' WHEN b.status = 'error' THEN 'paused' ELSE 'idle' END AS state FROM books b JOIN ({PROGRESS}) p ON b.book_id = p.book_id WHERE b.status <> 'processing') SELECT k.state, count(s.state) AS n FROM (VALUES ('running'), ('queued'), ('paused'), ('idle'), ('summarized')) k(state) LEFT JOIN s ON k.state = s.state GROUP BY k.state")
+def library_state_histogram(spark, d):
+    b = library.with_progress(v.books(spark, d), v.segments(spark, d))
+    state = library.state(F.col("total"), F.col("ready"), F.col("status") == "reading", F.col("status") == "error", F.lit(False))
+    return library.state_histogram(b.select("status", state.alias("state")))
+
+
+def _listing(sort: str, order: str):
+    @query(f"SELECT book_id, title, CAST(row_number() OVER (ORDER BY {order}, book_id) AS INTEGER) AS place FROM books")
+    def listing(spark, d):
+        return library.listed(v.books(spark, d), sort=sort).select("book_id", "title", "place")
+
+    QUERIES[f"library_sort_{sort}"], ORACLES[f"library_sort_{sort}"] = QUERIES.pop("listing"), ORACLES.pop("listing")
+
+
+RECENT = "last_opened_at DESC NULLS LAST, updated_at DESC NULLS LAST"
+for _sort, _order in (("recent", RECENT), ("added", "created_at DESC NULLS LAST"), ("title", "lower(title)"), ("favorite", "is_favorite DESC, " + RECENT)):
+    _listing(_sort, _order)
+
+
+@query(f"SELECT book_id, status, CAST(row_number() OVER (ORDER BY CASE status WHEN 'reading' THEN 0 WHEN 'unread' THEN 1 ELSE 2 END, {RECENT}, book_id) AS INTEGER) AS place FROM books")
+def library_activity_first(spark, d):
+    rank = F.when(F.col("status") == "reading", "running").when(F.col("status") == "unread", "queued")
+    return library.listed(v.books(spark, d), first=library.activity_rank(F.coalesce(rank, F.lit("rest")))).select("book_id", "status", "place")
+
+
+@query("SELECT book_id, category FROM books WHERE category = '科技'")
+def library_by_category(spark, d):
+    return library.filtered(v.books(spark, d), "科技").select("book_id", "category")
+
+
+@query("SELECT segment_id, book_id, idx, label, anchor_label, char_count, summary_status FROM segments")
+def segments_slim(spark, d):
+    return library.segment_list(v.segments(spark, d))
+
+
+@query("SELECT segment_id, book_id, idx, label, raw_text FROM segments WHERE idx = 3")
+def segment_by_number(spark, d):
+    return library.segment_list(v.segments(spark, d), "export").filter("idx = 3")
+
+
+@query("SELECT segment_id, book_id, idx, summary_status FROM segments WHERE summary_status IN ('pending', 'failed', 'error')")
+def segments_to_do(spark, d):
+    return library.segment_list(v.segments(spark, d), "meta").filter(F.col("summary_status").isin("pending", "failed", "error"))
+
+
+@query("SELECT book_id, 'summarized' AS status FROM segments WHERE summary_status <> 'pending' OR idx % 2 = 0 GROUP BY book_id HAVING bool_and(summary_status = 'ready')")
+def books_all_ready(spark, d):
+    return library.all_ready(v.segments(spark, d).filter("summary_status <> 'pending' OR idx % 2 = 0"))
+
+
+@query("SELECT n.note_id, n.segment_id, s.book_id, b.title AS book_title, coalesce(nullif(s.label, ''), s.anchor_label, '段 ' || (s.idx + 1)) AS segment_label, n.content, n.created_at FROM notes n JOIN segments s ON n.segment_id = s.segment_id JOIN books b ON s.book_id = b.book_id")
+def notes_enriched(spark, d):
+    return library.notes_enriched(v.notes(spark, d), v.segments(spark, d), v.books(spark, d))
+
+
+@query("SELECT n.* FROM notes n WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.segment_id = n.segment_id AND s.summary_status = 'ready')")
+def notes_without_segment(spark, d):
+    return library.orphans(v.notes(spark, d), v.segments(spark, d).filter("summary_status = 'ready'"))
+
+
+@query("SELECT segment_id, book_id FROM segments WHERE book_id NOT IN (SELECT book_id FROM books WHERE status = 'error')")
+def segments_after_cascade(spark, d):
+    return library.cascade(v.segments(spark, d).select("segment_id", "book_id"), v.books(spark, d).filter("status = 'error'"), "book_id")
+
+
+@query("SELECT doc_id, sha256(text) AS file_hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS original, doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) AS is_new FROM documents", with_views=False)
+def import_by_content(spark, d):
+    return library.first_of_each_hash(v.table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", "file_hash", "original", "is_new")
+
+
+@query(""", o AS (SELECT article_id, source_id, url, title FROM articles WHERE page_id % 2 = 0), n AS (
+  SELECT article_id, source_id || '/new' AS source_id, url, title || ' v2' AS title FROM articles WHERE page_id % 3 = 0)
+SELECT coalesce(o.article_id, n.article_id) AS article_id, coalesce(n.title, o.title) AS title, coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.url, n.url) AS url, o.article_id IS NULL AS is_new
+FROM (SELECT DISTINCT * FROM (SELECT article_id, first_value(title) OVER w AS title, first_value(source_id) OVER w AS source_id, first_value(url) OVER w AS url FROM articles WHERE page_id % 2 = 0 WINDOW w AS (PARTITION BY article_id ORDER BY page_id))) o
+FULL JOIN (SELECT DISTINCT * FROM (SELECT article_id, first_value(title || ' v2') OVER (PARTITION BY article_id ORDER BY page_id DESC) AS title, first_value(source_id || '/new') OVER (PARTITION BY article_id ORDER BY page_id) AS source_id, first_value(url) OVER (PARTITION BY article_id ORDER BY page_id) AS url FROM articles WHERE page_id % 3 = 0)) n ON o.article_id = n.article_id""")
+def articles_upserted(spark, d):
+    a = v.articles(spark, d)
+    old = a.filter("page_id % 2 = 0").groupBy("article_id").agg(F.min_by(F.struct("title", "source_id", "url"), "page_id").alias("x")).select("article_id", "x.*")
+    new = a.filter("page_id % 3 = 0").select("article_id", F.concat("title", F.lit(" v2")).alias("title"), F.concat("source_id", F.lit("/new")).alias("source_id"), "url", F.col("page_id").alias("seq"))
+    return library.upsert(old, new, "article_id", ["title"], ["source_id", "url"])
+
+
+@query(", p AS (SELECT url, coalesce(title, 'New') AS title FROM sources WHERE length(source_id) % 2 = 0) SELECT p.url, p.title, CASE WHEN s.url IS NULL THEN 'insert' WHEN p.title IS DISTINCT FROM s.title THEN 'update' ELSE 'keep' END AS action FROM p LEFT JOIN (SELECT * FROM sources WHERE length(url) % 4 <> 0) s ON p.url = s.url")
+def presets_reconciled(spark, d):
+    s = v.sources(spark, d)
+    presets = s.filter("length(source_id) % 2 = 0").select("url", F.coalesce("title", F.lit("New")).alias("title"))
+    return library.reconcile(presets, s.filter("length(url) % 4 <> 0").select("url", "title"))
+
+
+@query("SELECT n.book_id, n.title, CAST(row_number() OVER (ORDER BY o.pos ASC NULLS LAST, n.pos, n.book_id) AS INTEGER) AS place FROM (SELECT *, row_number() OVER (ORDER BY title DESC, book_id) AS pos FROM books WHERE status <> 'error') n LEFT JOIN (SELECT book_id, row_number() OVER (ORDER BY book_id) AS pos FROM books WHERE is_favorite) o ON n.book_id = o.book_id")
+def books_merged_in_order(spark, d):
+    from pyspark.sql import Window
+
+    b = v.books(spark, d).select("book_id", "title", "status", "is_favorite")
+    new = b.filter("status <> 'error'").select("book_id", "title", F.row_number().over(Window.orderBy(F.desc("title"), "book_id")).alias("pos"))
+    old = b.filter("is_favorite").select("book_id", F.row_number().over(Window.orderBy("book_id")).alias("pos"))
+    return library.merge_in_order(old, new, "book_id")
+
+
+@query(", b AS (SELECT source_id, upper(source_id) AS title, url FROM sources WHERE length(source_id) % 2 = 0) SELECT coalesce(b.source_id, o.source_id) AS source_id, coalesce(nullif(trim(o.title), ''), b.title) AS title, coalesce(nullif(trim(o.url), ''), b.url) AS url FROM b FULL JOIN (SELECT source_id, CASE WHEN length(source_id) % 3 = 0 THEN ' ' ELSE 'own' END AS title, NULL AS url FROM sources WHERE length(source_id) % 5 <> 0) o ON b.source_id = o.source_id")
+def settings_overlaid(spark, d):
+    s = v.sources(spark, d)
+    base = s.filter("length(source_id) % 2 = 0").select("source_id", F.upper("source_id").alias("title"), "url")
+    own = s.filter("length(source_id) % 5 <> 0").select("source_id", F.when(F.length("source_id") % 3 == 0, " ").otherwise("own").alias("title"), F.lit(None).cast("string").alias("url"))
+    return library.overlay(base, own, "source_id", ["title", "url"])
+
+
+@query("SELECT segment_id, CASE WHEN segment_id % 4 = 0 OR char_count IS NULL OR char_count = 0 THEN length(raw_text) ELSE char_count END AS char_count FROM segments")
+def char_counts_filled(spark, d):
+    s = v.segments(spark, d).withColumn("char_count", F.when(F.col("segment_id") % 4 != 0, F.col("char_count")))
+    return library.fill_char_counts(s).select("segment_id", "char_count")
+
+
+@query("SELECT s.segment_id, CASE WHEN s.segment_id % 5 = 0 AND s.segment_id % 10 <> 0 THEN 'new' ELSE s.anchor_label END AS anchor_label, CASE WHEN s.segment_id % 5 = 0 THEN 'ready' ELSE s.summary_status END AS summary_status FROM segments s")
+def summaries_updated(spark, d):
+    s = v.segments(spark, d).select("segment_id", "anchor_label", "summary_status")
+    new = s.filter("segment_id % 5 = 0").select("segment_id", F.lit("ready").alias("new_status"), F.when(F.col("segment_id") % 10 != 0, "new").alias("new_anchor"))
+    return library.update_summary(s, new)
+
+
+@query("SELECT book_id, CASE WHEN is_favorite AND status = 'unread' THEN 'reading' ELSE status END AS status, CASE WHEN is_favorite THEN '2024-02-01T00:00:00Z' ELSE last_opened_at END AS last_opened_at FROM books")
+def books_opened(spark, d):
+    b = v.books(spark, d)
+    return library.opened(b, b.filter("is_favorite"), "2024-02-01T00:00:00Z").select("book_id", "status", "last_opened_at")
+
+
+@query("SELECT s.book_id, s.segment_id, s.idx, c.above, c.below FROM segments s JOIN (SELECT book_id, count(*) FILTER (idx < 5) AS above, count(*) FILTER (idx > 15) AS below FROM segments GROUP BY book_id) c ON s.book_id = c.book_id WHERE s.idx BETWEEN 5 AND 15")
+def reading_window(spark, d):
+    return library.window_around(v.segments(spark, d), 10, 5)
+
+
+@query("SELECT b.book_id, '# ' || b.title || chr(10) || chr(10) || string_agg('## ' || coalesce(nullif(s.label, ''), '段 ' || (s.idx + 1)) || chr(10) || chr(10) || s.raw_text, chr(10) || chr(10) ORDER BY s.idx) AS markdown FROM books b JOIN segments s ON b.book_id = s.book_id GROUP BY b.book_id, b.title")
+def export_markdown(spark, d):
+    return library.export_markdown(v.segments(spark, d), v.books(spark, d))
+
+
+@query("SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS back FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6", with_views=False)
+def chat_last_messages(spark, d):
+    return chat.last_messages(v.table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "back")
+
+
+@query("SELECT conv_id % 10 AS book, max(conv_id) AS conv_id FROM conversations WHERE turn = 0 GROUP BY 1", with_views=False)
+def chat_latest_session(spark, d):
+    s = v.table(spark, d, "conversations").filter("turn = 0").select((F.col("conv_id") % 10).alias("book"), "conv_id", "turn")
+    return chat.latest_session(s, "book", "conv_id", "turn")
+
+
+@query("SELECT book_id, 7 AS current, segment_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY abs(idx - 7), idx) AS place FROM segments) WHERE place <= 3 AND idx <> 7")
+def context_neighbours(spark, d):
+    return chat.neighbours(v.segments(spark, d), v.books(spark, d).select("book_id", F.lit(7).alias("current")))
+
+
+@query(", n AS (SELECT *, coalesce(nullif(label, ''), anchor_label, '段 ' || (idx + 1)) AS name, row_number() OVER (PARTITION BY book_id ORDER BY abs(idx - 7), idx) AS place FROM segments) SELECT b.book_id, b.title || chr(10) || chr(10) || '段数 ' || count(*) || chr(10) || chr(10) || string_agg(n.idx || ' ' || n.name, chr(10) ORDER BY n.idx) FILTER (n.idx < 50) || chr(10) || chr(10) || max(CASE WHEN n.idx = 7 THEN substr(n.raw_text, 1, 3000) END) || chr(10) || chr(10) || string_agg(substr(n.raw_text, 1, 400), chr(10) || chr(10) ORDER BY n.idx) FILTER (n.place <= 3 AND n.idx <> 7) AS context FROM books b JOIN n ON b.book_id = n.book_id GROUP BY b.book_id, b.title")
+def context_assembled(spark, d):
+    b = v.books(spark, d)
+    return chat.context(b, v.segments(spark, d), b.select("book_id", F.lit(7).alias("current")))
+
+
+@query("SELECT event_id AS call_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN user_id + 100 END, user_id + user_id % 50) AS total_tokens, round_even((user_id % 50) / CAST(greatest(event_id % 5000, 1) AS DOUBLE) * 1000, 1) AS tokens_per_s FROM events", with_views=False)
+def model_usage(spark, d):
+    e = v.table(spark, d, "events")
+    calls = e.select(F.col("event_id").alias("call_id"), F.col("user_id").alias("prompt_tokens"), (F.col("user_id") % 50).alias("completion_tokens"), F.when(F.col("event_id") % 3 != 0, F.col("user_id") + 100).alias("total_tokens"), (F.col("event_id") % 5000).alias("duration_ms"))
+    return chat.usage(calls)
+
+
+BM25 = ", rows AS (SELECT s.segment_id, s.book_id, s.idx, b.title || ' · 段 ' || (s.idx + 1) AS title, s.label || chr(10) || substr(s.raw_text, 1, 4000) AS body FROM segments s JOIN books b ON s.book_id = b.book_id), c AS (SELECT *, greatest(length(title) - 2, 0) + greatest(length(body) - 2, 0) AS len, lower(title || chr(10) || body) AS x FROM rows), f AS (SELECT *, (length(x) - length(replace(x, 'thing', ''))) / 5 AS f0, (length(x) - length(replace(x, 'anthe', ''))) / 5 AS f1 FROM c), t AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM f)"
+BM25 += ", i AS (SELECT *, ln((n - n0 + 0.5) / (n0 + 0.5)) AS l0, ln((n - n1 + 0.5) / (n1 + 0.5)) AS l1 FROM t), r AS (SELECT segment_id, book_id, idx, title, round(-(CASE WHEN l0 <= 0 THEN 1e-6 ELSE l0 END) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / mean)) - (CASE WHEN l1 <= 0 THEN 1e-6 ELSE l1 END) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / mean)), 9) AS rank FROM f, i WHERE f0 > 0 AND f1 > 0)"
+
+
+@query(BM25 + " SELECT * FROM r")
+def search_scores(spark, d):
+    hits = search.bm25(search.index(v.segments(spark, d), v.books(spark, d)), "thing anthe")
+    return hits.select("segment_id", "book_id", "idx", "title", F.round("rank", 9).alias("rank"))
+
+
+@query(BM25 + " SELECT segment_id, title FROM r ORDER BY rank, segment_id LIMIT 30")
+def search_top(spark, d):
+    return search.search(search.index(v.segments(spark, d), v.books(spark, d)), "thing an anthe").select("segment_id", "title")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'academic' WHEN event_type = 'click' THEN 'code' WHEN event_type = 'error' THEN 'books' ELSE 'general' END AS domain, event_type <> 'click' AND event_id % 2 = 0 AS enough FROM events", with_views=False)
+def question_routing(spark, d):
+    q = F.when(F.col("event_type") == "view", "a Paper on it").when(F.col("event_type") == "click", "who is the github repo author").when(F.col("event_type") == "error", "which ISBN").otherwise("tell me")
+    context = F.when(F.col("event_id") % 2 == 0, F.repeat(F.lit("x"), 300)).otherwise("")
+    return v.table(spark, d, "events").select("event_id", search.domain(q).alias("domain"), search.evidence_is_enough(q, context).alias("enough"))
+
+
+@query("SELECT conv_id, turn, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2", with_views=False)
+def web_results_top(spark, d):
+    c = v.table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), F.col("role").alias("url"), "text")
+    return search.top_results(c, 2).select(F.col("query_id").alias("conv_id"), F.col("pos").alias("turn"), "text", "place")
+
+
+@query(""", p AS (SELECT * FROM articles ORDER BY synced_at DESC, article_id LIMIT 150), a AS (SELECT *, (epoch(TIMESTAMP '2024-03-20 00:00:00') - epoch(CAST(replace(replace(coalesce(published_at, synced_at), 'T', ' '), 'Z', '') AS TIMESTAMP))) / 3600 AS h FROM p),
+s AS (SELECT *, (CASE WHEN h <= 24 THEN 3.0 WHEN h <= 72 THEN 1.5 WHEN h <= 168 THEN 0.5 ELSE 0.0 END)::DOUBLE + coalesce(score_hint / 50, 0) AS score FROM a),
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, coalesce(published_at, '') DESC, title DESC, article_id) AS INTEGER) AS place FROM s)
+SELECT r.article_id, r.title, r.score, r.place, coalesce(o.title, o.url) AS source_title FROM r LEFT JOIN sources o ON r.source_id = o.source_id WHERE place <= 25""")
+def news_brief(spark, d):
+    return news.brief(v.articles(spark, d), v.sources(spark, d), NOW).select("article_id", "title", "score", "place", "source_title")
+
+
+@query(", c AS (SELECT article_id, page_id AS attempt, 500 + page_id * 37 % 400 AS n, page_id % 4 = 0 AS good FROM articles) SELECT segment_id AS article_id, segment_id AS attempt, 'direct' AS strategy, CAST(length(trim(raw_text)) AS INTEGER) AS chars, length(trim(raw_text)) >= greatest(500, floor(char_count * 3 / 10)) AS good FROM segments WHERE false UNION ALL SELECT book, arg_min(idx, o), arg_min(CASE WHEN idx % 2 = 0 THEN 'direct' ELSE 'proxy' END, o), CAST(arg_min(n, o) AS INTEGER), arg_min(good, o) FROM (SELECT segment_id // 4 AS book, segment_id % 4 AS idx, length(regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')) AS n, length(regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')) >= 900 AS good, CASE WHEN length(regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')) >= 900 THEN segment_id % 4 ELSE 1000000000 - length(regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')) * 10 + segment_id % 4 END AS o FROM segments) GROUP BY book")
+def article_bodies_chosen(spark, d):
+    i = F.col("segment_id")
+    c = v.segments(spark, d).select(F.floor(i / 4).alias("article_id"), (i % 4).alias("attempt"), F.when(i % 2 == 0, "direct").otherwise("proxy").alias("strategy"), F.col("raw_text").alias("text"), F.lit(3000).alias("expected_words"))
+    return news.choose_body(c)
+
+
+TEXT = r"replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', '', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(?:p|h[1-6])>', chr(10) || chr(10), 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&amp;', '&')"
+
+
+@query(rf"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({TEXT}, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages", with_views=False)
+def pages_to_text(spark, d):
+    return v.table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+
+
+@query(r", x AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM pages) SELECT page_id, CASE WHEN length(t) <= 220 THEN t ELSE rtrim(substr(t, 1, 219)) || '…' END AS excerpt FROM x")
+def page_excerpts(spark, d):
+    return v.table(spark, d, "pages").select("page_id", text.cut(text.strip_html(F.col("html")), 220).alias("excerpt"))
+
+
+@query(r"SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS address, lower(regexp_extract(url, '://([^/?#]*)', 1)) LIKE '%.example.com' AS same_site FROM pages", with_views=False)
+def page_addresses(spark, d):
+    h = text.host(F.col("url"))
+    return v.table(spark, d, "pages").select("page_id", h.alias("host"), text.address_key(F.col("url")).alias("address"), text.same_site(h, F.lit("example.com")).alias("same_site"))
+
+
+@query(r", c AS (SELECT doc_id, lang, substr(text, 1, 4000) AS s FROM documents), n AS (SELECT doc_id, lang, s, len(regexp_extract_all(s, '[A-Za-z]')) AS latin, len(regexp_extract_all(s, '\p{L}')) AS letters FROM c) SELECT doc_id, CASE WHEN latin + letters < 20 THEN NULL WHEN latin * 2 >= latin + letters THEN 'en' WHEN latin > 0 THEN 'en' END AS inferred, coalesce(lang <> 'en', false) AS needs FROM n")
+def languages_inferred(spark, d):
+    docs = v.table(spark, d, "documents")
+    return docs.select("doc_id", language.infer(F.col("text")).alias("inferred"), language.needs_translation(F.concat("lang", F.lit("-XX")), F.lit("en_US"), F.col("text")).alias("needs"))
+
+
+def _cards(docs: DataFrame) -> DataFrame:
+    """Documents as Markdown: each line a point, every seventh a heading."""
+    head = F.when(F.col("doc_id") % 3 == 0, "## 结构化要点").when(F.col("doc_id") % 3 == 1, "## 你可以接着问").otherwise("## Other")
+    body = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 3, F.concat(F.lit("## H"), i.cast("string"))).when(i % 2 == 0, F.concat(F.lit("- "), x)).otherwise(F.concat(F.lit("- p.3 "), x)))
+    return docs.select("doc_id", F.concat(F.lit("intro\n"), head, F.lit("\n"), F.array_join(body, "\n")).alias("md"))
+
+
+CARDS = ", m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '## 结构化要点' WHEN 1 THEN '## 你可以接着问' ELSE '## Other' END AS head, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, 0 AS pos, 'intro' AS line FROM m UNION ALL SELECT doc_id, 1, head FROM m UNION ALL SELECT doc_id, i + 2, CASE WHEN i % 7 = 3 THEN '## H' || i WHEN i % 2 = 0 THEN '- ' || ls[i + 1] ELSE '- p.3 ' || ls[i + 1] END FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM m)), g AS (SELECT *, sum(CASE WHEN line LIKE '## %' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l)"
+
+
+@query(CARDS + " SELECT doc_id, CAST(section AS BIGINT) AS section, arg_min(line, pos) AS heading, string_agg(line, chr(10) ORDER BY pos) AS text FROM g WHERE section > 0 GROUP BY doc_id, section")
+def markdown_sections(spark, d):
+    return markdown.sections(_cards(v.table(spark, d, "documents")), "doc_id", "md")
+
+
+@query(CARDS + " SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN fixed THEN rtrim(line) || ' 〔未定位到页/节〕' ELSE line END AS line, fixed FROM (SELECT *, head = '## 结构化要点' AND line LIKE '- %' AND NOT regexp_matches(line, '(?i)〔[^〕]+〕|\\[p\\.\\d+\\]|〔?§[^\\s，,;；|〕\\]]+|Sheet\\s*[:：]?\\s*\\S+|p\\.\\d+') AS fixed FROM (SELECT g.*, first_value(line) OVER (PARTITION BY doc_id, section ORDER BY pos) AS head FROM g))")
+def citations_repaired(spark, d):
+    return markdown.cited(markdown.lines_of(_cards(v.table(spark, d, "documents")), "doc_id", "md"), "doc_id")
+
+
+@query(CARDS + " SELECT doc_id, CAST(pos AS INTEGER) AS pos, line FROM (SELECT g.*, first_value(line) OVER (PARTITION BY doc_id, section ORDER BY pos) AS head FROM g) WHERE head <> '## 你可以接着问'")
+def asks_dropped(spark, d):
+    return markdown.without_asks(markdown.lines_of(_cards(v.table(spark, d, "documents")), "doc_id", "md"), "doc_id")
+
+
+@query()
+def heuristic_summaries(spark, d):
+    return markdown.heuristic_summary(_cards(v.table(spark, d, "documents")), "doc_id", "md")
+
+
+@query(r"SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS chars, true AS lossless, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 12000 AS cut FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0", with_views=False)
+def chunks_cover_texts(spark, d):
+    c = chunking.coverage(chunking.chunk(v.table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return c.select("doc_id", "chars", "lossless", (F.col("n_segments") > 1).alias("cut"))
+
+
+@query()
+def chunk_segments(spark, d):
+    s = chunking.chunk(v.table(spark, d, "documents"), "doc_id", "text")
+    return s.select("doc_id", "idx", "start_offset", "end_offset", chunking.anchor(F.col("chapter"), F.col("idx"), F.col("page_range")).alias("anchor"))
+
+
+@query("SELECT user_id, arg_max(CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'queued' END, epoch_us(ts) * 100000000::HUGEINT + event_id) AS status, count(*) FILTER (event_type = 'error') AS errors, count(*) AS n_events FROM events GROUP BY user_id", with_views=False)
+def job_states(spark, d):
+    return streams.batch_states(v.table(spark, d, "events")).select("user_id", "status", "errors", "n_events")
+
+
+@query("SELECT k.status, count(e.status) AS n FROM (VALUES ('queued'), ('running'), ('paused'), ('completed'), ('failed'), ('cancelled')) k(status) LEFT JOIN (SELECT CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM events) e ON k.status = e.status GROUP BY k.status", with_views=False)
+def task_counts(spark, d):
+    return jobs.status_counts(streams.statuses(v.table(spark, d, "events")))
+
+
+@query("SELECT event_id AS task_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM events ORDER BY CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 3 WHEN 'error' THEN 3 ELSE 0 END, ts, event_id LIMIT 100", with_views=False)
+def task_snapshot(spark, d):
+    t = streams.statuses(v.table(spark, d, "events")).select(F.col("event_id").alias("task_id"), "status", F.col("ts").alias("started_at"))
+    return jobs.snapshot(t).select("task_id", "status")
+
+
+@query("SELECT * FROM (SELECT user_id, event_type AS kind, CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'click' THEN 1000 + event_id % 97 ELSE event_id % 97 + 1 END AS priority, event_id AS seq FROM events) QUALIFY row_number() OVER (PARTITION BY user_id, kind ORDER BY priority, seq) = 1", with_views=False)
+def job_queue(spark, d):
+    i = F.col("event_id") % 97
+    kind = F.when(F.col("event_type") == "click", "translate").otherwise("summarize")
+    j = v.table(spark, d, "events").select("user_id", F.col("event_type").alias("kind"), jobs.priority(kind, i, F.col("event_type") == "error").alias("priority"), F.col("event_id").alias("seq"))
+    return jobs.deduplicated(j, ["user_id", "kind"])
+
+
+@query("SELECT event_type, CAST(max(running) AS BIGINT) AS peak FROM (SELECT event_type, sum(d) OVER (PARTITION BY event_type ORDER BY t, s ROWS UNBOUNDED PRECEDING) AS running FROM (SELECT event_type, t, s, sum(s) AS d FROM (SELECT event_type, epoch_us(ts) // 1000000 AS t, 1 AS s FROM events UNION ALL SELECT event_type, epoch_us(ts) // 1000000 + 3600 + user_id * 10, -1 FROM events) GROUP BY ALL)) GROUP BY event_type", with_views=False)
+def peak_concurrency(spark, d):
+    s = F.unix_seconds(F.col("ts").cast("timestamp"))
+    spans = v.table(spark, d, "events").select("event_type", s.alias("started"), (s + 3600 + F.col("user_id") * 10).alias("ended"))
+    return jobs.peak_concurrency(spans, "event_type")
+
+
+@query("SELECT coalesce(l.resource, r.resource) AS resource, coalesce(slots, 0) AS slots, coalesce(in_use, 0) AS in_use, greatest(0, coalesce(slots, 0) - coalesce(in_use, 0)) AS available FROM (SELECT 's' || s_nationkey AS resource, count(*) AS slots FROM supplier WHERE s_nationkey < 20 GROUP BY 1) l FULL JOIN (SELECT 's' || c_nationkey AS resource, count(*) // 10 AS in_use FROM customer WHERE c_nationkey > 3 GROUP BY 1) r ON l.resource = r.resource", with_views=False)
+def resource_slots(spark, d):
+    limits = v.table(spark, d, "supplier").filter("s_nationkey < 20").groupBy(F.concat(F.lit("s"), "s_nationkey").alias("resource")).agg(F.count(F.lit(1)).alias("slots"))
+    used = v.table(spark, d, "customer").filter("c_nationkey > 3").groupBy(F.concat(F.lit("s"), "c_nationkey").alias("resource")).agg(F.floor(F.count(F.lit(1)) / 10).alias("in_use"))
+    return jobs.slots(limits, used)
+
+
+@query("SELECT n.n_name AS profile, CAST(u.pos AS INTEGER) AS pos, u.resource, r.r_name FROM (SELECT n_name, [n_regionkey, 9, (n_regionkey + 1) % 5] AS ids FROM nation) n, LATERAL (SELECT unnest(n.ids) AS resource, unnest(range(3)) AS pos) u JOIN region r ON u.resource = r.r_regionkey", with_views=False)
+def resource_chain(spark, d):
+    k = F.col("n_regionkey")
+    order = v.table(spark, d, "nation").select(F.col("n_name").alias("profile"), F.array(k, F.lit(9), (k + 1) % 5).alias("ids"))
+    return jobs.chain(order, v.table(spark, d, "region").select(F.col("r_regionkey").alias("resource"), "r_name"))
+
+
+@query("SELECT c_custkey AS machine, c_custkey % 60 AS ram, CASE WHEN c_custkey % 60 >= 40 THEN 'r4' WHEN c_custkey % 60 >= 30 THEN 'r3' WHEN c_custkey % 60 >= 20 THEN 'r2' WHEN c_custkey % 60 >= 10 THEN 'r1' ELSE 'r0' END AS model FROM customer", with_views=False)
+def model_tiers(spark, d):
+    tiers = v.table(spark, d, "region").select((F.col("r_regionkey") * 10).cast("long").alias("min_ram"), F.concat(F.lit("r"), "r_regionkey").alias("model"))
+    return jobs.tier_for(v.table(spark, d, "customer").select(F.col("c_custkey").alias("machine"), (F.col("c_custkey") % 60).alias("ram")), tiers)
+
+
+def _outputs(docs: DataFrame) -> DataFrame:
+    """Model outputs made of documents: sound, fenced, with a comma too many, or plain prose."""
+    words = F.split(F.regexp_replace("text", r'["\\\s]+', " "), " ")
+    body = F.array_join(F.slice(words, 1, 12), " ")
+    bullets = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.lit('{"label": "b'), i, F.lit('", "body": "'), body, F.lit('"}')))
+    good = F.concat(F.lit('{"sentences": ["'), body, F.lit('"], "bullets": ['), F.array_join(bullets, ", "), F.lit('], "notes": [], "follow_ups": [], "label": "x"}'))
+    k = F.col("doc_id") % 4
+    raw = F.when(k == 0, good).when(k == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(k == 2, F.regexp_replace(good, r"\}$", ",}")).otherwise(F.concat(F.lit("Sorry: "), body))
+    return docs.select("doc_id", raw.alias("raw"), body.alias("body"))
+
+
+BODY = r"array_to_string(list_slice(string_split(regexp_replace(text, '[\"\\\s]+', ' ', 'g'), ' '), 1, 12), ' ')"
+
+
+@query(rf"SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN CASE WHEN length(trim(b)) > 0 THEN 3 ELSE 0 END END AS n_bullets, doc_id % 4 <> 3 AND length(trim(b)) BETWEEN 20 AND 300 AS valid FROM (SELECT doc_id, {BODY} AS b FROM documents)", with_views=False)
+def summaries_validated(spark, d):
+    s = _outputs(v.table(spark, d, "documents")).select("doc_id", model_output.repaired_json(F.col("raw")).alias("j"))
+    s = s.select("doc_id", "j", model_output.normal_summary(F.col("j")).alias("s"))
+    return s.select("doc_id", F.when(F.col("j").isNotNull(), F.size("s.bullets")).alias("n_bullets"), (F.col("j").isNotNull() & model_output.is_valid(F.col("s"))).alias("valid"))
+
+
+@query()
+def model_json_repaired(spark, d):
+    return _outputs(v.table(spark, d, "documents")).select("doc_id", model_output.repaired_json(F.col("raw")).alias("json"))
+
+
+@query()
+def feed_summaries_parsed(spark, d):
+    """Documents dressed as structured feed summaries."""
+    line = lambda i: F.concat(F.get(F.split("text", r"[.\n]+"), F.lit(i)), F.lit("。"))
+    raw = F.concat_ws(" ", F.lit("📌 一句话摘要"), line(0), F.lit("💡 主要观点"), line(1), line(2), line(3), F.lit("📊 文章信息 AI 初评:"), F.col("doc_id") % 120, F.lit("作者:"), F.col("source"))
+    p = v.table(spark, d, "documents").select("doc_id", news.parse_summary(raw).alias("p"))
+    return p.select("doc_id", "p.one_liner", F.size("p.viewpoints").alias("n_viewpoints"), F.element_at(F.col("p.meta"), "author").alias("author"), news.score_hint(F.col("p")).alias("score"), news.is_rich(F.col("p")).alias("rich"), news.skim_text(F.col("p")).alias("skim"))
