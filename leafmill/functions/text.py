@@ -96,3 +96,43 @@ def openai_base(url: Column) -> Column:
     bare = F.regexp_replace(strip(url), "/+$", "")
     bare = F.regexp_replace(bare, "/chat/completions$", "")
     return F.when(bare.rlike("/v[0-9]+$"), bare).otherwise(F.concat(bare, F.lit("/v1")))
+
+
+def hrefs(page: Column) -> Column:
+    """Addresses of a page's links, in order, repeated ones too."""
+    return F.regexp_extract_all(page, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"'#]+)"""), F.lit(1))
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """A link against its page's address: absolute ones as they are, rooted ones on its host, others beside it; null for other schemes."""
+    origin = F.regexp_extract(base, r"^(?i)(https?://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.regexp_extract(base, r"^[^?#]*", 0), r"(?<=[^/:])/[^/]*$", "")
+    return (
+        F.when(link.rlike("^(?i)https?://"), link)
+        .when(link.startswith("//"), F.concat(F.lit("https:"), link))
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(link.startswith("/"), F.concat(origin, link))
+        .otherwise(F.concat(folder, F.lit("/"), link))
+    )
+
+
+def stream_deltas(body: Column) -> Column:
+    """The pieces of an event stream's data lines, up to its end, joined."""
+    lines = F.filter(F.split(body, r"\r?\n"), lambda x: x.startswith("data:"))
+    data = F.transform(lines, lambda x: F.trim(F.substring(x, 6, 1 << 30)))
+    end = F.array_position(data, "[DONE]").cast("int")
+    live = F.when(end > 0, F.slice(data, F.lit(1), end - 1)).otherwise(data)
+    return F.array_join(F.transform(live, lambda d: F.get_json_object(d, "$.choices[0].delta.content")), "")
+
+
+def is_embedding_model(name: Column) -> Column:
+    return F.lower(name).rlike("embed|bge-|e5-|gte-|minilm")
+
+
+def same_model(a: Column, b: Column) -> Column:
+    """Equal but for the tag of the newest version."""
+    return F.regexp_replace(a, ":latest$", "") == F.regexp_replace(b, ":latest$", "")
+
+
+def masked(secret: Column) -> Column:
+    return F.when(secret.isNotNull() & (secret != ""), F.lit("********"))

@@ -27,7 +27,7 @@ def terms_of(query: str) -> list[str]:
 
 def frequency(text: Column, term: str) -> Column:
     """Occurrences, overlapping ones too."""
-    return F.regexp_count(text, F.lit("(?=" + re.escape(term) + ")")) if re.fullmatch(r"[\w ]+", term) else F.regexp_count(text, F.lit(rf"(?=\Q{term}\E)"))
+    return F.regexp_count(text, F.lit("(?=" + "".join(rf"\x{{{ord(c):x}}}" for c in term) + ")"))
 
 
 def bm25(rows: DataFrame, query: str) -> DataFrame:

@@ -397,3 +397,61 @@ def feed_summaries_parsed(spark, d):
     raw = F.concat_ws(" ", F.lit("📌 一句话摘要"), line(0), F.lit("💡 主要观点"), line(1), line(2), line(3), F.lit("📊 文章信息 AI 初评:"), F.col("doc_id") % 120, F.lit("作者:"), F.col("source"))
     p = v.table(spark, d, "documents").select("doc_id", news.parse_summary(raw).alias("p"))
     return p.select("doc_id", "p.one_liner", F.size("p.viewpoints").alias("n_viewpoints"), F.element_at(F.col("p.meta"), "author").alias("author"), news.score_hint(F.col("p")).alias("score"), news.is_rich(F.col("p")).alias("rich"), news.skim_text(F.col("p")).alias("skim"))
+
+
+@query("SELECT s.segment_id, s.idx, s.idx >= 0 AND (b.segment_count = 30 OR s.idx + 5 < b.segment_count) AS valid FROM segments s JOIN books b ON s.book_id = b.book_id")
+def reading_positions(spark, d):
+    count = F.when(F.col("segment_count") == 30, 0).otherwise(F.col("segment_count"))
+    s = v.segments(spark, d).select("segment_id", "book_id", "idx").join(v.books(spark, d).select("book_id", "segment_count"), "book_id")
+    ok = library.valid_position(F.col("idx") + 5, count) & (F.col("idx") >= 0)
+    return s.select("segment_id", "idx", ok.alias("valid"))
+
+
+@query("SELECT n.note_id FROM notes n JOIN segments s ON n.segment_id = s.segment_id WHERE s.idx % 2 = 1")
+def notes_misplaced(spark, d):
+    s = v.segments(spark, d).select("segment_id", "book_id", "idx")
+    said = F.when(F.col("idx") % 2 == 1, F.lit("another")).otherwise(F.col("book_id"))
+    n = v.notes(spark, d).join(s, "segment_id").select("note_id", "segment_id", said.alias("book_id"))
+    return library.misplaced(n, s).select("note_id")
+
+
+@query("SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s % 60 = 0 THEN (s // 60) || 'm' ELSE (s // 60) || 'm ' || (s % 60) || 's' END AS label FROM (SELECT event_id, event_id % 400 AS s FROM events)", with_views=False)
+def durations(spark, d):
+    return v.table(spark, d, "events").select("event_id", text.duration((F.col("event_id") % 400).cast("double")).alias("label"))
+
+
+@query("SELECT book_id, CASE WHEN length(book_id) % 2 = 0 THEN category ELSE '其他' END AS category FROM books")
+def categories_normalised(spark, d):
+    raw = F.when(F.length("book_id") % 2 == 0, F.concat(F.lit(" "), F.col("category"))).otherwise("unknown")
+    return v.books(spark, d).select("book_id", library.category(raw).alias("category"))
+
+
+@query(r"SELECT page_id, len(l) AS n_links, len(list_filter(l, lambda x: x[1:1] = '/' AND x[2:2] <> '/')) AS n_rooted FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*[\x22\x27]([^\x22\x27#]+)', 1) AS l FROM pages)", with_views=False)
+def page_links(spark, d):
+    links = text.hrefs(F.col("html"))
+    full = F.transform(links, lambda x: text.resolved(x, F.col("url")))
+    origin = F.concat(F.regexp_extract("url", "^(https?://[^/?#]*)", 1), F.lit("/"))
+    rooted = F.filter(F.zip_with(links, full, lambda x, y: x.startswith("/") & ~x.startswith("//") & y.startswith(origin)), lambda b: b)
+    return v.table(spark, d, "pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.size(rooted).cast("long").alias("n_rooted"))
+
+
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS answer FROM conversations GROUP BY conv_id", with_views=False)
+def streamed_answers(spark, d):
+    """Conversations sent as an event stream, a turn per delta, and put together again."""
+    delta = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
+    sent = v.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", delta.alias("x")))).alias("xs"))
+    body = F.concat(F.array_join(F.transform("xs", lambda s: F.concat(F.lit("data: "), s["x"])), "\n\n"), F.lit("\n\ndata: [DONE]\n\ndata: later"))
+    return sent.select("conv_id", text.stream_deltas(body).alias("answer"))
+
+
+@query("SELECT address, min(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS address FROM pages) GROUP BY address", with_views=False)
+def pages_by_address(spark, d):
+    return v.table(spark, d, "pages").groupBy(text.address_key(F.col("url")).alias("address")).agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT article_id, url, source_id FROM articles WHERE source_id NOT LIKE '%.org' OR source_id LIKE 'www.%'")
+def articles_after_prune(spark, d):
+    """Articles of retired sources go with them; the caller's own sources stay."""
+    s = v.sources(spark, d)
+    retired = s.filter("source_id LIKE '%.org'").join(s.filter("source_id LIKE 'www.%'"), "source_id", "left_anti")
+    return library.cascade(v.articles(spark, d), retired, "source_id").select("article_id", "url", "source_id")
