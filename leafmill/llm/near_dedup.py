@@ -5,11 +5,13 @@ or more; a group is a connected component. The steps:
 
 1. One pass makes each text's set, MinHash samples, band hashes and odd sketch. Documents with
    equal sets become one node.
-2. Nodes that share a band hash are a bucket. In each bucket a pivot is compared with all
-   members outside its component; nothing is compared all with all. Pairs pass the odd
-   sketches, then the exact check on full sets, and links join components.
-3. The second step is repeated with other pivots until the pairs across components that are
-   left are few for the number of bucket rows; those are all compared.
+2. Nodes that share a band hash are a bucket. Three pivots of each bucket are compared with all
+   its members; nothing is compared all with all. Pairs pass the odd sketches, then the exact
+   check on full sets, and links join components.
+3. While the pairs across components that are left in buckets are many, and each turn at least
+   halves them, a further pivot of each bucket is compared with the members outside its component.
+4. Pairs that are left are compared, except where distances to a pivot exclude a link: Jaccard
+   distance is a metric, so that two texts are at least as far apart as their distances to a pivot differ.
 
 The chance that a pair at the very threshold shares no band is 1.3e-7, and that its sketches
 reject it is smaller (see bound()). Null and blank texts have an empty set: they stand alone.
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize, table
+from leafmill.llm.common import each, materialize, table
 from leafmill.llm.components import components
 from leafmill.llm.decontamination import LOWER, numbers
 
@@ -37,7 +39,7 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 40, 5
 SKETCH_BITS = 1024
 #: Pairs left to compare at once, as a multiple of bucket rows; and rounds of pivots at most.
-REST, ROUNDS = 2, 12
+REST, ROUNDS, PIVOTS = 8, 12, 3
 find_words = re.compile(r"[^\x20\x09-\x0D]+").findall
 SEEDS = np.random.default_rng(20240229).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -117,7 +119,7 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, band_rows, sketches = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in each(batch.column("text")):
                 items = shingles(text, shingle)
                 sizes.append(len(items))
                 least = samples(items) if len(items) else None
@@ -138,71 +140,91 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(node, s.tobytes()) for node, key, text in zip(*(batch.column(x).to_pylist() for x in ("node", "key", "text")), strict=True) if xxhash.xxh3_128_digest((s := shingles(text, shingle)).tobytes()) == key]
+            rows = [(node, s.tobytes()) for node, key, text in zip(*(each(batch.column(x)) for x in ("node", "key", "text")), strict=True) if xxhash.xxh3_128_digest((s := shingles(text, shingle)).tobytes()) == key]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "items"])
 
     return found.mapInArrow(make, "node long, items binary").dropDuplicates(["node"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) whose full sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b) with the sizes of their full sets' intersection and union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            common, union = [], []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common.append(len(np.intersect1d(x, y, assume_unique=True)))
+                union.append(len(x) + len(y) - common[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "common", "whole"])
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, common long, whole long")
 
 
-def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return members.withColumn("root", F.col("node"))
+def _pivot(turn: int) -> Column:
+    """A member of a group of rows, chosen by a hash."""
+    return F.min_by("node", F.xxhash64("node", F.lit(turn)))
+
+
+def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _links(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """node, root of all nodes of members(bucket, node) with a link; see step 2 and 3 above."""
-    most = bound(percent)
-    a, b = F.col("a"), F.col("b")
+def _left(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Buckets with members of several components: their pairs across, rows, and a pivot with its root."""
+    per_root = _with_roots(members, roots).groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), _pivot(turn).alias("node"))
+    pick = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("pivot")
+    found = per_root.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("rows"), pick)
+    return materialize(found.filter("pairs > 0"), "open-buckets")
+
+
+def _links(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, root of all nodes of members(bucket, node) with a link; see steps 2 to 4 above."""
+    a, b, most = F.col("a"), F.col("b"), bound(percent)
     near = differing(F.col("p.sketch"), F.col("q.sketch")) <= most
     fits = 100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")
-    roots = tested = None
-    for turn in range(ROUNDS + 1):
-        rooted = _with_roots(members, roots)
-        per_root = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
-        pick = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("pivot")
-        open_ = per_root.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("rows"), pick)
-        open_ = materialize(open_.filter("pairs > 0"), "open-buckets")
-        left = open_.agg(F.sum("pairs").alias("pairs"), F.sum("rows").alias("rows")).first()
-        if not left.pairs:
-            break
-        rest = turn == ROUNDS or left.pairs <= REST * left.rows
-        if rest:
-            held = rooted.join(open_.select("bucket"), "bucket", "left_semi").select("bucket", "node", "root")
-            other = held.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            pairs = held.withColumnRenamed("node", "a").join(other, "bucket").filter((a < b) & (F.col("root") != F.col("root_b")))
-        else:
-            pairs = rooted.join(open_.select("bucket", "pivot"), "bucket").filter(F.col("root") != F.col("pivot.root"))
-            pairs = pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-        pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.join(sketches.alias("p"), a == F.col("p.node")).join(sketches.alias("q"), b == F.col("q.node")).filter(fits & near).select("a", "b")
-        pairs = materialize(pairs, "pairs")
-        links = _linked(pairs, sets, percent)
+    linked = 100 * F.col("common") >= percent * F.col("whole")
+    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct().join(sketches.alias("p"), a == F.col("p.node")).join(sketches.alias("q"), b == F.col("q.node"))
+        return materialize(_compared(pairs.filter(fits & near).select("a", "b"), sets), "compared")
+
+    def joined(compared: DataFrame, roots: DataFrame | None) -> DataFrame:
+        links = compared.filter(linked).select("a", "b")
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = materialize(components(links), "roots")
-        if rest:
+        return materialize(components(links), "roots")
+
+    pivots = members.groupBy("bucket").agg(*[_pivot(k).alias(f"p{k}") for k in range(PIVOTS)])
+    pivots = materialize(pivots, "pivots")
+    star = members.join(pivots, "bucket").select("node", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p"))
+    tested = first = compare(star.filter("node <> p").select(*ends("node", "p")))
+    roots = joined(first, None)
+    before = math.inf
+    for turn in range(PIVOTS, PIVOTS + ROUNDS):
+        open_ = _left(members, roots, turn)
+        left = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+        if not left["pairs"]:
+            return roots
+        if left["pairs"] <= REST * left["rows"] or 2 * left["pairs"] > before:
             break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-    return roots
+        before = left["pairs"]
+        pairs = _with_roots(members, roots).join(open_.select("bucket", "pivot"), "bucket").filter(F.col("root") != F.col("pivot.root"))
+        found = compare(pairs.select(*ends("node", "pivot.node")).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        roots, tested = joined(found, roots), tested.unionByName(found)
+    held = _with_roots(members, roots).join(_left(members, roots, 0).select("bucket"), "bucket", "left_semi").join(pivots, "bucket")
+    to_pivot = held.select("bucket", "node", "root", F.posexplode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("k", "p")).select("*", *ends("node", "p"))
+    far = F.when(F.col("node") == F.col("p"), 0.0).otherwise(1 - F.col("common") / F.col("whole"))
+    to_pivot = to_pivot.join(first, ["a", "b"], "left").groupBy("bucket", "node", "root").agg(*[F.max(F.when(F.col("k") == k, far)).alias(f"d{k}") for k in range(PIVOTS)])
+    to_pivot = materialize(to_pivot, "distances")
+    x, y = to_pivot.alias("x"), to_pivot.alias("y")
+    may = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    for k in range(PIVOTS):
+        may = may & F.coalesce(F.abs(F.col(f"x.d{k}") - F.col(f"y.d{k}")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return joined(compare(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")), roots)
 
 
 def annotate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -218,9 +240,7 @@ def annotate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     near = materialize(nodes.join(met, "node", "left_semi").select("node", "key", "rep", "n", "sketch"), "met")
     sets = materialize(_sets(docs, near.select("node", "key", "rep"), shingle), "sets")
     roots = _links(members, near.select("node", "n", "sketch"), sets, percent)
-    groups = nodes.select("key", "rep", F.col("node").alias("root") if roots is None else "node")
-    if roots is not None:
-        groups = groups.join(roots, "node", "left").select("key", "rep", F.coalesce("root", "node").alias("root"))
+    groups = _with_roots(nodes.select("key", "rep", "node"), roots).select("key", "rep", "root")
     least = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = groups.join(least, "root").select("key", "component_id")
     found = rows.select(*own, "n_shingles", "key").join(named, "key", "left")
