@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ASCII_LOWER, ASCII_UPPER, let, materialize, table
+from leafmill.llm.common import ASCII_LOWER, ASCII_UPPER, each, materialize, table
 
 WINDOW, GRAM = 13, 5
 #: The largest benchmark, in characters, that is sent to every task; a larger one is joined.
 BROADCAST_CHARS = 32 << 20
 LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 find_words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
-MEMO_ROWS = 1 << 20
+MEMO_ROWS = 1 << 18
 
 
 class Hashes(dict):
@@ -131,7 +131,7 @@ def _scan(items: list[tuple[str, str | None]], window: int, gram: int, judge):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items, window, gram)
         for batch in batches:
-            words = [split(t) for t in batch.column("text").to_pylist()]
+            words = [split(t) for t in each(batch.column("text"))]
             yield judge(batch, words, [index.hits(w) for w in words])
 
     return scan

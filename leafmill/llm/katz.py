@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize, table
+from leafmill.llm.common import each, materialize, table
 from leafmill.llm.decontamination import LOWER
 
 #: Tokens of a block, keys of a bucket, and the largest count that is discounted.
@@ -103,7 +103,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for doc_id, out, text in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "held_out", "text")), strict=True):
+            for doc_id, out, text in zip(*(each(batch.column(x)) for x in ("doc_id", "held_out", "text")), strict=True):
                 row += 1
                 tokens, at, last = words(text), 0, None
                 while at <= len(tokens):
@@ -139,7 +139,7 @@ class Block:
     def __init__(self, row: dict):
         self.block, self.rows, self.doc_ids = row["block"], row["rows"], row["doc_ids"]
         self.held, self.sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
-        self.ids, self.keys = unpack(row["ids"], np.uint32).astype(np.int64), unpack(row["keys"], np.uint64)
+        self.ids, self.keys = unpack(row["ids"], np.uint32), unpack(row["keys"], np.uint64)
         self.before = np.array(row["before"], np.int64)
 
     def trains(self) -> np.ndarray:
@@ -152,10 +152,12 @@ class Block:
         """Histories (the begin is len(keys)) and followers of the distinct pairs, the number of each token's pair, and training counts."""
         n = len(self.keys)
         full = self.sizes > 0
-        history = np.empty_like(self.ids)
-        history[1:] = self.ids[:-1]
-        history[(np.cumsum(self.sizes) - self.sizes)[full]] = np.where(self.before < 0, n, self.before)[full]
-        codes, which = np.unique(history * (n + 1) + self.ids, return_inverse=True)
+        tokens = np.empty(len(self.ids), np.int64)  # the history, then the pair
+        tokens[1:] = self.ids[:-1]
+        tokens[(np.cumsum(self.sizes) - self.sizes)[full]] = np.where(self.before < 0, n, self.before)[full]
+        tokens *= n + 1
+        tokens += self.ids
+        codes, which = np.unique(tokens, return_inverse=True)
         counts = np.bincount(which[self.trains()], minlength=len(codes)).astype(np.uint64)
         return codes // (n + 1), codes % (n + 1), which, counts
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize, table
+from leafmill.llm.common import each, materialize, table
 from leafmill.llm.token_counts import tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -32,7 +32,7 @@ END_ID = 1
 BLOCK_IDS = 1 << 18
 SAMPLE = 64
 HEADER = struct.Struct("<4sHHQQBQ")
-MEMO_ROWS, MEMO_CHARS = 1 << 20, 64
+MEMO_ROWS, MEMO_CHARS = 1 << 19, 64
 
 
 class EliasFano:
@@ -153,7 +153,7 @@ def write_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
 
         for b in batches:
             id_type = b.column("doc_id").type
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc_id, text in zip(each(b.column("doc_id")), each(b.column("text")), strict=True):
                 doc_ids.append(doc_id)
                 pieces.append(coder.encode(text or "") + end)
                 held += len(pieces[-1]) // coder.kind.itemsize
@@ -185,7 +185,7 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             id_type = b.column("doc_ids").type.value_type
-            for part, before, doc_ids, data in zip(*(b.column(x).to_pylist() for x in ("part", "part_start", "doc_ids", "image")), strict=True):
+            for part, before, doc_ids, data in zip(*(each(b.column(x)) for x in ("part", "part_start", "doc_ids", "image")), strict=True):
                 code, ids = open_image(data)
                 ends = code.values().astype(np.int64)
                 starts = np.concatenate(([0], ends[:-1]))
