@@ -228,7 +228,10 @@ def _links(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: in
 
 
 def annotate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs(doc_id, text, ...) -> all columns but text, n_shingles, key, component_id, kept."""
+    """docs(doc_id, text, ...) -> all columns but text, n_shingles, key, root, component_id, kept.
+
+    The root tells groups apart: ids can be null or repeated. Texts without words have none.
+    """
     own = [x for x in docs.columns if x != "text"]
     rows = materialize(signed(docs, shingle), "signed")
     nodes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -242,10 +245,10 @@ def annotate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     roots = _links(members, near.select("node", "n", "sketch"), sets, percent)
     groups = _with_roots(nodes.select("key", "rep", "node"), roots).select("key", "rep", "root")
     least = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = groups.join(least, "root").select("key", "component_id")
+    named = groups.join(least, "root").select("key", "root", "component_id")
     found = rows.select(*own, "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select(*own, "n_shingles", "key", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return found.select(*own, "n_shingles", "key", "root", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -255,7 +258,7 @@ def keep(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     """
     mark = F.xxhash64("doc_id", F.md5("text"))
     judged = annotate(docs.select("doc_id", "text", mark.alias("mark")), shingle, percent).filter("kept")
-    single = judged.filter("key IS NOT NULL").groupBy("component_id").agg(F.min("mark").alias("mark"))
+    single = judged.filter("key IS NOT NULL").groupBy("root").agg(F.min("mark").alias("mark"))
     marks = single.select("mark").unionByName(judged.filter("key IS NULL").select("mark")).distinct()
     stay = docs.select(F.struct("*").alias("doc"), mark.alias("mark")).join(marks, "mark", "left_semi")
     blank = F.coalesce(F.trim(F.translate("doc.text", "\t\n\x0b\x0c\r", "     ")), F.lit("")) == ""

@@ -187,6 +187,16 @@ def test_near_dedup_of_odd_rows(spark, odd, empty):
     assert near_dedup.annotate(empty.select("doc_id", "text")).count() == 0 and near_dedup.keep(empty).count() == 0
 
 
+def test_near_dedup_keeps_unrelated_rows_with_equal_ids(spark):
+    rng = np.random.default_rng(11)
+    own = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 30)) for _ in range(45)]
+    rows = [(None, t) for t in own[:40]] + [(None, own[0]), (7, own[40]), (7, own[41]), (7, own[41] + " more"), (2, own[42]), (None, own[42]), (7, own[43]), (9, own[43]), (9, own[44])]
+    kept = near_dedup.keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=2).collect()
+    of = lambda i: sorted(r.text for r in kept if r.doc_id == i)
+    assert of(None) == sorted(own[:40]) and of(2) == [own[42]] and of(9) == [own[44]]
+    assert len(kept) == 45 and len(of(7)) == 3 and {own[40], own[43]} < {*of(7)}
+
+
 def test_odd_sketches_tell_similarity(spark):
     rng = np.random.default_rng(2)
     rows = []
