@@ -176,9 +176,22 @@ def window_around(segments: DataFrame, center: int, buffer: int) -> DataFrame:
     return segments.filter(near).select("book_id", "segment_id", "idx").join(sums, "book_id")
 
 
+def markdown_line() -> Column:
+    return F.concat(F.lit("## "), F.coalesce(F.nullif(F.col("label"), F.lit("")), F.concat(F.lit("段 "), F.col("idx") + 1)), F.lit("\n\n"), F.col("raw_text"))
+
+
+def export_blocks(segments: DataFrame, books: DataFrame) -> DataFrame:
+    """book_id, idx, block of each book that has segments, in order: its title with idx -1, then a row per segment.
+
+    For books of any size: a book's blocks joined by blank lines are its export_markdown.
+    """
+    lines = segments.join(books.select("book_id"), "book_id", "left_semi").select("book_id", "idx", markdown_line().alias("block"))
+    titles = books.join(segments.select("book_id").distinct(), "book_id", "left_semi").select("book_id", F.lit(-1).alias("idx"), F.concat(F.lit("# "), F.col("title")).alias("block"))
+    return titles.unionByName(lines).filter("block IS NOT NULL").orderBy("book_id", "idx")
+
+
 def export_markdown(segments: DataFrame, books: DataFrame) -> DataFrame:
-    """A Markdown text per book: its title, then its segments in order."""
-    line = F.concat(F.lit("## "), F.coalesce(F.nullif(F.col("label"), F.lit("")), F.concat(F.lit("段 "), F.col("idx") + 1)), F.lit("\n\n"), F.col("raw_text"))
-    parts = segments.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("lines"))
+    """A Markdown text per book: its title, then its segments in order; a book is one row, see export_blocks()."""
+    parts = segments.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("idx", markdown_line().alias("line")))).alias("lines"))
     body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n")
     return books.select("book_id", "title").join(parts, "book_id").select("book_id", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), body).alias("markdown"))

@@ -174,6 +174,11 @@ def export_markdown(spark, d):
     return library.export_markdown(v.segments(spark, d), v.books(spark, d))
 
 
+@query("SELECT * FROM (SELECT book_id, -1 AS idx, '# ' || title AS block FROM books UNION ALL SELECT book_id, idx, '## ' || coalesce(nullif(label, ''), '段 ' || (idx + 1)) || chr(10) || chr(10) || raw_text FROM segments) WHERE block IS NOT NULL")
+def export_markdown_blocks(spark, d):
+    return library.export_blocks(v.segments(spark, d), v.books(spark, d))
+
+
 @query("SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS back FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6", with_views=False)
 def chat_last_messages(spark, d):
     return chat.last_messages(v.table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "back")

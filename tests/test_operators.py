@@ -2,6 +2,8 @@
 
 import io
 import json
+import os
+import re
 import sqlite3
 import zipfile
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import language, text
 from leafmill.operators import chunking, jobs, library, model_output, news, search
+from leafmill.plans import views
 from leafmill.sources import readers
 
 
@@ -164,3 +167,28 @@ def test_stream_gives_the_batch_states(spark, tmp_path):
     last = spark.table("states").groupBy("user_id").agg(F.max_by(F.struct("status", "errors", "n_events"), "n_events").alias("x"))
     got = {r.user_id: tuple(r.x) for r in last.collect()}
     assert got == {r.user_id: (r.status, r.errors, r.n_events) for r in streams.batch_states(events).collect()}
+
+
+@pytest.mark.parametrize("run_rows", [1, 7, 1000])
+def test_numbering_in_runs(spark, run_rows):
+    rows = [("hot", i * i % 101 - 50) for i in range(60)] + [("b", 5), ("b", -10**12), ("b", 10**12), ("b", None), (None, 3), (None, None), (None, 1)]
+    got = views.numbered(spark.createDataFrame(rows, "source string, doc_id long").repartition(3), "source", "doc_id", run_rows).collect()
+    for group in ("hot", "b", None):
+        keys = sorted((k for g, k in rows if g == group), key=lambda k: (k is not None, k or 0))
+        assert [(r.idx, r.doc_id) for r in sorted((r for r in got if r.source == group), key=lambda r: r.idx)] == list(enumerate(keys))
+    assert len(got) == len(rows) and views.numbered(spark.createDataFrame([], "source string, doc_id long"), "source", "doc_id", 1).count() == 0
+
+
+def test_no_task_holds_a_whole_book(spark, monkeypatch):
+    data = os.environ.get("LEAFMILL_DATA", "/root/testdata/sf0.001")
+    whole = {r.segment_id: r.idx for r in views.segments(spark, data).collect()}
+    monkeypatch.setattr(views, "RUN_ROWS", 20, raising=False)
+    segments, books = views.segments(spark, data), views.books(spark, data)
+    assert {r.segment_id: r.idx for r in segments.collect()} == whole
+    assert re.search(r"row_number\(\) windowspecdefinition\(source#\d+, run#\d+", segments._jdf.queryExecution().optimizedPlan().toString())
+    blocks = library.export_blocks(segments, books)
+    assert "collect_list" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+    parts = {}
+    for r in blocks.collect():
+        parts.setdefault(r.book_id, []).append(r.block)
+    assert {b: "\n\n".join(p) for b, p in parts.items()} == {r.book_id: r.markdown for r in library.export_markdown(segments, books).collect()}
