@@ -1,15 +1,17 @@
 """URL filters: listed rules first, association rules for what no listed rule fits.
 
-Verdicts of the listed rules are the labels; a url that none fits counts as not blocked, so that
-a mined rule's confidence is at least what it is told to be. FP-growth mines combinations of url tokens that
-come with a blocked label; those with enough support, confidence and lift become rules, and an
-inverted index from tokens to rules finds the rules all of whose tokens an url has. Token sets are
-matched once, however many urls share them.
+Verdicts of the listed rules are the labels. FP-growth mines combinations of url tokens that come
+with a blocked label among the labelled urls, allowed or blocked; what no listed rule fits is no
+evidence for either. Combinations with enough support, confidence and lift become rules, and a rule
+that contains another one is dropped, so that the shortest remain: they reach urls that the list
+doesn't. An inverted index from tokens to rules finds the rules all of whose tokens an url
+has. Token sets are matched once, however many urls share them.
 
 A null url, or one without ://, has an empty host and path and no tokens: it is allowed. Rows
-are judged one by one; equal rows get equal verdicts. Without blocked urls nothing is mined, and
-what no rule fits is allowed. The listed rules are compiled into one expression: they are a parameter, LISTED_MOST
-of them at most.
+are judged one by one; equal rows get equal verdicts, and very long urls are read whole. Of equally long
+listed rules that fit, the first in the list wins. Without blocked urls nothing
+is mined, and what no rule fits is allowed; an empty table gives an empty result. Columns other than page_id and url aren't looked
+at. The listed rules are compiled into one expression: they are a parameter, LISTED_MOST of them at most.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import lower_ascii, materialize, table
 
 LISTED_MOST = 1000
-SUPPORT, CONFIDENCE, LIFT = 0.01, 0.8, 1.05
+#: A rule's urls: a share of the labelled ones, and a number, at least; how many of them are blocked; and how much likelier than any.
+SUPPORT, SUPPORT_ROWS, CONFIDENCE, LIFT = 0.002, 10, 0.8, 1.05
 BLOCKED = "verdict=block"
 
 
@@ -88,38 +91,54 @@ def judged_by_list(pages: DataFrame, rules=RULES) -> DataFrame:
     return cut.select("page_id", "host", "path", tokens_of(F.col("host"), F.col("path"), F.col("rest")).alias("tokens"), listed_rule(F.col("host"), F.col("path"), rules).alias("listed"))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame | None:
-    """labelled(tokens, verdict or null) -> rule_id, tokens, confidence, support of the rules for a block.
+def mine(labelled: DataFrame, support: float = SUPPORT, support_rows: int = SUPPORT_ROWS, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame | None:
+    """labelled(tokens, verdict) -> rule_id, tokens, confidence, support of the shortest rules for a block.
 
-    A rule names every token that all urls with its tokens share (its token set is
-    closed), so that none reaches beyond what the labels have seen.
+    Tokens that all labelled urls have tell nothing and are left out; FP-growth gets the others.
     """
-    items = F.when(F.col("verdict") == "block", F.array_append("tokens", BLOCKED)).otherwise(F.col("tokens"))
-    baskets = materialize(labelled.select(items.alias("items")).filter(F.size("items") > 0), "baskets")
-    if baskets.isEmpty():
+    baskets = materialize(labelled.filter("verdict IS NOT NULL").select("tokens", (F.col("verdict") == "block").alias("bad")), "labelled-urls")
+    n, bad = baskets.agg(F.count(F.lit(1)), F.coalesce(F.count_if("bad"), F.lit(0))).first()
+    if not bad:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    sets = model.freqItemsets.filter(~F.array_contains("items", BLOCKED)).select(F.array_sort("items").alias("tokens"), "freq")
-    sets = materialize(sets, "token-sets")
-    less = sets.select(F.explode("tokens").alias("token"), "tokens", "freq").select(F.array_remove("tokens", F.col("token")).alias("tokens"), "freq")
-    closed = sets.join(less, ["tokens", "freq"], "left_anti")
+    common = baskets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == n)
+    common = [r.token for r in common.collect()]  # no more than one url has
+    told = F.array_except("tokens", F.array(*map(F.lit, common)).cast("array<string>"))
+    items = baskets.select(F.when(F.col("bad"), F.array_append(told, BLOCKED)).otherwise(told).alias("items")).filter("size(items) > 0")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, support_rows / n)), minConfidence=confidence).fit(items)
     rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BLOCKED))) & (F.col("lift") >= lift))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").join(closed.select("tokens"), "tokens", "left_semi")
-    return materialize(rules.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support"), "url-rules")
+    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.xxhash64("tokens"))
+    return shortest(materialize(rules, "url-rules"))
+
+
+def shortest(rules: DataFrame) -> DataFrame:
+    """The rules that contain no other one, found by length: a url has few tokens, so lengths are few."""
+    kept = rules.limit(0)
+    while length := rules.agg(F.min(F.size("tokens"))).first()[0]:
+        level = rules.filter(F.size("tokens") == length)
+        kept = kept.unionByName(level)
+        longer = rules.filter(F.size("tokens") > length).withColumnRenamed("rule_id", "of")
+        held = contained(longer.select("of", "tokens"), level, "of").select("of").distinct()
+        rules = materialize(longer.join(held, "of", "left_anti").withColumnRenamed("of", "rule_id").select(*kept.columns), "url-rules")
+    return kept
+
+
+def contained(sets: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """key, rule_id, confidence: the rules all of whose tokens a row of sets(key, tokens) has, by an index from tokens to rules."""
+    index = rules.select("rule_id", F.size("tokens").alias("n"), "confidence", F.explode("tokens").alias("token"))
+    met = sets.select(key, F.explode("tokens").alias("token")).join(index, "token")
+    return met.groupBy(key, "rule_id", "n", "confidence").agg(F.count(F.lit(1)).alias("hits")).filter("hits = n").select(key, "rule_id", "confidence")
 
 
 def matches(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     """token_sets(tokens), distinct -> tokens, confidence of the best rule all of whose tokens are among them."""
-    index = rules.select("rule_id", F.size("tokens").alias("n"), "confidence", F.explode("tokens").alias("token"))
-    met = token_sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-    whole = met.groupBy("tokens", "rule_id", "n", "confidence").agg(F.count(F.lit(1)).alias("hits")).filter("hits = n")
-    return whole.groupBy("tokens").agg(F.max("confidence").alias("confidence"))
+    sets = token_sets.select(F.col("tokens").alias("all"), "tokens")
+    return contained(sets, rules, "all").groupBy(F.col("all").alias("tokens")).agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, support: float = SUPPORT, support_rows: int = SUPPORT_ROWS, confidence: float = CONFIDENCE) -> DataFrame:
     """pages(page_id, url) -> page_id, host, path, rule, verdict, confidence (of the mined rule, if one decided)."""
     seen = judged_by_list(pages, rules)
-    mined = mine(seen.select("tokens", F.col("listed.verdict").alias("verdict")), support, confidence)
+    mined = mine(seen.select("tokens", F.col("listed.verdict").alias("verdict")), support, support_rows, confidence)
     best = F.lit(None).cast("double")
     if mined is not None:
         open_sets = seen.filter("listed IS NULL").select("tokens").distinct()
