@@ -6,6 +6,8 @@ import os
 import re
 import sys
 import zlib
+from collections import Counter
+from itertools import combinations
 from pathlib import Path
 
 import duckdb
@@ -249,10 +251,52 @@ def test_odd_urls(spark):
     assert url_filters.judge(rows.filter("page_id < 0")).count() == 0
 
 
+def url_tokens(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host, path, _ = judged(url)
+    found = {"h:" + x for x in re.split("[.-]", host)} | {"p:" + re.sub("[0-9]+", "0", x) for x in path.translate(brute.LOWER).split("/")}
+    return {x for x in found | {"q:" + x.translate(brute.LOWER) for x in re.findall("[?&]([^=&#]+)", rest)} if len(x) > 2}
+
+
+def mined(labelled):
+    """The shortest rules of labelled(tokens, is bad), by counting all subsets."""
+    n = len(labelled)
+    least = math.ceil(max(url_filters.SUPPORT, url_filters.SUPPORT_ROWS / n) * n - 1e-9)
+    common = set.intersection(*(set(t) for t, _ in labelled))
+    seen, hit = Counter(), Counter()
+    for t, bad in labelled:
+        t = sorted(t - common)
+        for k in range(1, len(t) + 1):
+            for x in combinations(t, k):
+                seen[x] += 1
+                hit[x] += bad
+    base = sum(bad for _, bad in labelled) / n
+    good = {x for x, k in hit.items() if k >= least and k / seen[x] >= url_filters.CONFIDENCE and k / seen[x] / base >= url_filters.LIFT}
+    return {x for x in good if not any(y in good for k in range(1, len(x)) for y in combinations(x, k))}
+
+
+def test_mined_verdicts_by_brute_force(spark):
+    data = DATA.replace("0.001", "0.01")
+    urls = dict(duckdb.sql(f"select page_id, url from '{data}/pages.parquet'").fetchall())
+    labelled = [(url_tokens(u), rule.verdict == "block") for u in urls.values() if (rule := judged(u)[2])]
+    rules = mined(labelled)
+    got = {r.page_id: r.verdict for r in registry.QUERIES["op5_url_filters"](spark, data).collect()}
+    unlisted = [i for i, u in urls.items() if not judged(u)[2]]
+    expected = {i: "block" if any(t.issuperset(x) for x in rules) else "allow" for i in unlisted for t in (url_tokens(urls[i]),)}
+    assert {i: got[i] for i in unlisted} == expected
+    assert {"allow", "block"} == set(expected.values())
+    # rules of four fifths of the labelled urls, against the rest
+    part = [zlib.crc32(" ".join(sorted(t)).encode()) % 5 == 0 for t, _ in labelled]
+    rules = mined([x for x, out in zip(labelled, part, strict=True) if not out])
+    blocked = [bad for (t, bad), out in zip(labelled, part, strict=True) if out and any(t.issuperset(x) for x in rules)]
+    assert len(blocked) >= 10 and sum(blocked) / len(blocked) >= 0.9
+
+
 def test_mined_rules_match_whole_token_sets(spark):
-    labelled = [(["h:spam", "p:win"], "block")] * 30 + [(["h:spam", "p:about"], None)] * 30 + [(["h:ok", "p:win"], None)] * 30
+    labelled = [(["h:spam", "p:win"], "block")] * 30 + [(["h:spam", "p:about"], "allow")] * 30 + [(["h:ok", "p:win"], "allow")] * 30 + [(["h:spam", "p:new"], None)] * 90
+    labelled += [(["h:spam", "p:win", "q:a"], "block")] * 30
     rules = url_filters.mine(spark.createDataFrame(labelled, "tokens array<string>, verdict string"))
-    assert [r.tokens for r in rules.collect()] == [["h:spam", "p:win"]]
+    assert [r.tokens for r in rules.orderBy("tokens").collect()] == [["h:spam", "p:win"], ["q:a"]]
     sets = spark.createDataFrame([(["a", "h:spam", "p:win"],), (["h:spam"],), ([],)], "tokens array<string>")
     assert [r.tokens for r in url_filters.matches(sets, rules).collect()] == [["a", "h:spam", "p:win"]]
 
@@ -290,6 +334,95 @@ def test_weak_spans(spark):
     assert got[3] == f"secret:16:{16 + len(key)}" and got[101] == "" and got[102].startswith("email:0:") and "secret" not in got[102]
 
 
+def logistic(x, y, w, reg=1e-3):
+    """Weighted logistic regression by Newton's method; the intercept, last, isn't held down."""
+    x, beta = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    w, held = w / w.sum(), np.append(np.full(x.shape[1] - 1, reg), 0)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ beta))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(held + 1e-12), x.T @ (w * (p - y)) + held * beta)
+        beta -= step
+    return beta
+
+
+def spans_by_hand(docs):
+    """Added spans of docs(id, text), with re, plain expectation-maximisation and numpy."""
+    import xxhash
+
+    first = len(personal_data.BASE)
+    rows = []
+    for i, text in docs:
+        for k, w in enumerate(personal_data.WEAK):
+            found = list(re.finditer(w.pattern, text or ""))
+            ends = [0, *(m.end() for m in found)]
+            for at, m in enumerate(found):
+                before, after = text[ends[at] : m.start()][-40:], text[m.end() : found[at + 1].start() if at + 1 < len(found) else None][:40]
+                votes = {"strict": 1 if re.search(w.strict, m[0]) else -1, "listed": 1 if re.search(w.listed, m[0]) else -1, "context": int(bool(re.search(w.cues, before)))}
+                n, f, base = len(m[0]), [k], len(personal_data.WEAK)
+                counts = (sum(c in "0123456789" for c in m[0]), sum("A" <= c <= "Z" for c in m[0]), len(set(m[0])))
+                for size, v in zip(personal_data.SHAPES, (int(math.log2(n)), *(4 * c // n for c in counts)), strict=True):
+                    f.append(base + k * size + min(v, size - 1))
+                    base += len(personal_data.WEAK) * size
+                sides = re.search(r"([^\x20\x09-\x0D]*)[\x20\x09-\x0D]*\Z", before)[1], re.match(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]*)", after)[1]
+                for word in sides:
+                    f.append(base + xxhash.xxh64_intdigest(word.translate(brute.LOWER), seed=42) % personal_data.WORD_BUCKETS)
+                    base += personal_data.WORD_BUCKETS
+                rows.append((i, m.start(), first + k, m.end(), votes, f))
+    assert 0 < len(rows) <= personal_data.SAMPLE_ROWS
+    x, p = np.zeros((len(rows), personal_data.N_FEATURES)), np.zeros(len(rows))
+    for at, r in enumerate(rows):
+        x[at, r[5]] = 1
+    for kind in {r[2] for r in rows}:
+        mine = [at for at, r in enumerate(rows) if r[2] == kind]
+        v = np.array([[rows[at][4][n] for n in personal_data.VOTES] for at in mine])
+        prior, right, q = 0.5, np.array([[0.8] * 3, [0.2] * 3]), None
+        for turn in range(personal_data.ROUNDS + 1):
+            like = np.where(v[:, None] > 0, right, np.where(v[:, None] < 0, 1 - right, 1)).prod(axis=2)
+            q = prior * like[:, 0] / (prior * like[:, 0] + (1 - prior) * like[:, 1])
+            if turn < personal_data.ROUNDS:
+                prior = min(max((q.sum() + 1) / (len(q) + 2), 0.01), 0.99)
+                yes = np.array([((s[:, None] * (v > 0)).sum(0) + k) / ((s[:, None] * (v != 0)).sum(0) + 5) for s, k in ((q, 4), (1 - q, 1))])
+                right = np.array([np.clip(yes[0], 0.5, 0.99), np.maximum(np.minimum(np.minimum(yes[1], 0.5), yes[0]), 0.01)])
+        p[mine] = q
+    beta = logistic(np.vstack([x, x]), np.repeat([1.0, 0.0], len(p)), np.concatenate([p, 1 - p]))
+    out = {}
+    for r, score in zip(rows, x @ beta[:-1] + beta[-1], strict=True):
+        if score > 0:
+            out.setdefault(r[0], []).append(r[1:4])
+    for i, text in docs:
+        base, taken = brute.personal(text), []
+        for a, kind, b in sorted(out.get(i, [])):
+            if not any(x < b and a < y for x, _, y, _ in base) and (not taken or a >= taken[-1][2]):
+                taken.append((a, kind, b))
+        out[i] = taken
+    return out
+
+
+def planted():
+    """Texts with true and false spans of each weak kind."""
+    rng = np.random.default_rng(3)
+    digit = lambda n: "".join(rng.choice([*"0123456789"], n))
+    texts = []
+    for i in range(60):
+        texts += [
+            f'the token = "{rng.bytes(20).hex()}" was used', f"write to user{i} (at) host{i} (dot) com today", f"social security number 1{digit(2)}-2{digit(1)}-3{digit(3)} on file",
+            f"iban DE{digit(2)} {digit(4)} {digit(4)} {digit(4)} {digit(4)} {digit(2)} of the account", f"please call (2{digit(2)}) 5{digit(2)}-{digit(4)} now",
+            f"a part number 9{digit(2)}-00-{digit(4)} in stock", f"see chapter_{'abcdefgh' * 3}_{'ij' * (i % 5)} there", f"meet [at] noon {i}", f"serial 0{digit(2)}.1{digit(2)}.{digit(4)} of it",
+        ]
+    return list(enumerate(texts))
+
+
+def test_added_spans_by_brute_force(spark):
+    docs = planted() + [(10**6, "k" + "aB3x9" * 2000 + " key"), (10**6 + 1, None), (10**6 + 2, "api_key=aB3" + "dE5f" * 6 + " sk-proj-Ab12cd34Ef56gh78IJ90")]
+    expected = spans_by_hand(docs)
+    got = {r.doc_id: [tuple(s) for s in r.spans if s not in r.base] for r in personal_data.annotate(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert got == expected
+    kinds = Counter(personal_data.NAMES[k] for i in range(540) for _, k, _ in got[i])
+    true = Counter(personal_data.NAMES[k] for i in range(540) if i % 9 < 5 for _, k, _ in got[i])
+    assert all(true[w.name] >= 55 for w in personal_data.WEAK) and sum(kinds.values()) - sum(true.values()) <= 20, (kinds, true)
+    assert got[10**6] == [(0, personal_data.NAMES.index("secret"), 10001)] and len(got[10**6 + 2]) == 2
+
+
 # 7 decontamination
 
 
