@@ -5,18 +5,24 @@ or more; a group is a connected component. The steps:
 
 1. One pass makes each text's set, MinHash samples, band hashes and odd sketch. Documents with
    equal sets become one node.
-2. Nodes that share a band hash are a bucket. Three pivots of each bucket are compared with all
-   its members; nothing is compared all with all. Pairs pass the odd sketches, then the exact
-   check on full sets, and links join components.
-3. While the pairs across components that are left in buckets are many, and each turn at least
-   halves them, a further pivot of each bucket is compared with the members outside its component.
-4. Pairs that are left are compared, except where distances to a pivot exclude a link: Jaccard
-   distance is a metric, so that two texts are at least as far apart as their distances to a pivot differ.
+2. Nodes that share a band hash are a bucket. Its pivot, the member that meets most others, is
+   compared with all members; nothing is compared all with all. Pairs pass the odd sketches,
+   then the exact check on full sets, and links join components.
+3. Where many members of buckets are left outside their pivot's component, further pivots are
+   compared with the members outside their own, as long as each turn joins a share of them.
+4. What is still apart is searched exactly, by differences to the pivot. Two linked sets x and y
+   differ in few items, so D(x) and D(y), the items in which they differ from the pivot, must
+   share many: an inequality between the four sizes says how many. So the rarest items of
+   each D are keys, as many as any partner must meet one of, and a meeting counts if what
+   follows in both orders can still reach the number. Members that differ from the pivot in
+   places of their own, as copies of one text do, have no key in common.
 
 The chance that a pair at the very threshold shares no band is 1.3e-7, and that its sketches
 reject it is smaller (see bound()). Null and blank texts have an empty set: they stand alone.
-A text with fewer words than a shingle is one shingle. Rows with equal texts are one group,
-also if their doc_ids are equal or null; a group's id is its least doc_id, null if it has none.
+A text with fewer words than a shingle is one shingle; texts of any length are read whole. Rows
+with equal texts are one group, also if their doc_ids are equal or null; a group's id is its
+least doc_id, null if it has none. An empty table gives an empty result. Other columns are carried
+along, whatever their names; one named like a column of the result gives way to it.
 """
 
 from __future__ import annotations
@@ -38,8 +44,9 @@ from leafmill.llm.decontamination import LOWER, numbers
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 40, 5
 SKETCH_BITS = 1024
-#: Pairs left to compare at once, as a multiple of bucket rows; and rounds of pivots at most.
-REST, ROUNDS, PIVOTS = 8, 12, 3
+#: Further pivots are tried while open pairs are more than so many times the bucket rows, so many
+#: rounds at most, and while each round joins a tenth of what is apart. They change no result.
+REST, ROUNDS = 8, 12
 find_words = re.compile(r"[^\x20\x09-\x0D]+").findall
 SEEDS = np.random.default_rng(20240229).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -113,8 +120,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs(doc_id, text, ...) -> the other columns, n_shingles, key (of the set), bands, sketch."""
-    rest = [x for x in docs.columns if x != "text"]
+    """docs(own, mark, text) -> own, mark, n_shingles, key (of the set), bands, sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,15 +134,18 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
                 sketches.append(odd_sketch(least) if len(items) else None)
             longs = pa.list_(pa.int64())
             made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_rows, longs), pa.array(sketches, longs)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in rest), *made], [*rest, "n_shingles", "key", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("mark"), *made], ["own", "mark", "n_shingles", "key", "bands", "sketch"])
 
-    kinds = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes if n != "text")
-    return docs.mapInArrow(sign, f"{kinds}, n_shingles long, key binary, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(sign, f"own {docs.schema['own'].dataType.simpleString()}, mark long, n_shingles long, key binary, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """node, items: the sets of nodes(node, key, rep), from the texts of one document each."""
-    found = docs.select("doc_id", "text").join(nodes, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "key", "text")
+    """node, items: the sets of nodes(node, key, rep, mark), from the texts of one document each.
+
+    A document is found by its id and its text's hash, so that null and repeated ids meet no other texts.
+    """
+    same = F.col("own.doc_id").eqNullSafe(F.col("rep.doc_id")) & (docs["mark"] == F.col("rep.mark"))
+    found = docs.join(nodes, same).select("node", "key", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,25 +171,75 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, common long, whole long")
 
 
-def _pivot(turn: int) -> Column:
-    """A member of a group of rows, chosen by a hash."""
-    return F.min_by("node", F.xxhash64("node", F.lit(turn)))
-
-
 def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _left(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """Buckets with members of several components: their pairs across, rows, and a pivot with its root."""
-    per_root = _with_roots(members, roots).groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), _pivot(turn).alias("node"))
-    pick = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("pivot")
-    found = per_root.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("rows"), pick)
+    """Buckets with members of several components: their pairs across, rows, parts, and a pivot with its root."""
+    chosen = F.xxhash64("node", F.lit(turn))
+    per_root = _with_roots(members, roots).groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", chosen).alias("node"))
+    pairs = ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
+    found = per_root.groupBy("bucket").agg(pairs, F.sum("n").alias("rows"), F.count(F.lit(1)).alias("parts"), F.min_by(F.struct("node", "root"), chosen).alias("pivot"))
     return materialize(found.filter("pairs > 0"), "open-buckets")
 
 
+def _differences(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """held(p, node, root, inside) -> also n and np, the sizes of both sets, and items: those in one of them only."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["p", "node", "root", "inside"]
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("x", "y"))
+            items = [np.setxor1d(a, b, assume_unique=True).view(np.int64) for a, b in zip(x, y, strict=True)]
+            made = [pa.array(map(len, x), pa.int64()), pa.array(map(len, y), pa.int64()), pa.array(items, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], [*names, "n", "np", "items"])
+
+    both = held.join(sets.select("node", F.col("items").alias("x")), "node").join(sets.select(F.col("node").alias("p"), F.col("items").alias("y")), "p")
+    return both.select("p", "node", "root", "inside", "x", "y").mapInArrow(differ, "p long, node long, root long, inside boolean, n long, np long, items array<long>")
+
+
+def _candidates(star: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different components that can be linked, among the nodes of each pivot in star(p, node).
+
+    With d the number of items in which a node differs from the pivot, a pair is linked if
+    d(x) + d(y) - 2 common <= most (n(x) + n(y)), most = (1 - s) / (1 + s). So for the lesser d,
+    all but n (1 - s) / 2s items are common, for the greater all but n (1 - s) / s; and a node of
+    the pivot's own component has partners outside it, which are far from the pivot.
+    Items that occur in one component only can't be common: they come first, and are no keys.
+    """
+    ends = _with_roots(star, roots).join(roots.select(F.col("node").alias("p"), F.col("root").alias("of_p")), "p", "left")
+    ends = ends.select("p", "node", "root", (F.col("root") == F.coalesce("of_p", "p")).alias("inside"))
+    apart = ends.filter(~F.col("inside")).select("p").distinct()
+    diffs = materialize(_differences(ends.join(apart, "p", "left_semi"), sets), "differences")
+    items = diffs.select("p", "node", "root", F.explode("items").alias("item"))
+    shared = items.groupBy("p", "item").agg(F.count(F.lit(1)).alias("rank"), F.min("root").alias("low"), F.max("root").alias("high"))
+    shared = shared.filter("low <> high").select("p", "item", "rank")
+    order = items.join(shared, ["p", "item"]).groupBy("p", "node").agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("shared"))
+    less, more, d, n = 100 - percent, 100 + percent, F.size("items"), F.col("n")
+    own = d - F.size("shared")
+    within = F.when(F.col("inside"), F.floor((more * d - less * (F.col("np") - n)) / (2 * more)) + 1).otherwise(d)
+    keys = diffs.join(order, ["p", "node"]).select(
+        "p", "node", "root", "n", d.alias("d"), own.alias("own"),
+        F.least(within, F.floor(less * n / (2 * percent)) + 1).alias("short"), F.least(within, F.floor(less * n / percent) + 1).alias("long"), "shared",
+    )
+    keys = keys.filter("long > own").select("*", F.posexplode(F.slice("shared", 1, (F.col("long") - F.col("own")).cast("int"))).alias("i", "key")).select(
+        "p", F.col("key.item").alias("item"), "node", "root", "n", "d", (F.col("own") + F.col("i")).alias("i"), "short"
+    )
+    keys = materialize(keys, "keys")
+    x, y = keys.filter("i < short").alias("x"), keys.alias("y")
+    of = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
+    (xd, yd), (xn, yn), (xi, yi) = of("d"), of("n"), of("i")
+    lesser = (xd < yd) | ((xd == yd) & (F.col("x.node") < F.col("y.node")))
+    sizes = (100 * xn >= percent * yn) & (100 * yn >= percent * xn)
+    reach = more * (xd + yd - 2 * F.least(xd - xi, yd - yi)) <= less * (xn + yn)
+    same = (F.col("x.p") == F.col("y.p")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.root") != F.col("y.root"))
+    met = x.join(y, same & lesser & sizes & reach)
+    return met.select(F.least(*of("node")).alias("a"), F.greatest(*of("node")).alias("b")).distinct()
+
+
 def _links(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node, root of all nodes of members(bucket, node) with a link; see steps 2 to 4 above."""
+    """node, root of all nodes of members(bucket, node, n) with a link; see steps 2 to 4 above."""
     a, b, most = F.col("a"), F.col("b"), bound(percent)
     near = differing(F.col("p.sketch"), F.col("q.sketch")) <= most
     fits = 100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")
@@ -197,58 +256,54 @@ def _links(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: in
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         return materialize(components(links), "roots")
 
-    pivots = members.groupBy("bucket").agg(*[_pivot(k).alias(f"p{k}") for k in range(PIVOTS)])
-    pivots = materialize(pivots, "pivots")
-    star = members.join(pivots, "bucket").select("node", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p"))
-    tested = first = compare(star.filter("node <> p").select(*ends("node", "p")))
-    roots = joined(first, None)
+    weighed = members.join(members.groupBy("node").agg(F.sum("n").alias("weight")), "node")
+    pivots = weighed.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("p"))
+    star = materialize(members.join(pivots, "bucket").filter("node <> p").select("p", "node").distinct(), "star")
+    tested = compare(star.select(*ends("p", "node")))
+    roots = joined(tested, None)
     before = math.inf
-    for turn in range(PIVOTS, PIVOTS + ROUNDS):
+    for turn in range(ROUNDS):
         open_ = _left(members, roots, turn)
-        left = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+        left = open_.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("pairs", "rows", "parts")]).first()
         if not left["pairs"]:
             return roots
-        if left["pairs"] <= REST * left["rows"] or 2 * left["pairs"] > before:
+        if left["pairs"] <= REST * left["rows"] or left["parts"] > 0.9 * before:
             break
-        before = left["pairs"]
-        pairs = _with_roots(members, roots).join(open_.select("bucket", "pivot"), "bucket").filter(F.col("root") != F.col("pivot.root"))
+        before = left["parts"]
+        pairs = _with_roots(members.select("bucket", "node"), roots).join(open_.select("bucket", "pivot"), "bucket").filter(F.col("root") != F.col("pivot.root"))
         found = compare(pairs.select(*ends("node", "pivot.node")).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         roots, tested = joined(found, roots), tested.unionByName(found)
-    held = _with_roots(members, roots).join(_left(members, roots, 0).select("bucket"), "bucket", "left_semi").join(pivots, "bucket")
-    to_pivot = held.select("bucket", "node", "root", F.posexplode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("k", "p")).select("*", *ends("node", "p"))
-    far = F.when(F.col("node") == F.col("p"), 0.0).otherwise(1 - F.col("common") / F.col("whole"))
-    to_pivot = to_pivot.join(first, ["a", "b"], "left").groupBy("bucket", "node", "root").agg(*[F.max(F.when(F.col("k") == k, far)).alias(f"d{k}") for k in range(PIVOTS)])
-    to_pivot = materialize(to_pivot, "distances")
-    x, y = to_pivot.alias("x"), to_pivot.alias("y")
-    may = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    for k in range(PIVOTS):
-        may = may & F.coalesce(F.abs(F.col(f"x.d{k}") - F.col(f"y.d{k}")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = _candidates(star, roots, sets, percent)
     return joined(compare(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")), roots)
 
 
+RESULT = ("n_shingles", "key", "root", "component_id", "kept")
+
+
 def annotate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text, ...) -> all columns but text, n_shingles, key, root, component_id, kept.
 
     The root tells groups apart: ids can be null or repeated. Texts without words have none.
     """
-    own = [x for x in docs.columns if x != "text"]
-    rows = materialize(signed(docs, shingle), "signed")
-    nodes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    own = F.struct(*[x for x in docs.columns if x != "text" and x not in RESULT])
+    texts = docs.select(own.alias("own"), F.xxhash64("text").alias("mark"), "text")
+    rows = materialize(signed(texts, shingle), "signed")
+    rep = F.min(F.struct(F.col("own.doc_id").alias("doc_id"), "mark")).alias("rep")
+    nodes = rows.filter("key IS NOT NULL").groupBy("key").agg(rep, F.min("own.doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(banded.join(shared, "bucket"), "members")
     met = members.select("node").distinct()
     near = materialize(nodes.join(met, "node", "left_semi").select("node", "key", "rep", "n", "sketch"), "met")
-    sets = materialize(_sets(docs, near.select("node", "key", "rep"), shingle), "sets")
+    sets = materialize(_sets(texts, near.select("node", "key", "rep"), shingle), "sets")
     roots = _links(members, near.select("node", "n", "sketch"), sets, percent)
-    groups = _with_roots(nodes.select("key", "rep", "node"), roots).select("key", "rep", "root")
-    least = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
+    groups = _with_roots(nodes.select("key", "least", "node"), roots).select("key", "least", "root")
+    least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     named = groups.join(least, "root").select("key", "root", "component_id")
-    found = rows.select(*own, "n_shingles", "key").join(named, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select(*own, "n_shingles", "key", "root", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    found = rows.select("own", "n_shingles", "key").join(named, "key", "left")
+    component = F.when(F.col("key").isNull(), F.col("own.doc_id")).otherwise(F.col("component_id"))
+    return found.select("own.*", "n_shingles", "key", "root", component.alias("component_id"), F.col("own.doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
