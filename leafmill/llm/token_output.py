@@ -4,7 +4,9 @@ A block is a self-contained image in the format below; blocks are the rows of a
 that Spark writes, so that a retried or duplicated task leaves no half-written or second copy.
 Documents are in ascending doc_id order (null first) over all partitions, blocks and rows. Null and empty texts
 hold the end id alone. Equal doc_ids are ordered by their texts. An empty table gives no
-blocks. A document is never cut: a block closes with the first one that fills it.
+blocks. A document is never cut: a block closes with the first one that fills it, and texts of
+any length are encoded whole. Columns other than doc_id and text aren't looked at. Readers
+find a document's ids by select, without a table of all ends.
 
 Image, little-endian: magic LMTB, u16 version, u16 bytes per id, u64 documents, u64 ids, u8 low
 bits, u64 words of upper bits; the low bits of all ends, packed; the upper bits in unary, in
@@ -13,6 +15,7 @@ u64 words; u32 position of every 64th set bit; the ids.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,14 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import each, materialize, table
-from leafmill.llm.token_counts import tokenizer_path
+from leafmill.llm.token_counts import byte_letters, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 18
 SAMPLE = 64
 HEADER = struct.Struct("<4sHHQQBQ")
-MEMO_ROWS, MEMO_CHARS = 1 << 19, 64
+#: Words and pre-tokens that a worker remembers, twice so many at most, and the longest of them.
+MEMO_WORDS, MEMO_PIECES, MEMO_CHARS = 1 << 17, 1 << 18, 64
 
 
 class EliasFano:
@@ -68,8 +72,13 @@ class EliasFano:
         for _ in range(left):
             bits &= bits - 1
         high = word * 64 + (bits & -bits).bit_length() - 1 - i
-        low = sum(int(self.low[b // 8] >> (b % 8) & 1) << k for k, b in enumerate(range(i * self.low_bits, (i + 1) * self.low_bits)))
-        return high << self.low_bits | low
+        first = i * self.low_bits
+        low = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little") >> first % 8
+        return high << self.low_bits | low & (1 << self.low_bits) - 1
+
+    def span(self, i: int) -> tuple[int, int]:
+        """Start and end of the i-th document, when the values are ends."""
+        return self.select(i - 1) if i else 0, self.select(i)
 
 
 def image(ends: np.ndarray, ids: np.ndarray) -> bytes:
@@ -90,40 +99,68 @@ def open_image(data: bytes) -> tuple[EliasFano, np.ndarray]:
     return EliasFano(n, bits, *parts[:3]), parts[3]
 
 
+class Memo:
+    """Remembers what was asked for of late: new entries displace those of the generation before."""
+
+    def __init__(self, rows: int):
+        self.rows, self.new, self.old = rows, {}, {}
+
+    def keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= MEMO_CHARS:
+            if len(self.new) >= self.rows:
+                self.old = dict(self.new)
+                self.new.clear()
+            self.new[key] = ids
+        return ids
+
+
 class Encoder:
     """Ids as the tokenizer's encode() gives them, each distinct spelling encoded once.
 
     The vocabulary's normaliser drops white space and its pre-tokens never contain any, so a
-    text's ids are those of its words in turn. A full stop or comma after a letter or digit
-    is a pre-token of its own.
+    text's ids are those of its words in turn. A word of Latin-1 letters and ASCII marks, which
+    normalising only puts into lower case, is cut into pre-tokens here; the library merges those
+    not seen of late. It gets all other words, and those with special strings, whole.
     """
 
+    #: Words that need no more than lower case, and their pre-tokens: the vocabulary's own pattern (fixed value), for these characters.
+    plain = re.compile("[!-~À-ÿ]+").fullmatch
+    pre_tokens = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = re.compile(special).search if special else lambda word: None
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
-        self.marks = {x: self.whole(x) for x in ".,"}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.words, self.pieces = Memo(MEMO_WORDS), Memo(MEMO_PIECES)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def piece(self, x: str) -> bytes:
+        if (ids := self.pieces.old.get(x)) is None:
+            letters = x if x.isascii() else "".join([self.letters[b] for b in x.encode()])
+            found = [t.id for t in self.merge(letters)]
+            ids = struct.pack(f"<{len(found)}{self.code}", *found)
+        return self.pieces.keep(x, ids)
+
     def word(self, word: str) -> bytes:
-        mark = self.marks.get(word[-1])
-        if mark is not None and len(word) > 1 and word[-2].isascii() and word[-2].isalnum():
-            ids = (self.memo.get(word[:-1]) or self.word(word[:-1])) + mark
-        else:
-            ids = self.whole(word)
-        if len(word) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_ROWS:
-                self.memo.clear()
-            self.memo[word] = ids
-        return ids
+        if (ids := self.words.old.get(word)) is None:
+            if self.plain(word) and not self.special(word):
+                known, piece = self.pieces.new.get, self.piece
+                ids = b"".join([known(x) or piece(x) for x in self.pre_tokens(word.lower())])
+            else:
+                ids = self.whole(word)
+        return self.words.keep(word, ids)
 
     def encode(self, text: str) -> bytes:
-        memo, word = self.memo.get, self.word
-        return b"".join([memo(x) or word(x) for x in text.replace("\n", " ").split(" ") if x])
+        known, word = self.words.new.get, self.word
+        return b"".join([known(x) or word(x) for x in text.replace("\n", " ").split(" ") if x])
 
 
 @lru_cache(maxsize=4)
@@ -187,11 +224,11 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
             id_type = b.column("doc_ids").type.value_type
             for part, before, doc_ids, data in zip(*(each(b.column(x)) for x in ("part", "part_start", "doc_ids", "image")), strict=True):
                 code, ids = open_image(data)
-                ends = code.values().astype(np.int64)
-                starts = np.concatenate(([0], ends[:-1]))
-                wide = ids.astype("<u4")
-                crcs = [zlib.crc32(wide[i:j]) for i, j in zip(starts, ends, strict=True)]
-                columns = [pa.array(doc_ids, id_type), pa.array([part] * len(ends), pa.int32()), pa.array(starts + before), pa.array(ends - starts), pa.array(crcs, pa.int64())]
+                rows = []
+                for k in range(code.count):
+                    i, j = code.span(k)
+                    rows.append((part, before + i, j - i, zlib.crc32(ids[i:j].astype("<u4"))))
+                columns = [pa.array(doc_ids, id_type), *(pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 3), strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "start", "n_tokens", "ids_crc32"])
 
     rows = blocks.select("part", "part_start", "doc_ids", "image").mapInArrow(digests, f"doc_id {kind}, part int, start long, n_tokens long, ids_crc32 long")
