@@ -24,7 +24,7 @@ def cut(x: Column, limit: int) -> Column:
     """At most limit characters, the last an ellipsis if any were lost; a limit of 0 cuts nothing."""
     if limit <= 0:
         return x
-    return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.rtrim(F.substring(x, 1, limit - 1)), F.lit("…")))
+    return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.substring(x, 1, limit - 1), F.lit("…")))
 
 
 def html_to_text(x: Column) -> Column:
@@ -134,5 +134,32 @@ def same_model(a: Column, b: Column) -> Column:
     return F.regexp_replace(a, ":latest$", "") == F.regexp_replace(b, ":latest$", "")
 
 
+#: What is shown in place of a secret.
+MASK = "********"
+
+
 def masked(secret: Column) -> Column:
-    return F.when(secret.isNotNull() & (secret != ""), F.lit("********"))
+    return F.when(secret.isNotNull() & (secret != ""), F.lit(MASK))
+
+
+def once(value: Column, body) -> Column:
+    """body(value), with value evaluated once for each row: a lambda's variable is never inlined."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def attachment(name: Column) -> Column:
+    """The header that names a downloaded file: in ASCII, and in full as percent-encoded UTF-8."""
+    plain = F.regexp_replace(F.regexp_replace(name, r"[^\x00-\x7F]", ""), r"^[._\- ]+|[._\- ]+$", "")
+    full = F.url_encode(name)
+    for code, char in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        full = F.replace(full, F.lit(code), F.lit(char))
+    return F.concat(F.lit('attachment; filename="'), F.coalesce(F.nullif(plain, F.lit("")), F.lit("summary.md")), F.lit("\"; filename*=UTF-8''"), full)
+
+
+def has_cjk(x: Column) -> Column:
+    return x.rlike("[一-鿿]")
+
+
+def is_local(url: Column) -> Column:
+    """Whether an address is this machine's."""
+    return host(url).isin("localhost", "127.0.0.1", "::1", "[::1]")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import strip
+
 SHORT = 12_000
 #: Markers that ingest writes, chapter headings, and ends of sentences (fixed patterns).
 MARKER = re.compile(r"^## \[(?:§(.+)|p\.(\d+)(?:\s+无文本)?)\]$", re.M)
@@ -129,9 +131,14 @@ def anchor(chapter: Column, idx: Column, pages: Column) -> Column:
     return F.concat(F.lit("〔"), F.concat_ws(" · ", chapter, F.concat(F.lit("段 "), idx + 1), pages), F.lit("〕"))
 
 
-def coverage(segments: DataFrame, key: str) -> DataFrame:
-    """Per text: segments, characters, the largest, and whether they follow on each other without gap."""
-    s = segments.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_segments"), F.sum(F.length("raw_text")).cast("long").alias("chars"), F.max(F.length("raw_text")).alias("largest"), F.max("end_offset").alias("last_end"), F.min("start_offset").alias("first_start"),
-    )
-    return s.select(key, "n_segments", "chars", "largest", ((F.col("first_start") == 0) & (F.col("last_end") == F.col("chars"))).alias("lossless"))
+def coverage(segments: DataFrame, key: str, texts: DataFrame, text: str) -> DataFrame:
+    """Per text of texts(key, text): segments, characters, the largest, and whether they are the text, each beginning where the one before ends.
+
+    A text's segments come together in one row, as long as the text itself.
+    """
+    parts = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_offset", "end_offset", "raw_text"))).alias("s"))
+    ends = F.concat(F.array(F.lit(0)), F.slice(F.transform("s", lambda x: x["end_offset"]), F.lit(1), F.size("s") - 1))
+    joined = F.array_join(F.transform("s", lambda x: x["raw_text"]), "")
+    sizes = F.transform("s", lambda x: F.length(x["raw_text"]))
+    lossless = (F.transform("s", lambda x: x["start_offset"]) == ends) & (F.transform("s", lambda x: x["end_offset"] - x["start_offset"]) == sizes) & (joined == strip(F.col(text)))
+    return parts.join(texts, key).select(key, F.size("s").cast("long").alias("n_segments"), F.length(joined).cast("long").alias("chars"), F.array_max(sizes).alias("largest"), lossless.alias("lossless"))

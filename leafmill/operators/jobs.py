@@ -43,12 +43,22 @@ def deduplicated(jobs: DataFrame, key: list[str]) -> DataFrame:
     return jobs.withColumn("nth", first).filter("nth = 1").drop("nth")
 
 
-def peak_concurrency(spans: DataFrame, resource: str) -> DataFrame:
-    """spans(resource, started, ended) -> the most that ran at once; an end frees its slot before a start at the same time."""
+#: Seconds of a bucket of time.
+BUCKET = 6 * 3600
+
+
+def peak_concurrency(spans: DataFrame, resource: str, bucket: int = BUCKET) -> DataFrame:
+    """spans(resource, started, ended) -> the most that ran at once; an end frees its slot before a start at the same time.
+
+    Sums run in two steps, over buckets of time and within each, so that a busy resource is no single task.
+    """
     steps = spans.select(resource, F.explode(F.array(F.struct(F.col("started").alias("at"), F.lit(1).alias("d")), F.struct(F.col("ended").alias("at"), F.lit(-1).alias("d")))).alias("s"))
-    net = steps.groupBy(resource, F.col("s.at").alias("at"), F.col("s.d").alias("d")).agg(F.sum("s.d").alias("step"))
-    running = F.sum("step").over(Window.partitionBy(resource).orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
-    return net.withColumn("running", running).groupBy(resource).agg(F.max("running").alias("peak"))
+    net = steps.groupBy(resource, F.floor(F.col("s.at") / bucket).alias("bucket"), F.col("s.at").alias("at"), F.col("s.d").alias("d")).agg(F.sum("s.d").alias("step"))
+    earlier = Window.partitionBy(resource).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = net.groupBy(resource, "bucket").agg(F.sum("step").alias("sum")).select(resource, "bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))
+    running = F.sum("step").over(Window.partitionBy(resource, "bucket").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
+    held = net.withColumn("running", running).groupBy(resource, "bucket").agg(F.max("running").alias("most"))
+    return held.join(before, [resource, "bucket"]).groupBy(resource).agg(F.max(F.col("most") + F.col("before")).alias("peak"))
 
 
 def slots(limits: DataFrame, running: DataFrame) -> DataFrame:
@@ -66,9 +76,12 @@ def chain(order: DataFrame, resources: DataFrame) -> DataFrame:
 
 
 def tier_for(machines: DataFrame, tiers: DataFrame) -> DataFrame:
-    """machines(machine, ram) -> the model of the highest tier(min_ram, model) that fits: an as-of lookup."""
-    bounds = sorted({r.min_ram for r in tiers.select("min_ram").collect()})  # a settings table
-    best = F.lit(None).cast("long")
-    for b in bounds:
-        best = F.when(F.col("ram") >= b, b).otherwise(best)
-    return machines.withColumn("min_ram", best).join(tiers, "min_ram", "left").select("machine", "ram", "model")
+    """machines(machine, ram) -> the model of the highest tier(min_ram, model) that fits: an as-of lookup.
+
+    Tiers and machines stand in one order by memory, and each machine takes the last tier so far; runs of memory sizes
+    are looked up apart, since there are few of them: one row per distinct size goes through the window.
+    """
+    sizes = machines.select("ram").distinct().select(F.col("ram").alias("at"), F.lit(None).cast("long").alias("tier")).unionByName(tiers.select(F.col("min_ram").alias("at"), F.col("min_ram").cast("long").alias("tier")))
+    so_far = Window.orderBy("at", F.col("tier").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    best = sizes.withColumn("min_ram", F.last("tier", ignorenulls=True).over(so_far)).filter("tier IS NULL").select(F.col("at").alias("ram"), "min_ram")
+    return machines.join(best, "ram", "left").join(tiers, "min_ram", "left").select("machine", "ram", "model")

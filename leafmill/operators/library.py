@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import ascii_nocase
-from leafmill.plans.views import CATEGORIES
+from leafmill.functions.text import MASK, ascii_nocase, first_filled, strip
 
+#: The fixed categories of a book; the last is the fallback.
+CATEGORIES = ("文学", "历史", "科技", "经管", "社科", "生活", "其他")
+SLIM = ["segment_id", "book_id", "idx", "label", "anchor_label", "char_count", "summary_status", "retry_count"]
+#: Columns of a segment at each width: only full has its text, list has neither summary nor translation.
 WIDTHS = {
-    "list": ["segment_id", "book_id", "idx", "label", "anchor_label", "char_count", "summary_status"],
-    "export": ["segment_id", "book_id", "idx", "label", "raw_text"],
-    "meta": ["segment_id", "book_id", "idx", "summary_status"],
+    "full": [*SLIM, "raw_text", "summary_json", "translation"],
+    "list": SLIM,
+    "meta": [*SLIM, "summary_json"],
+    "summary": ["segment_id", "idx", "summary_json", "label", "anchor_label", "summary_status"],
+    "export": [*SLIM, "summary_json", "translation"],
 }
 STATES = ("running", "queued", "paused", "idle", "summarized")
 
@@ -133,9 +138,9 @@ def merge_in_order(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def overlay(base: DataFrame, own: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Settings: own values where they aren't blank, else the base's; keys of both."""
+    """Settings: own values where they aren't blank or the mask of a secret, else the base's; keys of both."""
     o = own.select(key, *[F.col(f).alias(f"own_{f}") for f in fields])
-    filled = [F.coalesce(F.nullif(F.trim(F.col(f"own_{f}")), F.lit("")), F.col(f)).alias(f) for f in fields]
+    filled = [F.coalesce(F.nullif(F.nullif(F.trim(F.col(f"own_{f}")), F.lit("")), F.lit(MASK)), F.col(f)).alias(f) for f in fields]
     return base.join(o, key, "full_outer").select(key, *filled)
 
 
@@ -145,8 +150,10 @@ def fill_char_counts(segments: DataFrame) -> DataFrame:
 
 
 def update_summary(segments: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Segments with new summaries(segment_id, new_status, new_anchor): an anchor that is null keeps the old."""
+    """Segments with new summaries(segment_id, new_status, new_anchor): an anchor that is null keeps the old, a summary that is ready clears the retries."""
     joined = segments.join(summaries, "segment_id", "left")
+    if "retry_count" in segments.columns:
+        joined = joined.withColumn("retry_count", F.when(F.col("new_status") == "ready", 0).otherwise(F.col("retry_count")))
     return joined.withColumn("anchor_label", F.coalesce("new_anchor", "anchor_label")).withColumn("summary_status", F.coalesce("new_status", "summary_status")).drop("new_anchor", "new_status")
 
 
@@ -176,22 +183,130 @@ def window_around(segments: DataFrame, center: int, buffer: int) -> DataFrame:
     return segments.filter(near).select("book_id", "segment_id", "idx").join(sums, "book_id")
 
 
-def markdown_line() -> Column:
-    return F.concat(F.lit("## "), F.coalesce(F.nullif(F.col("label"), F.lit("")), F.concat(F.lit("段 "), F.col("idx") + 1)), F.lit("\n\n"), F.col("raw_text"))
+def client_filter(states: DataFrame, which: str) -> DataFrame:
+    """states(state, total, ready): all, or those in a state as a reader sees it: paused is idle too, and all ready is summarized."""
+    done = (F.col("state") == "summarized") | ((F.col("total") > 0) & (F.col("ready") >= F.col("total")))
+    rules = {"all": F.lit(True), "idle": F.col("state").isin("idle", "paused"), "summarized": done}
+    return states.filter(rules.get(which, F.col("state") == which))
 
 
-def export_blocks(segments: DataFrame, books: DataFrame) -> DataFrame:
-    """book_id, idx, block of each book that has segments, in order: its title with idx -1, then a row per segment.
+def public(books: DataFrame, states: DataFrame) -> DataFrame:
+    """Books as the outside sees them: flags, numbers from their metadata (null if it can't be read), and states(book_id, total, ready, state, queued) unless still in processing."""
+    meta = F.try_parse_json(F.col("metadata_json"))
+    number = lambda k: F.try_variant_get(meta, f"$.{k}", "string")
+    joined = books.join(states, "book_id", "left")
+    live = F.col("status") != "processing"
+    return joined.select(
+        "book_id", "title", "status", F.coalesce(F.col("is_favorite").cast("boolean"), F.lit(False)).alias("is_favorite"), number("total_char_count").alias("total_char_count"), number("chunker_version").alias("chunker_version"),
+        F.coalesce("ready", F.lit(0).cast("long")).alias("ready"), F.coalesce("total", F.lit(0).cast("long")).alias("total"), F.when(live, F.col("state")).alias("state"), F.when(live, F.coalesce("queued", F.lit(0).cast("long"))).alias("queued"),
+    )
 
-    For books of any size: a book's blocks joined by blank lines are its export_markdown.
-    """
-    lines = segments.join(books.select("book_id"), "book_id", "left_semi").select("book_id", "idx", markdown_line().alias("block"))
-    titles = books.join(segments.select("book_id").distinct(), "book_id", "left_semi").select("book_id", F.lit(-1).alias("idx"), F.concat(F.lit("# "), F.col("title")).alias("block"))
-    return titles.unionByName(lines).filter("block IS NOT NULL").orderBy("book_id", "idx")
+
+def notes_of(notes: DataFrame, book: str | None = None, segment=None) -> DataFrame:
+    """All notes, those of a book, or of a segment in it; the last made first."""
+    if book is not None:
+        notes = notes.filter(F.col("book_id") == book)
+    if segment is not None:
+        notes = notes.filter(F.col("segment_id") == segment)
+    return notes.orderBy(F.desc("created_at"), "note_id")
+
+
+def is_preset(sources: DataFrame, presets: DataFrame) -> DataFrame:
+    marked = presets.select("url", F.lit(True).alias("preset")).distinct()
+    return sources.join(marked, "url", "left").withColumn("preset", F.coalesce("preset", F.lit(False)))
+
+
+def position_delta(segments: DataFrame, moves: DataFrame) -> DataFrame:
+    """moves(book_id, from_idx, to_idx) -> the places between two segments in their book's list; null if either isn't there."""
+    placed = segments.select("book_id", "idx", F.row_number().over(Window.partitionBy("book_id").orderBy("idx")).alias("at"))
+    ends = moves.join(placed.select("book_id", F.col("idx").alias("from_idx"), F.col("at").alias("a")), ["book_id", "from_idx"], "left")
+    ends = ends.join(placed.select("book_id", F.col("idx").alias("to_idx"), F.col("at").alias("b")), ["book_id", "to_idx"], "left")
+    return ends.select("book_id", "from_idx", "to_idx", (F.col("b") - F.col("a")).alias("delta"))
+
+
+def first_sample(segments: DataFrame, chars: int = 2000) -> DataFrame:
+    """The start of each book's first segment."""
+    return segments.filter("idx = 0").select("book_id", F.substring("raw_text", 1, chars).alias("sample"))
+
+
+# changes: each gives the table as it is afterwards, or what happens to each request
+
+
+def imported(files: DataFrame, stored: DataFrame, content: str, key: str, overwrite: bool = False) -> DataFrame:
+    """files against stored(book_id, file_hash): new, a duplicate, or with overwrite a replacement of the book that goes."""
+    new = first_of_each_hash(files, content, key)
+    old = stored.groupBy("file_hash").agg(F.min("book_id").alias("existing"))
+    action = F.when(~F.col("is_new"), "duplicate").when(F.col("existing").isNull(), "import").otherwise("replace" if overwrite else "duplicate")
+    return new.join(old, "file_hash", "left").select(key, "file_hash", action.alias("action"), F.when(action == "replace", F.col("existing")).alias("purged"))
+
+
+def without_books(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Every table without the rows of the books that go; messages know theirs by the session only."""
+    ids = gone.select("book_id").distinct()
+    left = {name: rows.join(ids, "book_id", "left_anti") for name, rows in tables.items() if name != "messages"}
+    if "messages" in tables:
+        sessions = tables["sessions"].join(ids, "book_id", "left_semi").select("session_id")
+        left["messages"] = tables["messages"].join(sessions, "session_id", "left_anti")
+    return left
+
+
+def migrated(rows: DataFrame, added: dict[str, str]) -> DataFrame:
+    """A table of an older version: columns that it hasn't are added empty, and books left in processing are unread."""
+    rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in added.items() if c not in rows.columns})
+    return rows.withColumn("status", F.when(F.col("status") == "processing", "unread").otherwise(F.col("status"))) if "status" in rows.columns else rows
+
+
+def with_messages(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """sessions(session_id, updated_at) after messages(session_id, created_at) were added: the last one's time."""
+    last = messages.groupBy("session_id").agg(F.max("created_at").alias("last"))
+    return sessions.join(last, "session_id", "left").withColumn("updated_at", F.greatest("updated_at", "last")).drop("last")
+
+
+def with_notes(notes: DataFrame, added: DataFrame, deleted: DataFrame, segments: DataFrame) -> DataFrame:
+    """notes with those added whose segment belongs to the book they name, without those deleted."""
+    good = added.join(segments.select("segment_id", "book_id"), ["segment_id", "book_id"], "left_semi")
+    return notes.unionByName(good.select(*notes.columns)).join(deleted.select("note_id").distinct(), "note_id", "left_anti")
+
+
+def add_sources(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(url, title) -> url, title (the url, if blank) and what happens: added, duplicate, or invalid if it is no web address."""
+    url = strip(F.coalesce("url", F.lit("")))
+    named = wanted.select(url.alias("url"), first_filled(F.col("title"), url).alias("title"))
+    known = stored.select("url", F.lit(True).alias("known")).distinct()
+    action = F.when(~F.col("url").rlike("^https?://"), "invalid").when(F.col("known"), "duplicate").otherwise("added")
+    return named.join(known, "url", "left").select("url", "title", action.alias("action"))
+
+
+def without_sources(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    """sources without those of the ids; their articles stay."""
+    return stored.join(ids.select("source_id").distinct(), "source_id", "left_anti")
+
+
+def patched(books: DataFrame, patches: DataFrame) -> DataFrame:
+    """books after patches(book_id, new_favorite, new_category, new_title): null leaves a field, a blank title too. reindex tells where the title changed."""
+    title = first_filled(F.col("new_title"))
+    known = F.when(F.col("new_category").isNotNull(), category(F.col("new_category")))
+    joined = books.join(patches, "book_id", "left")
+    made = {"title": F.coalesce(title, F.col("title")), "category": F.coalesce(known, F.col("category")), "is_favorite": F.coalesce(F.col("new_favorite"), F.col("is_favorite")), "reindex": F.coalesce(title != F.col("title"), F.lit(False))}
+    return joined.withColumns(made).drop("new_favorite", "new_category", "new_title")
+
+
+#: Fields of an article that an update may set (fixed values).
+UPDATABLE = ("title", "excerpt", "author", "published_at", "rss_summary", "one_liner", "score_hint", "fetched_text_path", "summary_markdown", "summary_status")
+
+
+def updated(articles: DataFrame, changes: DataFrame) -> DataFrame:
+    """articles after changes(article_id, fields: map from name to text): only fields that may be set are."""
+    joined = articles.join(changes, "article_id", "left")
+    takes = {c: F.when(F.map_contains_key(F.coalesce("fields", F.create_map().cast("map<string,string>")), c), F.element_at("fields", c).try_cast(kind)).otherwise(F.col(c)) for c, kind in articles.dtypes if c in UPDATABLE}
+    return joined.withColumns(takes).drop("fields")
+
+
+def manual_category(x: Column) -> Column:
+    """A category that a reader set; null stays null."""
+    return F.when(x.isNotNull(), category(x))
 
 
-def export_markdown(segments: DataFrame, books: DataFrame) -> DataFrame:
-    """A Markdown text per book: its title, then its segments in order; a book is one row, see export_blocks()."""
-    parts = segments.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("idx", markdown_line().alias("line")))).alias("lines"))
-    body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n")
-    return books.select("book_id", "title").join(parts, "book_id").select("book_id", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), body).alias("markdown"))
+def distinct_in_order(first: Column, second: Column) -> Column:
+    """The items of both lists, each once, at its first place."""
+    return F.array_distinct(F.concat(first, second))

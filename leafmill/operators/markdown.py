@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import strip
 
+#: What is a heading, what cites a place, and what is said of a point without one (fixed values).
 HEADING = r"^#{1,6}\s+.+$"
 CITATION = r"(?i)〔[^〕]+〕|\[p\.\d+\]|〔?§[^\s，,;；|〕\]]+|Sheet\s*[:：]?\s*\S+|p\.\d+"
 UNLOCATED = " 〔未定位到页/节〕"
+#: Headings and lines of a card made without a model (fixed values).
+LEAD, POINTS, WHOLE, NO_LEAD = "## 总结（最多三句话）", "## 结构化要点", "(全文)", "文档的要点如下。"
+ASKS = ["", "## 你可以接着问", "1. 哪一节最值得展开？", "2. 有哪些需要注意的限制？"]
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -24,7 +28,7 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     numbered = lines.withColumn("section", F.sum(F.col("is_heading").cast("int")).over(so_far)).withColumn("any", F.max("is_heading").over(Window.partitionBy(key)))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
     grouped = numbered.filter("section > 0 OR NOT any").groupBy(key, "section").agg(F.min_by("line", "pos").alias("first"), F.first("any").alias("any"), body.alias("text"))
-    return grouped.select(key, "section", F.when(F.col("any"), F.rtrim("first")).otherwise("(全文)").alias("heading"), "text")
+    return grouped.select(key, "section", F.when(F.col("any"), F.rtrim("first")).otherwise(WHOLE).alias("heading"), "text")
 
 
 def under(lines: DataFrame, key: str, heading: str) -> Column:
@@ -52,7 +56,7 @@ def joined(lines: DataFrame, key: str) -> DataFrame:
 
 def cite_of(heading: Column) -> Column:
     title = F.coalesce(F.nullif(strip(F.regexp_replace(heading, r"^[#\s]+", "")), F.lit("")), F.lit("全文"))
-    inner = F.when(title.rlike(r"^\[.*\]$"), F.substring(title, 2, 10000)).otherwise(title)
+    inner = F.when(title.rlike(r"^\[.*\]$"), F.substring(title, F.lit(2), F.length(title))).otherwise(title)
     inner = F.when(title.rlike(r"^\[.*\]$"), F.substring(inner, F.lit(1), F.length(inner) - 1)).otherwise(inner)
     return F.when(inner.rlike(r"^(?:§|p\.)"), inner).otherwise(F.concat(F.lit("§"), inner))
 
@@ -62,6 +66,16 @@ def without_markers(text: Column) -> Column:
     return strip(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
+def annotated(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Each document with its sections under the places that answers cite."""
+    title = F.coalesce(F.nullif(F.trim(F.regexp_replace("heading", "^[# ]+", "")), F.lit("")), F.lit("全文"))
+    whole = strip(F.col("text"))
+    body = F.when(whole.startswith(F.col("heading")), strip(F.regexp_replace(whole, r"^[^\n]*\n?", ""))).otherwise(whole)
+    parts = sections(docs, key, text).select(key, "section", F.concat(F.lit("[§"), title, F.lit("]")).alias("mark"), body.alias("body"))
+    block = F.concat("mark", F.when(F.col("body") != "", F.concat(F.lit("\n"), F.col("body"))).otherwise(""))
+    return parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("annotated"))
+
+
 def clipped(x: Column, n: int) -> Column:
     return F.when(F.length(x) > n, F.concat(F.substring(x, 1, n), F.lit("…"))).otherwise(x)
 
@@ -69,7 +83,7 @@ def clipped(x: Column, n: int) -> Column:
 def heuristic_summary(docs: DataFrame, key: str, text: str) -> DataFrame:
     """A summary card without a model: the first sentence, and a point for each of the first six sections."""
     lead = F.filter(F.split(without_markers(F.col(text)), r"(?<=[。！？.!?])\s+"), lambda s: F.length(F.trim(s)) > 8)
-    one = F.coalesce(F.get(lead, F.lit(0)), F.lit("文档的要点如下。"))
+    one = F.coalesce(F.get(lead, F.lit(0)), F.lit(NO_LEAD))
     one = F.when(F.length(one) > 160, F.concat(F.substring(one, 1, 159), F.lit("…"))).otherwise(one)
     parts = sections(docs, key, text).select(key, "section", cite_of(F.col("heading")).alias("cite"), without_markers(F.col("text")).alias("body"))
     label = F.regexp_replace("cite", r"^(?:§|p\.)+", "")
@@ -80,5 +94,4 @@ def heuristic_summary(docs: DataFrame, key: str, text: str) -> DataFrame:
     made = docs.select(key, one.alias("lead")).join(per_doc, key, "left")
     fallback = F.array(F.concat(F.lit("- **全文**："), F.col("lead"), F.lit(" — 依据：原文 〔§全文〕")))
     ps = F.coalesce(F.transform("ps", lambda x: x["p"]), fallback)
-    tail = ["", "## 你可以接着问", "1. 哪一节最值得展开？", "2. 有哪些需要注意的限制？"]
-    return made.select(key, F.array_join(F.concat(F.array(F.lit("## 总结（最多三句话）"), F.col("lead"), F.lit(""), F.lit("## 结构化要点")), ps, F.array(*[F.lit(x) for x in tail])), "\n").alias("markdown"))
+    return made.select(key, F.array_join(F.concat(F.array(F.lit(LEAD), F.col("lead"), F.lit(""), F.lit(POINTS)), ps, F.array(*[F.lit(x) for x in ASKS])), "\n").alias("markdown"))

@@ -28,7 +28,7 @@ def sections(text: Column) -> Column:
     """Bodies by field; of a repeated heading the last counts."""
     raw = strip(F.coalesce(text, F.lit("")))
     names = F.transform(F.regexp_extract_all(raw, F.lit(HEADING), F.lit(0)), lambda h: F.regexp_replace(h, r"(?U)[\s📌📝💡💬📊]", ""))
-    bodies = F.transform(F.slice(F.split(raw, HEADING, -1), 2, 1000), lambda b: strip(F.regexp_replace(b, r"\s*阅读(?:完整文章|推文)\s*$", "")))
+    bodies = F.transform(F.slice(F.split(raw, HEADING, -1), F.lit(2), F.size(F.split(raw, HEADING, -1))), lambda b: strip(F.regexp_replace(b, r"\s*阅读(?:完整文章|推文)\s*$", "")))
     fields = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
     pairs = F.filter(F.zip_with(names, bodies, lambda n, b: F.struct(F.element_at(fields, n).alias("k"), b.alias("b"))), lambda p: p["b"] != "")
     last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["b"])))
@@ -63,7 +63,7 @@ def plain(text: Column) -> Column:
     """A summary without headings: the first sentence, the rest, and up to five short claims."""
     raw = strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
     s = sentences(raw)
-    rest = F.slice(s, 2, 100000)
+    rest = F.slice(s, F.lit(2), F.greatest(F.size(s), F.lit(1)))
     claims = F.slice(F.transform(F.filter(rest, lambda x: F.length(x) <= CLAIM_MOST), lambda x: F.when(x.rlike("[。！？]$"), x).otherwise(F.concat(x, F.lit("。")))), 1, 5)
     one = F.get(s, F.lit(0))
     return F.struct(
@@ -97,16 +97,18 @@ def skim_text(parsed: Column) -> Column:
 
 
 def timestamp(x: Column) -> Column:
-    """ISO times and dates as UTC; anything else null."""
+    """ISO times and dates; those without an offset are UTC, whatever the session's zone. Anything else is null."""
     s = F.trim(x)
-    return F.when(s.contains("T"), F.try_to_timestamp(s)).otherwise(F.try_to_timestamp(F.substring(s, 1, 10)))
+    full = F.when(s.contains("T"), s).otherwise(F.concat(F.substring(s, 1, 10), F.lit("T00:00:00")))
+    zoned = F.when(full.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"), full).otherwise(F.concat(full, F.lit("Z")))
+    return F.when(full.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}"), F.try_to_timestamp(zoned))
 
 
 def freshness(published: Column, synced: Column, now: Column) -> Column:
-    """3 in the first day, 1.5 in three, 0.5 in seven; a time to come counts as now."""
+    """3 in the first day, 1.5 in three, 0.5 in seven, else 0; without a time 0. A time to come counts as now."""
     at = F.coalesce(timestamp(published), timestamp(synced))
-    hours = F.greatest(F.lit(0.0), (now.cast("timestamp").cast("double") - at.cast("double")) / 3600)
-    return F.when(hours <= 24, 3.0).when(hours <= 72, 1.5).when(hours <= 168, 0.5).otherwise(0.0)
+    hours = F.greatest(F.lit(0.0), (timestamp(now).cast("double") - at.cast("double")) / 3600)
+    return F.when(at.isNull(), 0.0).when(hours <= 24, 3.0).when(hours <= 72, 1.5).when(hours <= 168, 0.5).otherwise(0.0)
 
 
 def scored(articles: DataFrame, now: str) -> DataFrame:
@@ -126,6 +128,86 @@ def brief(articles: DataFrame, sources: DataFrame, now: str, k: int = 25) -> Dat
     return placed.join(names, "source_id", "left").withColumn("source_title", F.coalesce("source_title", F.nullif(F.col("source_id"), F.lit(""))))
 
 
+def recent(articles: DataFrame, k: int = 50) -> DataFrame:
+    """The k last published, then last synced."""
+    return articles.orderBy(F.desc("published_at"), F.desc("synced_at"), "article_id").limit(k)
+
+
+def of_source(articles: DataFrame, source: str = "all") -> DataFrame:
+    return articles if source == "all" else articles.filter(F.col("source_id") == source)
+
+
+def cards(ranked: DataFrame) -> DataFrame:
+    """ranked(..., rss_summary, one_liner, excerpt, author) -> what a card of the brief shows, lists and detail cut to its limits (fixed values)."""
+    p = F.col("p")
+    line = first_filled(F.col("one_liner"), p["one_liner"], F.col("excerpt"))
+    detail = F.nullif(cut(strip(F.coalesce(p["detail"], F.lit(""))), 360), F.lit(""))
+    own = F.map_filter(p["meta"], lambda k, v: v.isNotNull())
+    author = first_filled(F.col("author"))
+    meta = F.when(author.isNotNull() & ~F.map_contains_key(own, "author"), F.map_concat(own, F.create_map(F.lit("author"), author))).otherwise(own)
+    shown = F.coalesce(detail, p["detail"])
+    rich = (F.length(F.trim(F.coalesce(shown, F.lit("")))) >= 80) | (F.size(p["viewpoints"]) >= 2) | (F.size(p["quotes"]) > 0)
+    made = {"one_liner": line, "detail": detail, "viewpoints": F.slice(p["viewpoints"], 1, 5), "quotes": F.slice(p["quotes"], 1, 6), "meta": meta, "skim_rich": rich}
+    return ranked.withColumn("p", parse_summary(F.col("rss_summary"))).withColumns(made).drop("p")
+
+
+def expected_words(parsed: Column) -> Column:
+    """The number of words that a summary announces, null unless it is above 0."""
+    n = F.element_at(parsed["meta"], "word_count").try_cast("int")
+    return F.when(n > 0, n)
+
+
+def origin_hint(parsed: Column) -> Column:
+    """The source that a summary names, if it is an address."""
+    source = F.trim(F.element_at(parsed["meta"], "source"))
+    return F.when(source.rlike("^https?://"), source)
+
+
+def fallback_body(parsed: Column, excerpt: Column) -> Column:
+    """What a summary tells, for want of the body: line, detail, viewpoints, quotes; else the excerpt."""
+    listed = lambda head, items: F.when(F.size(items) > 0, F.concat(F.lit(head + "\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")))
+    parts = F.array(parsed["one_liner"], parsed["detail"], listed("主要观点：", parsed["viewpoints"]), listed("金句：", parsed["quotes"]))
+    body = strip(F.array_join(F.filter(F.array_compact(parts), lambda x: strip(x) != ""), "\n\n"))
+    return F.when(body != "", body).otherwise(F.coalesce(excerpt, F.lit("")))
+
+
+def cached(title: Column, url: Column, body: Column) -> Column:
+    """A body as it is kept: title, address and text."""
+    return F.concat(F.lit("# "), title, F.lit("\n\n来源: "), url, F.lit("\n\n"), body)
+
+
+def uncached(raw: Column) -> Column:
+    """title and body of a kept text; a text without the head is the body."""
+    raw = F.coalesce(raw, F.lit(""))
+    head = F.regexp_extract(raw, r"(?m)^# (.*)$", 1)
+    parts = F.split(raw, "\n\n", 3)
+    rest = F.when((F.size(parts) == 3) & F.get(parts, F.lit(1)).startswith("来源:"), F.get(parts, F.lit(2))).otherwise(F.array_join(F.slice(parts, 2, 2), "\n\n"))
+    body = F.when(raw.startswith("# ") & (F.size(parts) >= 2), rest).otherwise(raw)
+    return F.struct(strip(head).alias("title"), strip(body).alias("body"))
+
+
+def article_context(body: Column, fallback: Column, card: Column) -> Column:
+    """What a question about an article is answered from: the start of its body (fixed value), else its summary, else its card."""
+    return first_filled(F.substring(body, 1, 12000), fallback, card)
+
+
+def deep_read(body: Column, good: Column, parsed: Column, excerpt: Column, least: int = 250) -> Column:
+    """body, strategy and status of a deep read: a good body, a short one of some length, or what the summary tells."""
+    n = F.length(strip(F.coalesce(body, F.lit(""))))
+    told = fallback_body(parsed, excerpt)
+    strategy = F.when(good, "full").when(n >= least, "short").when(told != "", "summary").otherwise("none")
+    text = F.when(strategy.isin("full", "short"), strip(body)).when(strategy == "summary", told)
+    return F.struct(text.alias("body"), strategy.alias("strategy"), F.when(strategy == "none", "failed").otherwise("ready").alias("status"), strategy.isin("full").alias("complete"))
+
+
+def sync_counts(fetched: DataFrame, known: DataFrame, sources: DataFrame) -> DataFrame:
+    """sources(source_id, error) -> of each source the fetched(source_id, article_id) and the new ones among them, or its error."""
+    new = fetched.join(known.select("article_id").distinct().withColumn("old", F.lit(True)), "article_id", "left")
+    counts = new.groupBy("source_id").agg(F.count(F.lit(1)).alias("fetched"), F.count_distinct(F.when(F.col("old").isNull(), F.col("article_id"))).alias("inserted"))
+    zero = lambda c: F.when(F.col("error").isNull(), F.coalesce(c, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return sources.join(counts, "source_id", "left").select("source_id", zero("fetched").alias("fetched"), zero("inserted").alias("inserted"), "error")
+
+
 def choose_body(candidates: DataFrame) -> DataFrame:
     """candidates(article_id, attempt, strategy, text, expected_words): the first good body, else the longest, flagged."""
     good = body_is_good(F.col("text"), F.col("expected_words"))

@@ -1,4 +1,4 @@
-"""Full-text search by trigrams, ranked by BM25."""
+"""Full-text search by trigrams, ranked by BM25: over books, segments and notes."""
 
 from __future__ import annotations
 
@@ -11,12 +11,33 @@ K1, B = 1.2, 0.75
 BODY_CHARS = 4000
 
 
-def index(segments: DataFrame, books: DataFrame) -> DataFrame:
-    """A row per segment: its title, and label and text as the body."""
-    b = books.select("book_id", F.col("title").alias("book_title"))
-    title = F.concat(F.col("book_title"), F.lit(" · 段 "), F.col("idx") + 1)
-    body = F.concat_ws("\n", "label", F.substring("raw_text", 1, BODY_CHARS))
-    return segments.join(b, "book_id").select("segment_id", "book_id", "idx", title.alias("title"), body.alias("body"))
+#: Kinds of rows, in the order in which a reader sees them.
+KINDS = ("book", "segment", "note")
+
+
+def index(segments: DataFrame, books: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """kind, book_id, segment_id, note_id, idx, title, body of all that can be found.
+
+    A book by title and author, a segment by label, summary, the start of its text and translation, a note by quote and content.
+    A note is a row of its own: it stays when its segment is indexed again.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    none = lambda c, kind="long": F.lit(None).cast(kind).alias(c)
+    b = books.select("book_id", text("title").alias("book_title"))
+    found = books.select(F.lit("book").alias("kind"), "book_id", none("segment_id"), none("note_id"), none("idx", "int"), text("title").alias("title"), text("author").alias("body"))
+    title = F.concat("book_title", F.lit(" · 段 "), F.col("idx") + 1)
+    body = F.concat_ws("\n", text("label"), text("summary_json"), F.substring(text("raw_text"), 1, BODY_CHARS), text("translation"))
+    found = found.unionByName(segments.join(b, "book_id").select(F.lit("segment").alias("kind"), "book_id", "segment_id", none("note_id"), "idx", title.alias("title"), body.alias("body")))
+    if notes is not None:
+        placed = notes.join(segments.select("segment_id", "book_id", "idx"), "segment_id").join(b, "book_id")
+        found = found.unionByName(placed.select(F.lit("note").alias("kind"), "book_id", "segment_id", "note_id", "idx", F.concat(F.lit("笔记 · "), "book_title").alias("title"), F.concat(text("quote"), F.lit("\n"), text("content")).alias("body")))
+    return found
+
+
+def by_kind(hits: DataFrame) -> DataFrame:
+    """Hits with the place at which a reader sees them: books, then segments, then notes, each by rank."""
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    return hits.orderBy(order, "rank", "book_id", "segment_id", "note_id")
 
 
 def terms_of(query: str) -> list[str]:
@@ -54,23 +75,29 @@ def bm25(rows: DataFrame, query: str) -> DataFrame:
 
 def search(rows: DataFrame, query: str, limit: int = 30) -> DataFrame:
     """The best rows; equal ranks in order of their ids."""
-    return bm25(rows, query).orderBy("rank", "segment_id").limit(limit)
+    ties = [c for c in ("kind", "book_id", "segment_id", "note_id") if c in rows.columns]
+    return bm25(rows, query).orderBy("rank", *ties).limit(limit)
+
+
+#: Words that tell what a question is about, and words that ask for facts from outside (fixed values).
+ACADEMIC, CODE, BOOKS = "arxiv|论文|paper|research|study", "github|repo|代码|开源|library api", "作者|书名|出版|author|isbn|open library"
+OUTSIDE = "历史上|背景|为什么|维基|网上|最新|who is|when did|wikipedia"
 
 
 def domain(query: Column) -> Column:
     """What a question is about: the first of the lists that has a word of it."""
     q = F.lower(query)
     return (
-        F.when(q.rlike("arxiv|论文|paper|research|study"), "academic")
-        .when(q.rlike("github|repo|代码|开源|library api"), "code")
-        .when(q.rlike("作者|书名|出版|author|isbn|open library"), "books")
+        F.when(q.rlike(ACADEMIC), "academic")
+        .when(q.rlike(CODE), "code")
+        .when(q.rlike(BOOKS), "books")
         .otherwise("general")
     )
 
 
 def evidence_is_enough(query: Column, context: Column, least: int = 200) -> Column:
     """Enough context, and no word in the question that asks for outside facts."""
-    outside = F.lower(query).rlike("历史上|背景|为什么|维基|网上|最新|who is|when did|wikipedia")
+    outside = F.lower(query).rlike(OUTSIDE)
     return (F.length(F.trim(F.coalesce(context, F.lit("")))) >= least) & ~outside
 
 

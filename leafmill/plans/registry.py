@@ -6,27 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import language, text
-from leafmill.operators import chat, chunking, jobs, library, markdown, model_output, news, search
+from leafmill.operators import chat, chunking, export, jobs, library, markdown, model_output, news, search
 from leafmill.plans import views as v
+from leafmill.plans.register import ORACLES, QUERIES, query
 from leafmill.streaming import jobs as streams
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 NOW = "2024-03-20T00:00:00Z"
 
 
-def query(sql: str | None = None, with_views: bool = True):
-    """Registers a function under its own name; sql sees the views."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = (v.SQL + sql if with_views else sql).strip()
-        return f
-
-    return add
-
-
 PROGRESS = "SELECT book_id, count(*) AS total, count(*) FILTER (summary_status = 'ready') AS ready FROM segments GROUP BY book_id"
 
 
@@ -68,24 +55,26 @@ def library_by_category(spark, d):
     return library.filtered(v.books(spark, d), "科技").select("book_id", "category")
 
 
-@query("SELECT segment_id, book_id, idx, label, anchor_label, char_count, summary_status FROM segments")
+@query("SELECT segment_id, book_id, idx, label, anchor_label, char_count, summary_status, retry_count FROM segments")
 def segments_slim(spark, d):
     return library.segment_list(v.segments(spark, d))
 
 
 @query("SELECT segment_id, book_id, idx, label, raw_text FROM segments WHERE idx = 3")
 def segment_by_number(spark, d):
-    return library.segment_list(v.segments(spark, d), "export").filter("idx = 3")
+    return library.segment_list(v.segments(spark, d), "full").filter("idx = 3").select("segment_id", "book_id", "idx", "label", "raw_text")
 
 
 @query("SELECT segment_id, book_id, idx, summary_status FROM segments WHERE summary_status IN ('pending', 'failed', 'error')")
 def segments_to_do(spark, d):
-    return library.segment_list(v.segments(spark, d), "meta").filter(F.col("summary_status").isin("pending", "failed", "error"))
+    return library.segment_list(v.segments(spark, d), "meta").filter(F.col("summary_status").isin("pending", "failed", "error")).select("segment_id", "book_id", "idx", "summary_status")
 
 
-@query("SELECT book_id, 'summarized' AS status FROM segments WHERE summary_status <> 'pending' OR idx % 2 = 0 GROUP BY book_id HAVING bool_and(summary_status = 'ready')")
+@query("SELECT book_id, 'summarized' AS status FROM (SELECT book_id || '/' || (idx % 40) AS book_id, summary_status FROM segments) GROUP BY book_id HAVING bool_and(summary_status = 'ready')")
 def books_all_ready(spark, d):
-    return library.all_ready(v.segments(spark, d).filter("summary_status <> 'pending' OR idx % 2 = 0"))
+    """Books cut into forty volumes each, so that some have nothing but ready segments."""
+    volumes = v.segments(spark, d).select(F.concat("book_id", F.lit("/"), F.col("idx") % 40).alias("book_id"), "summary_status")
+    return library.all_ready(volumes)
 
 
 @query("SELECT n.note_id, n.segment_id, s.book_id, b.title AS book_title, coalesce(nullif(s.label, ''), s.anchor_label, '段 ' || (s.idx + 1)) AS segment_label, n.content, n.created_at FROM notes n JOIN segments s ON n.segment_id = s.segment_id JOIN books b ON s.book_id = b.book_id")
@@ -108,23 +97,21 @@ def import_by_content(spark, d):
     return library.first_of_each_hash(v.table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", "file_hash", "original", "is_new")
 
 
-@query(""", o AS (SELECT article_id, source_id, url, title FROM articles WHERE page_id % 2 = 0), n AS (
-  SELECT article_id, source_id || '/new' AS source_id, url, title || ' v2' AS title FROM articles WHERE page_id % 3 = 0)
-SELECT coalesce(o.article_id, n.article_id) AS article_id, coalesce(n.title, o.title) AS title, coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.url, n.url) AS url, o.article_id IS NULL AS is_new
-FROM (SELECT DISTINCT * FROM (SELECT article_id, first_value(title) OVER w AS title, first_value(source_id) OVER w AS source_id, first_value(url) OVER w AS url FROM articles WHERE page_id % 2 = 0 WINDOW w AS (PARTITION BY article_id ORDER BY page_id))) o
-FULL JOIN (SELECT DISTINCT * FROM (SELECT article_id, first_value(title || ' v2') OVER (PARTITION BY article_id ORDER BY page_id DESC) AS title, first_value(source_id || '/new') OVER (PARTITION BY article_id ORDER BY page_id) AS source_id, first_value(url) OVER (PARTITION BY article_id ORDER BY page_id) AS url FROM articles WHERE page_id % 3 = 0)) n ON o.article_id = n.article_id""")
+@query("""SELECT article_id, arg_max(title, page_id) || ' v2' AS title, arg_min(source_id, CASE WHEN page_id % 2 = 0 THEN page_id - 1000000000 ELSE page_id END) || CASE WHEN bool_or(page_id % 2 = 0) THEN '' ELSE '/new' END AS source_id,
+arg_min(url, CASE WHEN page_id % 2 = 0 THEN page_id - 1000000000 ELSE page_id END) AS url, NOT bool_or(page_id % 2 = 0) AS is_new FROM articles GROUP BY article_id""")
 def articles_upserted(spark, d):
+    """Even pages are stored; all of them arrive again with new titles, and the odd ones for the first time."""
     a = v.articles(spark, d)
     old = a.filter("page_id % 2 = 0").groupBy("article_id").agg(F.min_by(F.struct("title", "source_id", "url"), "page_id").alias("x")).select("article_id", "x.*")
-    new = a.filter("page_id % 3 = 0").select("article_id", F.concat("title", F.lit(" v2")).alias("title"), F.concat("source_id", F.lit("/new")).alias("source_id"), "url", F.col("page_id").alias("seq"))
+    new = a.select("article_id", F.concat("title", F.lit(" v2")).alias("title"), F.concat("source_id", F.lit("/new")).alias("source_id"), "url", F.col("page_id").alias("seq"))
     return library.upsert(old, new, "article_id", ["title"], ["source_id", "url"])
 
 
-@query(", p AS (SELECT url, coalesce(title, 'New') AS title FROM sources WHERE length(source_id) % 2 = 0) SELECT p.url, p.title, CASE WHEN s.url IS NULL THEN 'insert' WHEN p.title IS DISTINCT FROM s.title THEN 'update' ELSE 'keep' END AS action FROM p LEFT JOIN (SELECT * FROM sources WHERE length(url) % 4 <> 0) s ON p.url = s.url")
+@query("SELECT url, coalesce(title, 'New') AS title, CASE WHEN length(url) % 4 = 0 THEN 'insert' WHEN title IS NULL THEN 'update' ELSE 'keep' END AS action FROM sources")
 def presets_reconciled(spark, d):
+    """All sources as presets, of which a quarter aren't stored."""
     s = v.sources(spark, d)
-    presets = s.filter("length(source_id) % 2 = 0").select("url", F.coalesce("title", F.lit("New")).alias("title"))
-    return library.reconcile(presets, s.filter("length(url) % 4 <> 0").select("url", "title"))
+    return library.reconcile(s.select("url", F.coalesce("title", F.lit("New")).alias("title")), s.filter("length(url) % 4 <> 0").select("url", "title"))
 
 
 @query("SELECT n.book_id, n.title, CAST(row_number() OVER (ORDER BY o.pos ASC NULLS LAST, n.pos, n.book_id) AS INTEGER) AS place FROM (SELECT *, row_number() OVER (ORDER BY title DESC, book_id) AS pos FROM books WHERE status <> 'error') n LEFT JOIN (SELECT book_id, row_number() OVER (ORDER BY book_id) AS pos FROM books WHERE is_favorite) o ON n.book_id = o.book_id")
@@ -137,12 +124,15 @@ def books_merged_in_order(spark, d):
     return library.merge_in_order(old, new, "book_id")
 
 
-@query(", b AS (SELECT source_id, upper(source_id) AS title, url FROM sources WHERE length(source_id) % 2 = 0) SELECT coalesce(b.source_id, o.source_id) AS source_id, coalesce(nullif(trim(o.title), ''), b.title) AS title, coalesce(nullif(trim(o.url), ''), b.url) AS url FROM b FULL JOIN (SELECT source_id, CASE WHEN length(source_id) % 3 = 0 THEN ' ' ELSE 'own' END AS title, NULL AS url FROM sources WHERE length(source_id) % 5 <> 0) o ON b.source_id = o.source_id")
+@query("SELECT source_id, CASE length(source_id) % 3 WHEN 0 THEN upper(source_id) WHEN 1 THEN 'own' ELSE upper(source_id) END AS title, url FROM sources UNION ALL SELECT 'x' || source_id, CASE length(source_id) % 3 WHEN 1 THEN 'own' END, NULL FROM sources")
 def settings_overlaid(spark, d):
+    """All sources as defaults; own settings of all, blank or masked for some, and some that have no default."""
     s = v.sources(spark, d)
-    base = s.filter("length(source_id) % 2 = 0").select("source_id", F.upper("source_id").alias("title"), "url")
-    own = s.filter("length(source_id) % 5 <> 0").select("source_id", F.when(F.length("source_id") % 3 == 0, " ").otherwise("own").alias("title"), F.lit(None).cast("string").alias("url"))
-    return library.overlay(base, own, "source_id", ["title", "url"])
+    n = F.length("source_id") % 3
+    title = F.when(n == 0, " ").when(n == 1, "own").otherwise(text.MASK)
+    own = s.select("source_id", title.alias("title"), F.lit(None).cast("string").alias("url"))
+    own = own.unionByName(own.withColumn("source_id", F.concat(F.lit("x"), "source_id")))
+    return library.overlay(s.select("source_id", F.upper("source_id").alias("title"), "url"), own, "source_id", ["title", "url"])
 
 
 @query("SELECT segment_id, CASE WHEN segment_id % 4 = 0 OR char_count IS NULL OR char_count = 0 THEN length(raw_text) ELSE char_count END AS char_count FROM segments")
@@ -151,9 +141,9 @@ def char_counts_filled(spark, d):
     return library.fill_char_counts(s).select("segment_id", "char_count")
 
 
-@query("SELECT s.segment_id, CASE WHEN s.segment_id % 5 = 0 AND s.segment_id % 10 <> 0 THEN 'new' ELSE s.anchor_label END AS anchor_label, CASE WHEN s.segment_id % 5 = 0 THEN 'ready' ELSE s.summary_status END AS summary_status FROM segments s")
+@query("SELECT s.segment_id, CASE WHEN s.segment_id % 5 = 0 AND s.segment_id % 10 <> 0 THEN 'new' ELSE s.anchor_label END AS anchor_label, CASE WHEN s.segment_id % 5 = 0 THEN 'ready' ELSE s.summary_status END AS summary_status, CASE WHEN s.segment_id % 5 = 0 THEN 0 ELSE s.retry_count END AS retry_count FROM segments s")
 def summaries_updated(spark, d):
-    s = v.segments(spark, d).select("segment_id", "anchor_label", "summary_status")
+    s = v.segments(spark, d).select("segment_id", "anchor_label", "summary_status", "retry_count")
     new = s.filter("segment_id % 5 = 0").select("segment_id", F.lit("ready").alias("new_status"), F.when(F.col("segment_id") % 10 != 0, "new").alias("new_anchor"))
     return library.update_summary(s, new)
 
@@ -169,14 +159,23 @@ def reading_window(spark, d):
     return library.window_around(v.segments(spark, d), 10, 5)
 
 
-@query("SELECT b.book_id, '# ' || b.title || chr(10) || chr(10) || string_agg('## ' || coalesce(nullif(s.label, ''), '段 ' || (s.idx + 1)) || chr(10) || chr(10) || s.raw_text, chr(10) || chr(10) ORDER BY s.idx) AS markdown FROM books b JOIN segments s ON b.book_id = s.book_id GROUP BY b.book_id, b.title")
+#: The blocks of an export in SQL: what a segment's block says is made of the view's own pieces.
+HEADER = "SELECT b.book_id, 0 AS part, CAST(0 AS BIGINT) AS idx, '# 《' || title || '》摘要版' || chr(10) || '> 由 Leafmill 生成 · 2024-03-20' || chr(10) || chr(10) || '## 元信息' || chr(10) || '- 作者: ' || coalesce(author, '—') || chr(10) || '- 格式: ' || format || chr(10) || '- 段数: ' || segment_count || chr(10) || chr(10) || '## 段摘要' AS block FROM books b"
+BLOCK = "'### 段 ' || (idx + 1) || ' · ' || coalesce(anchor_label, '段 ' || (idx + 1)) || chr(10) || CASE WHEN summary_json IS NULL THEN '_摘要未生成_' WHEN summary_json = 'no summary' THEN summary_json ELSE 'Sentence ' || segment_id || '。' || chr(10) || 'Second' || chr(10) || '- 甲：body of ' || segment_id || chr(10) || '- 乙：second' || chr(10) || '- 丙：third' || chr(10) || chr(10) || '#### 需要注意' || chr(10) || '- note ' || (segment_id % 7) || chr(10) || chr(10) || '#### 你可以接着问' || chr(10) || '1. why?' || chr(10) || '2. how?' END || chr(10) || CASE WHEN translation <> '' THEN chr(10) || '#### 译文 · 段 ' || (idx + 1) || chr(10) || translation || chr(10) ELSE '' END"
+EXPORT = f"{HEADER} UNION ALL SELECT book_id, 1, CAST(idx AS BIGINT), {BLOCK} FROM segments"
+
+
+@query(EXPORT)
 def export_markdown(spark, d):
-    return library.export_markdown(v.segments(spark, d), v.books(spark, d))
+    return export.blocks(v.books(spark, d), library.segment_list(v.segments(spark, d), "export"), "Leafmill", NOW[:10])
 
 
-@query("SELECT * FROM (SELECT book_id, -1 AS idx, '# ' || title AS block FROM books UNION ALL SELECT book_id, idx, '## ' || coalesce(nullif(label, ''), '段 ' || (idx + 1)) || chr(10) || chr(10) || raw_text FROM segments) WHERE block IS NOT NULL")
+@query(EXPORT + " UNION ALL SELECT DISTINCT s.book_id, 2, CAST(-1 AS BIGINT), '## 我的笔记' || chr(10) FROM notes n JOIN segments s ON n.segment_id = s.segment_id UNION ALL SELECT s.book_id, 2, CAST(n.note_id AS BIGINT), '- ' || coalesce(n.content, '') FROM notes n JOIN segments s ON n.segment_id = s.segment_id")
 def export_markdown_blocks(spark, d):
-    return library.export_blocks(v.segments(spark, d), v.books(spark, d))
+    """The export with the reader's notes."""
+    s = v.segments(spark, d)
+    notes = v.notes(spark, d).join(s.select("segment_id", "book_id"), "segment_id").select("book_id", "note_id", "content")
+    return export.blocks(v.books(spark, d), library.segment_list(s, "export"), "Leafmill", NOW[:10], notes)
 
 
 @query("SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS back FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6", with_views=False)
@@ -208,19 +207,30 @@ def model_usage(spark, d):
     return chat.usage(calls)
 
 
-BM25 = ", rows AS (SELECT s.segment_id, s.book_id, s.idx, b.title || ' · 段 ' || (s.idx + 1) AS title, s.label || chr(10) || substr(s.raw_text, 1, 4000) AS body FROM segments s JOIN books b ON s.book_id = b.book_id), c AS (SELECT *, greatest(length(title) - 2, 0) + greatest(length(body) - 2, 0) AS len, lower(title || chr(10) || body) AS x FROM rows), f AS (SELECT *, (length(x) - length(replace(x, 'thing', ''))) / 5 AS f0, (length(x) - length(replace(x, 'anthe', ''))) / 5 AS f1 FROM c), t AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM f)"
-BM25 += ", i AS (SELECT *, ln((n - n0 + 0.5) / (n0 + 0.5)) AS l0, ln((n - n1 + 0.5) / (n1 + 0.5)) AS l1 FROM t), r AS (SELECT segment_id, book_id, idx, title, round(-(CASE WHEN l0 <= 0 THEN 1e-6 ELSE l0 END) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / mean)) - (CASE WHEN l1 <= 0 THEN 1e-6 ELSE l1 END) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / mean)), 9) AS rank FROM f, i WHERE f0 > 0 AND f1 > 0)"
+INDEX = ", rows AS (SELECT 'segment' AS kind, s.segment_id, CAST(NULL AS BIGINT) AS note_id, s.book_id, s.idx, b.title || ' · 段 ' || (s.idx + 1) AS title, coalesce(s.label, '') || chr(10) || coalesce(s.summary_json, '') || chr(10) || substr(coalesce(s.raw_text, ''), 1, 4000) || chr(10) || coalesce(s.translation, '') AS body FROM segments s JOIN books b ON s.book_id = b.book_id UNION ALL SELECT 'book', NULL, NULL, book_id, NULL, title, coalesce(author, '') FROM books UNION ALL SELECT 'note', n.segment_id, n.note_id, s.book_id, s.idx, '笔记 · ' || b.title, coalesce(n.quote, '') || chr(10) || coalesce(n.content, '') FROM notes n JOIN segments s ON n.segment_id = s.segment_id JOIN books b ON s.book_id = b.book_id)"
+BM25 = INDEX + ", c AS (SELECT *, greatest(length(title) - 2, 0) + greatest(length(body) - 2, 0) AS len, lower(title || chr(10) || body) AS x FROM rows), f AS (SELECT *, (length(x) - length(replace(x, 'thing', ''))) / 5 AS f0, (length(x) - length(replace(x, 'anthe', ''))) / 5 AS f1 FROM c), t AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM f)"
+BM25 += ", i AS (SELECT *, ln((n - n0 + 0.5) / (n0 + 0.5)) AS l0, ln((n - n1 + 0.5) / (n1 + 0.5)) AS l1 FROM t), r AS (SELECT kind, segment_id, note_id, book_id, idx, title, round(-(CASE WHEN l0 <= 0 THEN 1e-6 ELSE l0 END) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / mean)) - (CASE WHEN l1 <= 0 THEN 1e-6 ELSE l1 END) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / mean)), 9) AS rank FROM f, i WHERE f0 > 0 AND f1 > 0)"
+
+
+def _index(spark, d):
+    return search.index(v.segments(spark, d), v.books(spark, d), v.notes(spark, d))
 
 
 @query(BM25 + " SELECT * FROM r")
 def search_scores(spark, d):
-    hits = search.bm25(search.index(v.segments(spark, d), v.books(spark, d)), "thing anthe")
-    return hits.select("segment_id", "book_id", "idx", "title", F.round("rank", 9).alias("rank"))
+    hits = search.bm25(_index(spark, d), "thing anthe")
+    return hits.select("kind", "segment_id", "note_id", "book_id", "idx", "title", F.round("rank", 9).alias("rank"))
 
 
-@query(BM25 + " SELECT segment_id, title FROM r ORDER BY rank, segment_id LIMIT 30")
+@query(BM25 + " SELECT kind, segment_id, title FROM r ORDER BY rank, kind, book_id, segment_id, note_id LIMIT 30")
 def search_top(spark, d):
-    return search.search(search.index(v.segments(spark, d), v.books(spark, d)), "thing an anthe").select("segment_id", "title")
+    return search.search(_index(spark, d), "thing an anthe").select("kind", "segment_id", "title")
+
+
+@query(INDEX + " SELECT kind, book_id, note_id, title FROM rows WHERE contains(lower(title || chr(10) || body), 'author') AND contains(lower(title || chr(10) || body), 'book')")
+def search_books_and_notes(spark, d):
+    """What an author's name and a title's word find, in the order in which a reader sees it."""
+    return search.by_kind(search.bm25(_index(spark, d), "Author book")).select("kind", "book_id", "note_id", "title")
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'academic' WHEN event_type = 'click' THEN 'code' WHEN event_type = 'error' THEN 'books' ELSE 'general' END AS domain, event_type <> 'click' AND event_id % 2 = 0 AS enough FROM events", with_views=False)
@@ -236,12 +246,20 @@ def web_results_top(spark, d):
     return search.top_results(c, 2).select(F.col("query_id").alias("conv_id"), F.col("pos").alias("turn"), "text", "place")
 
 
-@query(""", p AS (SELECT * FROM articles ORDER BY synced_at DESC, article_id LIMIT 150), a AS (SELECT *, (epoch(TIMESTAMP '2024-03-20 00:00:00') - epoch(CAST(replace(replace(coalesce(published_at, synced_at), 'T', ' '), 'Z', '') AS TIMESTAMP))) / 3600 AS h FROM p),
-s AS (SELECT *, (CASE WHEN h <= 24 THEN 3.0 WHEN h <= 72 THEN 1.5 WHEN h <= 168 THEN 0.5 ELSE 0.0 END)::DOUBLE + coalesce(score_hint / 50, 0) AS score FROM a),
+#: Articles some of which have no date that can be read.
+UNDATED = "SELECT * REPLACE (CASE WHEN page_id % 5 = 0 THEN 'soon' ELSE published_at END AS published_at, CASE WHEN page_id % 10 = 0 THEN 'zz never' ELSE synced_at END AS synced_at) FROM articles"
+
+
+@query(f""", u AS ({UNDATED}), p AS (SELECT * FROM u ORDER BY synced_at DESC, article_id LIMIT 150), t AS (SELECT *, TRY_CAST(replace(replace(published_at, 'T', ' '), 'Z', '') AS TIMESTAMP) AS t1, TRY_CAST(replace(replace(synced_at, 'T', ' '), 'Z', '') AS TIMESTAMP) AS t2 FROM p),
+a AS (SELECT *, (epoch(TIMESTAMP '2024-03-20 00:00:00') - epoch(coalesce(t1, t2))) / 3600 AS h FROM t),
+s AS (SELECT *, (CASE WHEN h IS NULL THEN 0.0 WHEN h <= 24 THEN 3.0 WHEN h <= 72 THEN 1.5 WHEN h <= 168 THEN 0.5 ELSE 0.0 END)::DOUBLE + coalesce(score_hint / 50, 0) AS score,
+ CASE WHEN h <= 168 AND score_hint IS NOT NULL THEN '新鲜|质量提示:' || CAST(floor(score_hint) AS INTEGER) WHEN h <= 168 THEN '新鲜' WHEN score_hint IS NOT NULL THEN '质量提示:' || CAST(floor(score_hint) AS INTEGER) ELSE '默认候选' END AS reasons FROM a),
 r AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, coalesce(published_at, '') DESC, title DESC, article_id) AS INTEGER) AS place FROM s)
-SELECT r.article_id, r.title, r.score, r.place, coalesce(o.title, o.url) AS source_title FROM r LEFT JOIN sources o ON r.source_id = o.source_id WHERE place <= 25""")
+SELECT r.article_id, r.title, r.score, r.reasons, r.place, coalesce(o.title, o.url) AS source_title FROM r LEFT JOIN sources o ON r.source_id = o.source_id WHERE place <= 25""")
 def news_brief(spark, d):
-    return news.brief(v.articles(spark, d), v.sources(spark, d), NOW).select("article_id", "title", "score", "place", "source_title")
+    p = F.col("page_id")
+    a = v.articles(spark, d).withColumns({"published_at": F.when(p % 5 == 0, "soon").otherwise(F.col("published_at")), "synced_at": F.when(p % 10 == 0, "zz never").otherwise(F.col("synced_at"))})
+    return news.brief(a, v.sources(spark, d), NOW).select("article_id", "title", "score", F.array_join("reasons", "|").alias("reasons"), "place", "source_title")
 
 
 @query(", c AS (SELECT article_id, page_id AS attempt, 500 + page_id * 37 % 400 AS n, page_id % 4 = 0 AS good FROM articles) SELECT segment_id AS article_id, segment_id AS attempt, 'direct' AS strategy, CAST(length(trim(raw_text)) AS INTEGER) AS chars, length(trim(raw_text)) >= greatest(500, floor(char_count * 3 / 10)) AS good FROM segments WHERE false UNION ALL SELECT book, arg_min(idx, o), arg_min(CASE WHEN idx % 2 = 0 THEN 'direct' ELSE 'proxy' END, o), CAST(arg_min(n, o) AS INTEGER), arg_min(good, o) FROM (SELECT segment_id // 4 AS book, segment_id % 4 AS idx, length(regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')) AS n, length(regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')) >= 900 AS good, CASE WHEN length(regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')) >= 900 THEN segment_id % 4 ELSE 1000000000 - length(regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')) * 10 + segment_id % 4 END AS o FROM segments) GROUP BY book")
@@ -259,7 +277,7 @@ def pages_to_text(spark, d):
     return v.table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
-@query(r", x AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM pages) SELECT page_id, CASE WHEN length(t) <= 220 THEN t ELSE rtrim(substr(t, 1, 219)) || '…' END AS excerpt FROM x")
+@query(r", x AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM pages) SELECT page_id, CASE WHEN length(t) <= 220 THEN t ELSE substr(t, 1, 219) || '…' END AS excerpt FROM x")
 def page_excerpts(spark, d):
     return v.table(spark, d, "pages").select("page_id", text.cut(text.strip_html(F.col("html")), 220).alias("excerpt"))
 
@@ -272,8 +290,16 @@ def page_addresses(spark, d):
 
 @query(r", c AS (SELECT doc_id, lang, substr(text, 1, 4000) AS s FROM documents), n AS (SELECT doc_id, lang, s, len(regexp_extract_all(s, '[A-Za-z]')) AS latin, len(regexp_extract_all(s, '\p{L}')) AS letters FROM c) SELECT doc_id, CASE WHEN latin + letters < 20 THEN NULL WHEN latin * 2 >= latin + letters THEN 'en' WHEN latin > 0 THEN 'en' END AS inferred, coalesce(lang <> 'en', false) AS needs FROM n")
 def languages_inferred(spark, d):
-    docs = v.table(spark, d, "documents")
-    return docs.select("doc_id", language.infer(F.col("text")).alias("inferred"), language.needs_translation(F.concat("lang", F.lit("-XX")), F.lit("en_US"), F.col("text")).alias("needs"))
+    docs = v.table(spark, d, "documents").select("doc_id", "lang", language.infer(F.col("text")).alias("inferred"))
+    return docs.select("doc_id", "inferred", language.needs_translation(F.concat("lang", F.lit("-XX")), F.lit("en_US"), F.col("inferred")).alias("needs"))
+
+
+@query(r"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'zh' WHEN doc_id % 3 = 1 THEN 'ja' WHEN latin + letters < 20 THEN NULL WHEN latin > 0 THEN 'en' END AS inferred FROM (SELECT doc_id, len(regexp_extract_all(substr(text, 1, 4000), '[A-Za-z]')) AS latin, len(regexp_extract_all(substr(text, 1, 4000), '\p{L}')) AS letters FROM documents)", with_views=False)
+def languages_of_dressed_texts(spark, d):
+    """Two texts of three after a Chinese or a Japanese preface, so that each class of letters decides somewhere."""
+    k = F.col("doc_id") % 3
+    preface = F.when(k == 0, F.repeat(F.lit("这是书"), 1400)).when(k == 1, F.repeat(F.lit("これは本"), 1100)).otherwise("")
+    return v.table(spark, d, "documents").select("doc_id", language.infer(F.concat(preface, F.coalesce("text", F.lit("")))).alias("inferred"))
 
 
 def _cards(docs: DataFrame) -> DataFrame:
@@ -308,7 +334,8 @@ def heuristic_summaries(spark, d):
 
 @query(r"SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS chars, true AS lossless, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 12000 AS cut FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0", with_views=False)
 def chunks_cover_texts(spark, d):
-    c = chunking.coverage(chunking.chunk(v.table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    docs = v.table(spark, d, "documents").select("doc_id", "text")
+    c = chunking.coverage(chunking.chunk(docs, "doc_id", "text"), "doc_id", docs, "text")
     return c.select("doc_id", "chars", "lossless", (F.col("n_segments") > 1).alias("cut"))
 
 
@@ -349,10 +376,10 @@ def peak_concurrency(spark, d):
     return jobs.peak_concurrency(spans, "event_type")
 
 
-@query("SELECT coalesce(l.resource, r.resource) AS resource, coalesce(slots, 0) AS slots, coalesce(in_use, 0) AS in_use, greatest(0, coalesce(slots, 0) - coalesce(in_use, 0)) AS available FROM (SELECT 's' || s_nationkey AS resource, count(*) AS slots FROM supplier WHERE s_nationkey < 20 GROUP BY 1) l FULL JOIN (SELECT 's' || c_nationkey AS resource, count(*) // 10 AS in_use FROM customer WHERE c_nationkey > 3 GROUP BY 1) r ON l.resource = r.resource", with_views=False)
+@query("SELECT coalesce(l.resource, r.resource) AS resource, coalesce(slots, 0) AS slots, coalesce(in_use, 0) AS in_use, greatest(0, coalesce(slots, 0) - coalesce(in_use, 0)) AS available FROM (SELECT 's' || s_nationkey AS resource, count(*) AS slots FROM supplier GROUP BY 1) l FULL JOIN (SELECT 's' || (c_nationkey + 3) AS resource, count(*) // 10 AS in_use FROM customer GROUP BY 1) r ON l.resource = r.resource", with_views=False)
 def resource_slots(spark, d):
-    limits = v.table(spark, d, "supplier").filter("s_nationkey < 20").groupBy(F.concat(F.lit("s"), "s_nationkey").alias("resource")).agg(F.count(F.lit(1)).alias("slots"))
-    used = v.table(spark, d, "customer").filter("c_nationkey > 3").groupBy(F.concat(F.lit("s"), "c_nationkey").alias("resource")).agg(F.floor(F.count(F.lit(1)) / 10).alias("in_use"))
+    limits = v.table(spark, d, "supplier").groupBy(F.concat(F.lit("s"), "s_nationkey").alias("resource")).agg(F.count(F.lit(1)).alias("slots"))
+    used = v.table(spark, d, "customer").groupBy(F.concat(F.lit("s"), F.col("c_nationkey") + 3).alias("resource")).agg(F.floor(F.count(F.lit(1)) / 10).alias("in_use"))
     return jobs.slots(limits, used)
 
 
@@ -370,24 +397,47 @@ def model_tiers(spark, d):
 
 
 def _outputs(docs: DataFrame) -> DataFrame:
-    """Model outputs made of documents: sound, fenced, with a comma too many, or plain prose."""
-    words = F.split(F.regexp_replace("text", r'["\\\s]+', " "), " ")
-    body = F.array_join(F.slice(words, 1, 12), " ")
-    bullets = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.lit('{"label": "b'), i, F.lit('", "body": "'), body, F.lit('"}')))
-    good = F.concat(F.lit('{"sentences": ["'), body, F.lit('"], "bullets": ['), F.array_join(bullets, ", "), F.lit('], "notes": [], "follow_ups": [], "label": "x"}'))
-    k = F.col("doc_id") % 4
-    raw = F.when(k == 0, good).when(k == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(k == 2, F.regexp_replace(good, r"\}$", ",}")).otherwise(F.concat(F.lit("Sorry: "), body))
-    return docs.select("doc_id", raw.alias("raw"), body.alias("body"))
-
-
-BODY = r"array_to_string(list_slice(string_split(regexp_replace(text, '[\"\\\s]+', ' ', 'g'), ' '), 1, 12), ' ')"
+    """Model outputs made of whole texts: 0 to 4 sentences, 2 to 8 bullets of all shapes; sound, fenced, with a comma too many or missing, in two objects, or prose."""
+    i = F.col("doc_id")
+    body, n, m = F.coalesce(F.col("text"), F.lit("")), (i % 5).cast("int"), (i % 7 + 2).cast("int")
+    quoted = lambda x: F.substring(F.to_json(F.array(x)), F.lit(2), F.length(F.to_json(F.array(x))) - 2)
+    said_in = lambda k: F.when(k == 1, body).otherwise(F.lit("a body that says enough"))
+    as_object = lambda k, label, said: F.concat(F.lit(f'{{"{label}": "b'), k, F.lit(f'", "{said}": '), quoted(said_in(k)), F.lit("}"))
+    labelled = lambda k: quoted(F.concat(F.lit("b"), k.cast("string"), F.lit("："), said_in(k)))
+    shape = lambda k: F.when(i % 3 == 0, as_object(k, "label", "body")).when(i % 3 == 1, labelled(k)).otherwise(as_object(k, "tag", "content"))
+    shapes = F.transform(F.sequence(F.lit(1), m), shape)
+    bullets = F.when(i % 6 == 4, F.array_join(shapes, " ")).otherwise(F.array_join(shapes, ", "))
+    text_ = quoted(body)
+    said = F.concat(F.lit("["), F.array_join(F.slice(F.concat(F.array(text_), F.array_repeat(F.lit('"more"'), 3)), F.lit(1), n), ", "), F.lit("]"))
+    first = F.concat(F.lit('{"sentences": '), said, F.lit(', "bullets": ['), bullets, F.lit('], "notes": ["n", " ", "o", "p", "q"]'))
+    good = F.concat(first, F.lit(', "label": "a label of more than twenty characters", "锚点": "§1"}'))
+    parted = F.concat(first, F.lit('}, {"label": "a label of more than twenty characters", "anchor": "§1"}'))
+    k = i % 8
+    raw = F.when(k == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(k == 2, F.regexp_replace(good, r"\}$", ",}")).when(k == 3, parted).when(k == 4, F.concat(F.lit("So: "), good, F.lit(" Done."))).when(k == 5, F.concat(F.lit("Sorry: "), F.translate(body, "{", "("))).otherwise(good)
+    return docs.select("doc_id", raw.alias("raw"))
+
+
+TRIMMED = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+OUTPUTS = rf"SELECT doc_id, t, CASE WHEN doc_id % 8 <> 5 THEN doc_id % 5 END AS n_sentences, CASE WHEN doc_id % 8 <> 5 THEN doc_id % 7 + 2 END AS n_bullets, CASE WHEN t = '' AND doc_id % 3 <> 1 THEN 'b1' WHEN t = '' THEN 'b1：' ELSE substr(t, 1, 300) END AS body FROM (SELECT doc_id, {TRIMMED} AS t FROM documents)"
+
+
+@query(rf"SELECT doc_id, n_sentences, n_bullets, CASE WHEN n_bullets IS NOT NULL THEN body END AS body, CASE WHEN n_bullets IS NOT NULL THEN 'a label of more than' END AS label, CASE WHEN n_bullets IS NULL THEN 'no JSON' WHEN NOT (n_sentences BETWEEN 1 AND 3 AND n_bullets BETWEEN 3 AND 7) THEN 'schema' WHEN length(regexp_replace(body, '^\s+|\s+$', '', 'g')) < 20 THEN 'too short' END AS problem FROM ({OUTPUTS})", with_views=False)
+def summaries_validated(spark, d):
+    s = _outputs(v.table(spark, d, "documents")).select("doc_id", model_output.summary(F.col("raw")).alias("s"))
+    found = F.col("s.found").isNotNull()
+    return s.select(
+        "doc_id", F.when(found, F.size("s.sentences").cast("long")).alias("n_sentences"), F.when(found, F.size("s.bullets").cast("long")).alias("n_bullets"), F.get(F.col("s.bullets"), F.lit(0))["body"].alias("body"),
+        F.col("s.label").alias("label"), model_output.problem(F.col("s")).alias("problem"),
+    )
 
 
-@query(rf"SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN CASE WHEN length(trim(b)) > 0 THEN 3 ELSE 0 END END AS n_bullets, doc_id % 4 <> 3 AND length(trim(b)) BETWEEN 20 AND 300 AS valid FROM (SELECT doc_id, {BODY} AS b FROM documents)", with_views=False)
-def summaries_validated(spark, d):
-    s = _outputs(v.table(spark, d, "documents")).select("doc_id", model_output.repaired_json(F.col("raw")).alias("j"))
-    s = s.select("doc_id", "j", model_output.normal_summary(F.col("j")).alias("s"))
-    return s.select("doc_id", F.when(F.col("j").isNotNull(), F.size("s.bullets")).alias("n_bullets"), (F.col("j").isNotNull() & model_output.is_valid(F.col("s"))).alias("valid"))
+@query(rf"SELECT doc_id, CASE WHEN t = '' THEN NULL ELSE substr(t, 1, 300) END AS body FROM ({OUTPUTS}) WHERE n_bullets IS NOT NULL", with_views=False)
+def summary_texts(spark, d):
+    """The body of the first bullet, read back from the summary's text."""
+    s = _outputs(v.table(spark, d, "documents")).select("doc_id", model_output.summary(F.col("raw")).alias("s")).filter("s.found")
+    plain = model_output.summary_text(F.col("s"))
+    told = F.regexp_extract(plain, r"(?s)结构化要点:\n- b1：(.*?)\n- b2", 1)
+    return s.select("doc_id", F.nullif(F.when(told == "b1", "").when(told == "b1：", "").otherwise(told), F.lit("")).alias("body"))
 
 
 @query()
@@ -397,9 +447,9 @@ def model_json_repaired(spark, d):
 
 @query()
 def feed_summaries_parsed(spark, d):
-    """Documents dressed as structured feed summaries."""
-    line = lambda i: F.concat(F.get(F.split("text", r"[.\n]+"), F.lit(i)), F.lit("。"))
-    raw = F.concat_ws(" ", F.lit("📌 一句话摘要"), line(0), F.lit("💡 主要观点"), line(1), line(2), line(3), F.lit("📊 文章信息 AI 初评:"), F.col("doc_id") % 120, F.lit("作者:"), F.col("source"))
+    """Documents dressed as structured feed summaries: their first sentence, then all others as views."""
+    said = F.transform(F.split("text", r"[.\n]+"), lambda x: F.concat(x, F.lit("。")))
+    raw = F.concat_ws(" ", F.lit("📌 一句话摘要"), F.get(said, F.lit(0)), F.lit("💡 主要观点"), F.array_join(F.slice(said, F.lit(2), F.size(said)), " "), F.lit("📊 文章信息 AI 初评:"), F.col("doc_id") % 120, F.lit("作者:"), F.col("source"))
     p = v.table(spark, d, "documents").select("doc_id", news.parse_summary(raw).alias("p"))
     return p.select("doc_id", "p.one_liner", F.size("p.viewpoints").alias("n_viewpoints"), F.element_at(F.col("p.meta"), "author").alias("author"), news.score_hint(F.col("p")).alias("score"), news.is_rich(F.col("p")).alias("rich"), news.skim_text(F.col("p")).alias("skim"))
 
@@ -460,3 +510,6 @@ def articles_after_prune(spark, d):
     s = v.sources(spark, d)
     retired = s.filter("source_id LIKE '%.org'").join(s.filter("source_id LIKE 'www.%'"), "source_id", "left_anti")
     return library.cascade(v.articles(spark, d), retired, "source_id").select("article_id", "url", "source_id")
+
+
+from leafmill.plans import changes, queue_log, shown  # noqa: E402, F401

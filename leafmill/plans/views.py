@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The fixed categories of a book; the last is the fallback.
-CATEGORIES = ("文学", "历史", "科技", "经管", "社科", "生活", "其他")
+from leafmill.operators.library import CATEGORIES
+
 STATUSES = ("unread", "reading", "summarized", "processing", "error")
 #: Rows that are numbered in one task, about.
 RUN_ROWS = 50_000
 
 
+def summary_parts(d, seventh):
+    """The pieces of a segment's summary as JSON, texts and numbers in turn: two sentences, three bullets, a note, two questions."""
+    return ['{"sentences": ["Sentence ', d, '。", " Second  "], "bullets": [{"label": "甲", "body": "body of ', d, '"}, "乙：second", {"tag": "丙", "text": "third"}], "notes": ["note ', seventh, '"], "follow_ups": ["why?", "how?"], "label": "L", "anchor": "A"}']
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -35,6 +40,9 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
         _day(n * 3, 25).alias("created_at"),
         _day(n * 7, 27).alias("updated_at"),
         "segment_count",
+        F.when(n % 3 != 1, F.concat(F.lit("Author "), F.col("source"))).alias("author"),
+        F.when(n % 2 == 0, "txt").otherwise("epub").alias("format"),
+        F.when(n % 4 == 1, "{broken").when(n % 4 != 2, F.concat(F.lit('{"total_char_count": '), n * 100, F.lit(', "chunker_version": "v'), n % 3, F.lit('"}'))).alias("metadata_json"),
     )
 
 
@@ -71,13 +79,17 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("raw_text"),
         F.col("n_chars").alias("char_count"),
         F.when(F.col("quality") == 1, "ready").when(F.col("quality") == 0, "failed").otherwise("pending").alias("summary_status"),
+        (d % 4).cast("int").alias("retry_count"),
+        F.when(d % 6 == 5, "no summary").when(d % 6 != 4, F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in summary_parts(d, d % 7)])).alias("summary_json"),
+        F.when(d % 5 == 0, F.concat(F.lit("T: "), "text")).alias("translation"),
     )
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note per user turn, on the segment with the conversation's number."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("note_id"), F.col("conv_id").alias("segment_id"), F.col("text").alias("content"), F.col("turn").alias("created_at"))
+    quote = F.when(F.col("turn") % 3 != 0, F.concat(F.lit("quote "), F.col("conv_id")))
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("note_id"), F.col("conv_id").alias("segment_id"), F.col("text").alias("content"), F.col("turn").alias("created_at"), quote.alias("quote"))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +113,8 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.select("source_id", F.when(F.length("source_id") % 3 != 0, F.upper("source_id")).alias("title"), F.concat(F.lit("https://"), F.col("source_id")).alias("url"))
 
 
+SUMMARY_SQL = " || ".join(x if k % 2 else f"'{x}'" for k, x in enumerate(summary_parts("d.doc_id", "d.doc_id % 7")))
+
 SQL = f"""
 WITH books AS (
   SELECT source AS book_id, (CASE WHEN n % 2 = 0 THEN 'book ' ELSE 'Book ' END) || source AS title,
@@ -108,17 +122,20 @@ WITH books AS (
     [{", ".join(f"'{c}'" for c in CATEGORIES)}][n % 7 + 1] AS category, n % 3 = 0 AS is_favorite,
     CASE WHEN n % 4 <> 0 THEN '2024-01-' || lpad(CAST(n % 28 + 1 AS VARCHAR), 2, '0') || 'T00:00:00Z' END AS last_opened_at,
     '2024-01-' || lpad(CAST(n * 3 % 25 + 1 AS VARCHAR), 2, '0') || 'T00:00:00Z' AS created_at,
-    '2024-01-' || lpad(CAST(n * 7 % 27 + 1 AS VARCHAR), 2, '0') || 'T00:00:00Z' AS updated_at, segment_count
+    '2024-01-' || lpad(CAST(n * 7 % 27 + 1 AS VARCHAR), 2, '0') || 'T00:00:00Z' AS updated_at, segment_count,
+    CASE WHEN n % 3 <> 1 THEN 'Author ' || source END AS author, CASE WHEN n % 2 = 0 THEN 'txt' ELSE 'epub' END AS format,
+    CASE WHEN n % 4 = 1 THEN '{{broken' WHEN n % 4 <> 2 THEN '{{"total_char_count": ' || n * 100 || ', "chunker_version": "v' || n % 3 || '"}}' END AS metadata_json
   FROM (SELECT source, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) AS n, count(*) AS segment_count FROM documents GROUP BY source)
 ), segments AS (
   SELECT d.doc_id AS segment_id, d.source AS book_id,
     CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS INTEGER) AS idx,
     CASE WHEN d.doc_id % 3 <> 0 THEN 'L' || d.doc_id ELSE '' END AS label,
     CASE WHEN d.doc_id % 2 <> 0 THEN 'A' || d.doc_id END AS anchor_label, d.text AS raw_text, d.n_chars AS char_count,
-    CASE WHEN l.quality = 1 THEN 'ready' WHEN l.quality = 0 THEN 'failed' ELSE 'pending' END AS summary_status
+    CASE WHEN l.quality = 1 THEN 'ready' WHEN l.quality = 0 THEN 'failed' ELSE 'pending' END AS summary_status, CAST(d.doc_id % 4 AS INTEGER) AS retry_count,
+    CASE WHEN d.doc_id % 6 = 5 THEN 'no summary' WHEN d.doc_id % 6 <> 4 THEN {SUMMARY_SQL} END AS summary_json, CASE WHEN d.doc_id % 5 = 0 THEN 'T: ' || d.text END AS translation
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 ), notes AS (
-  SELECT conv_id * 1000 + turn AS note_id, conv_id AS segment_id, text AS content, turn AS created_at FROM conversations WHERE role = 'user'
+  SELECT conv_id * 1000 + turn AS note_id, conv_id AS segment_id, text AS content, turn AS created_at, CASE WHEN turn % 3 <> 0 THEN 'quote ' || conv_id END AS quote FROM conversations WHERE role = 'user'
 ), articles AS (
   SELECT substr(sha256(url), 1, 16) AS article_id, page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS source_id,
     'Article ' || page_id AS title,

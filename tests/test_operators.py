@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import language, text
-from leafmill.operators import chunking, jobs, library, model_output, news, search
+from leafmill.operators import chunking, display, export, jobs, library, model_output, news, queue, search, settings
 from leafmill.plans import views
 from leafmill.sources import readers
 
@@ -141,8 +141,12 @@ def test_ocr(spark):
     pages = spark.createDataFrame([("f", 1, "x"), ("f", 2, " "), ("f", 3, None)], "path string, page int, text string")
     ocr = spark.createDataFrame([("f", 2, "read"), ("f", 1, "no")], "path string, page int, ocr_text string")
     assert {(r.page, r.text) for r in readers.with_ocr(pages, ocr).collect()} == {(1, "x"), (2, "read"), (3, None)}
-    lines = spark.createDataFrame([("f", 1, "a", 0.4), ("f", 1, "b", None), ("f", 2, " ", 0.1)], "path string, page int, line string, confidence double")
-    assert {(r.page, r.confidence, r.doubtful) for r in readers.ocr_quality(lines).collect()} == {(1, 0.2, True), (2, 0.1, False)}
+    found = spark.createDataFrame([("f", 1, [" a", " "], [0.8]), ("f", 2, [], []), ("f", 3, ["b", "c"], [0.9, 0.7, 0.1]), ("f", 4, [" "], [1.0])], "path string, page int, texts array<string>, scores array<double>")
+    read = readers.ocr_pages(found)
+    assert {(r.page, r.text, round(r.confidence, 6), r.doubtful) for r in read.collect()} == {(1, "a", 0.4, True), (2, "", 0.0, False), (3, "b\nc", 0.8, False), (4, "", 0.0, False)}
+    assert [tuple(r) for r in readers.ocr_documents(read, "e").collect()] == [("f", "e", 0.3, 4, 2, [1])]
+    assert readers.ocr_pages(found, spark.createDataFrame([("f", 3)], "path string, page int")).count() == 1
+    assert one(spark, readers.page_section(F.lit(2), F.col("a")), a=" x ") == "## [p.2]\nx" and one(spark, readers.page_section(F.lit(2), F.col("a")), a=" ") == ""
 
 
 def test_unknown_filter_and_sort_fall_back(spark):
@@ -186,9 +190,140 @@ def test_no_task_holds_a_whole_book(spark, monkeypatch):
     segments, books = views.segments(spark, data), views.books(spark, data)
     assert {r.segment_id: r.idx for r in segments.collect()} == whole
     assert re.search(r"row_number\(\) windowspecdefinition\(source#\d+, run#\d+", segments._jdf.queryExecution().optimizedPlan().toString())
-    blocks = library.export_blocks(segments, books)
+    blocks = export.blocks(books, library.segment_list(segments, "export"), "x", "2024-01-01")
     assert "collect_list" not in blocks._jdf.queryExecution().optimizedPlan().toString()
-    parts = {}
-    for r in blocks.collect():
-        parts.setdefault(r.book_id, []).append(r.block)
-    assert {b: "\n\n".join(p) for b, p in parts.items()} == {r.book_id: r.markdown for r in library.export_markdown(segments, books).collect()}
+
+
+def test_export_of_a_book(spark, tmp_path):
+    summary = {"sentences": ["一句摘要。"], "bullets": [{"label": "要点", "body": "单条要点说明。"}], "notes": ["需注意局限性。"], "follow_ups": ["可追问的问题？"]}
+    books = spark.createDataFrame([("b", "T", None, "txt", 2)], "book_id string, title string, author string, format string, segment_count int")
+    rows = [("b", 1, None, "not json", None), ("b", 0, "〔§一 · 段 1〕", json.dumps(summary), "Translated."), ("b", 2, "", None, "")]
+    segments = spark.createDataFrame(rows, "book_id string, idx int, anchor_label string, summary_json string, translation string")
+    notes = spark.createDataFrame([("b", 1, "my note")], "book_id string, note_id long, content string")
+    found = export.blocks(books, segments, "X", "2024-01-01", notes)
+    text_ = "\n".join(r.block for r in found.collect())
+    assert text_.strip().split("\n") == [
+        "# 《T》摘要版", "> 由 X 生成 · 2024-01-01", "", "## 元信息", "- 作者: —", "- 格式: txt", "- 段数: 2", "", "## 段摘要",
+        "### 段 1 · §一 · 段 1", "一句摘要。", "- 要点：单条要点说明。", "", "#### 需要注意", "- 需注意局限性。", "", "#### 你可以接着问", "1. 可追问的问题？", "", "#### 译文 · 段 1", "Translated.", "",
+        "### 段 2 · 段 2", "not json", "", "### 段 3 · 段 3", "_摘要未生成_", "", "## 我的笔记", "", "- my note",
+    ]
+    export.write(found, str(tmp_path / "out"))
+    assert "### 段 2" in "".join(p.read_text() for p in (tmp_path / "out" / "book_id=b").glob("*.txt"))
+
+
+FULL = "这是第一条要点的充实说明，包含足够细节，长度也够二十个字。"
+
+
+@pytest.mark.parametrize(("data", "bullets"), [
+    ({"bullets": [{"label": "学而不倦", "content": "终身学习。"}, "plain string with enough length here", {"label": "tag", "text": "via text key"}]}, [("学而不倦", "终身学习。"), ("plain", "plain string with enough length here"), ("tag", "via text key")]),
+    ({"bullets": [["a：1 with text", "b：2 with text", "c：3 with text"]]}, [("a", "1 with text"), ("b", "2 with text"), ("c", "3 with text")]),
+    ({"bullets": ["寒门出身", "- **粗体**：说明", {"x": 1}, {"label": "only"}]}, [("寒门出身", "寒门出身"), ("粗体", "说明"), ("要点", "{'x': 1}"), ("only", "only")]),
+    ({"bullets": ["ab。c，d and then much more"]}, [("ab。c", "ab。c，d and then much more")]),
+])
+def test_bullets_of_all_shapes(spark, data, bullets):
+    s = one(spark, model_output.summary(F.col("a"), F.lit("§1")), a=json.dumps({"sentences": ["一句概述。"]} | data, ensure_ascii=False))
+    assert [(b.label, b.body) for b in s.bullets] == bullets and s.anchor == "§1" and s.label == "一句概述"
+
+
+@pytest.mark.parametrize(("n", "m", "label", "problem"), [(1, 3, "标签", None), (3, 7, "标签", None), (5, 9, "标签", "schema"), (0, 3, "标签", "schema"), (1, 2, "标签", "schema"), (4, 3, "标签", "schema"), (1, 3, "x" * 30, None)])
+def test_limits_of_a_summary(spark, n, m, label, problem):
+    raw = json.dumps({"sentences": ["一句。"] * n, "bullets": [{"label": "l", "body": FULL}] * m, "label": label, "锚点": "§1", "notes": ["a", "", "b", "c", "d"]}, ensure_ascii=False)
+    assert one(spark, model_output.problem(model_output.summary(F.col("a"))), a=raw) == problem
+    s = one(spark, model_output.summary(F.col("a")), a=raw)
+    assert (len(s.sentences), len(s.bullets), s.notes, s.anchor, len(s.label)) == (n, m, ["a", "b", "c"], "§1", min(len(label), 20))
+
+
+def test_short_bodies_are_asked_for_again(spark):
+    raw = json.dumps({"sentences": ["a"], "bullets": [{"label": "l", "body": "一二三四五六七八九十十二"}] * 3, "label": "t", "anchor": "1"}, ensure_ascii=False)
+    for least, problem in ((12, None), (20, "too short")):
+        assert one(spark, model_output.problem(model_output.summary(F.col("a")), least), a=raw) == problem
+    assert one(spark, model_output.problem(model_output.summary(F.col("a"))), a="prose") == "no JSON"
+    text_ = one(spark, model_output.summary_text(model_output.summary(F.col("a"))), a=raw)
+    assert text_.split("\n")[:3] == ["总结: a", "结构化要点:", "- l：一二三四五六七八九十十二"]
+
+
+@pytest.mark.parametrize(("raw", "value"), [
+    ('{"s": ["x"], "b": ["a：1", "c：2，" "d：3"]}, {"label": "# l", "anchor": "§1"}', {"s": ["x"], "b": ["a：1", "c：2，", "d：3"], "label": "# l", "anchor": "§1"}),
+    ('{"s":["x"],"bullets":[["a：1","b：2"],"锚点":"§1"},{"label":"l"}]}', {"s": ["x"], "bullets": ["a：1", "b：2"], "anchor": "§1", "label": "l"}),
+    ('{"bullets":[{"label":"a","body":"1"},{"label":"b","body":"2"],"label":"l"}', {"bullets": [{"label": "a", "body": "1"}, {"label": "b", "body": "2"}], "label": "l"}),
+    ('{"bullets":[{"label":"a","body":"1"],{"label":"b","body":"2"}],"label":"l"}', {"bullets": [{"label": "a", "body": "1"}, {"label": "b", "body": "2"}], "label": "l"}),
+    ('{"bullets":[{"label":"a","body":“子曰”多见。"},{"label":"b","body":两段对话。"}]}', {"bullets": [{"label": "a", "body": "「子曰」多见。"}, {"label": "b", "body": "两段对话。"}]}),
+    ('{"bullets":[{"label":"a","body":"x "1" y","label":"b","body":"2"}],"label":"l"}', {"bullets": [{"label": "a", "body": 'x "1" y'}, {"label": "b", "body": "2"}], "label": "l"}),
+    ('说明。\n{"a": [1, -2.5e1, true, null]}\n后面。', {"a": [1, -25.0, True, None]}),
+    ('{"f":["][junk],"label":"x"}', {"f": [], "label": "x"}),
+    ('{"a": 1} and {"b": 2}', {"a": 1}), ('{"a": "open', None), ("[1, 2]", [1, 2]),
+])
+def test_what_a_model_meant(raw, value):
+    assert model_output.parse(raw) == value
+
+
+@pytest.mark.parametrize(("published", "synced", "score"), [
+    ("2024-03-19T12:00:00Z", None, 3.0), (None, "2024-03-18T00:00:00", 1.5), ("bad", "worse", 0.0), (None, None, 0.0), ("2024-03-15", "", 0.5), ("2024-03-01", "2024-03-20", 0.0), ("2024-03-25T00:00:00+08:00", None, 3.0), ("", "2024-03-19T00:00:00", 3.0),
+])
+def test_freshness_in_any_time_zone(spark, published, synced, score):
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert one(spark, news.freshness(F.col("a"), F.col("b"), F.lit("2024-03-20T00:00:00Z")), a=published, b=synced) == score
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_long_feed_summaries_lose_nothing(spark):
+    p = one(spark, news.parse_summary(F.col("a")), a="一句话摘要 开头。 " + "文章金句 金句在此。 " * 1200 + "详细摘要 末尾细节。")
+    assert p.detail == "末尾细节。" and p.one_liner == "开头。"
+    assert len(one(spark, news.parse_summary(F.col("a")), a="句。" * 120_000).detail) == 2 * 119_999
+
+
+def test_atom_and_pages_that_fail(spark, tmp_path):
+    entry = '<entry><title>T</title><link rel="self" href="https://a.b/self"/><link href="https://a.b/c"/><summary>S.</summary><author><name>N</name></author><updated>2024-03-04T05:06:07+00:00</updated></entry>'
+    (tmp_path / "f.xml").write_text(f'<feed xmlns="http://www.w3.org/2005/Atom">{entry}</feed>')
+    (r,) = news.feed_rows(readers.feed_items(spark, str(tmp_path)), "s").collect()
+    assert (r.url, r.title, r.author, r.published_at, r.rss_summary) == ("https://a.b/c", "T", "N", "2024-03-04T05:06:07", "S.")
+    (tmp_path / "f.pdf").write_bytes(b"x")
+    (p,) = readers.texts(readers.files(spark, str(tmp_path / "f.pdf")), {"pdf": lambda c: ["one", " ", None, "four"]}).collect()
+    assert (p.pages, p.pages_with_text, p.pages_empty, p.pages_failed, p.coverage) == (4, 2, [2], [3], 0.5)
+
+
+def test_navigation_and_chapter_titles():
+    item = lambda **x: x
+    assert all(readers.is_navigation(i) for i in (item(id="nav"), item(href="x/toc.xhtml"), item(href="NAV.xhtml"), item(properties="a nav")))
+    assert not readers.is_navigation(item(id="navy", href="canvas.html"))
+    assert readers.chapter_title("<title> A &amp; b </title>", "x.html") == "A & b" and readers.chapter_title("<p>", "o/my_first_page.xhtml") == "my first page"
+    assert readers.plain("<p>a<br>b</p><h2>c</h2>d<script>x<y</script>&lt;e&gt;") == "a\nb\n\n c\n\nd  <e>"
+
+
+def test_pausing_and_resuming_in_order(spark):
+    log = [(1, "a", 0, "enqueue"), (2, "a", 0, "enqueue"), (3, "b", 0, "start"), (4, "c", 1, "error"), (5, "c", 1, "error"), (6, "c", 1, "error")]
+    table = lambda rows: spark.createDataFrame(rows, "seq long, book_id string, idx int, command string")
+    at = lambda rows: {(r.book_id, r.idx): (r.status, r.place) for r in queue.places(table(rows)).collect()}
+    assert at(log) == {("a", 0): ("pending", "queued"), ("b", 0): ("running", "active"), ("c", 1): ("failed", "none")}
+    paused = [*log, (7, None, None, "pause_all")]
+    assert at(paused) == {("a", 0): ("pending", "backlog"), ("b", 0): ("pending", "backlog"), ("c", 1): ("failed", "none")}
+    assert at([*paused, (8, "a", None, "resume")])["b", 0] == ("running", "active")  # one book resumed ends the pause of all
+    own = [*log, (7, "a", None, "pause"), (8, "b", None, "resume")]
+    assert at(own)["a", 0][1] == "backlog" and at([*own, (9, None, None, "resume_all")])["a", 0][1] == "queued"
+    assert at([*log, (7, "c", 1, "retry")])["c", 1] == ("pending", "queued") and at([*log, (7, "c", 1, "retry"), (8, "c", 1, "error")])["c", 1] == ("pending", "queued")
+    again = queue.regenerate_commands(spark.createDataFrame([("c", 1), ("c", 2)], "book_id string, idx int"), spark.createDataFrame([("c",)], "book_id string"), 6)
+    found = {(r.book_id, r.idx): r.status for r in queue.jobs(table(log).unionByName(again)).collect()}
+    assert found["c", 1] == found["c", 2] == "pending"
+
+
+def test_lists_follow_their_rules(spark):
+    tasks = spark.createDataFrame([(1, "running", "x"), (2, "failed", "y")], "id int, status string, kind string")
+    assert [r.shown for r in queue.partitions(tasks).orderBy("id").collect()] == ["running", "recent"]
+    assert queue.selected(tasks, kind="y").count() == 1 and queue.selected(tasks).count() == 2
+    assert one(spark, queue.budget_seconds(F.lit(3)), a="") == 540
+    order = spark.createDataFrame([("summarize", ["a"]), ("translate", None), ("chat", ["b"])], "profile string, ids array<string>")
+    assert {(r.profile, *r.ids) for r in settings.with_fallback(order).collect()} == {("summarize", "a"), ("translate", "a"), ("chat", "b")}
+    assert tuple(one(spark, settings.budget(F.lit("ollama"), F.lit(0)), a="")) == (2500, 3000, 1500)
+    assert one(spark, settings.default_feed(F.col("a"), "c", "e"), a="zh-CN") == "c" and one(spark, text.has_cjk(F.col("a")), a="a 书") and one(spark, text.is_local(F.col("a")), a="http://127.0.0.1:80/v1")
+    models = spark.createDataFrame([("m", "a:latest"), ("m", "b")], "machine string, name string").withColumn("pos", F.lit(1))
+    assert settings.installed_match(spark.createDataFrame([("m", "a")], "machine string, model string"), models).first().name == "a:latest"
+    probes = spark.createDataFrame([("p", True, "ok")], "resource string, ok boolean, detail string")
+    both = settings.reachable(probes.select("resource"), spark.createDataFrame([("r", 2)], "resource string, in_use long"), probes).orderBy("resource").collect()
+    assert [(r.resource, r.in_use, r.ok, r.known) for r in both] == [("p", 0, True, True), ("r", 2, None, False)]
+    p = news.parse_summary(F.col("a"))
+    assert one(spark, news.expected_words(p), a=SUMMARY) == 1200 and one(spark, news.origin_hint(p), a=SUMMARY) is None
+    assert one(spark, news.article_context(F.lit(" "), F.col("a"), F.lit("card")), a="told") == "told"
+    assert one(spark, display.without_citation(F.col("a")), a="x — 依据：y") == "x"
