@@ -19,6 +19,8 @@ K lose a thousandth of one, so that no history is left without mass.
 Null and blank texts are the end token alone. A null doc_id is never held out. Rows are
 scored one by one; equal rows get equal scores. Texts longer than a block are scored in
 pieces. No documents give no rows; with nothing to learn from, every token has probability 1.
+Columns other than doc_id, held_out and text aren't looked at. Histories are told apart by 64 bits of hash, the
+followers of one history by 48: two that share them count as one word.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 Null and blank texts have size 0 and are never copied. Null sources form one source, the last.
 Equal rows draw equal numbers, so that reruns and retried tasks agree. An empty table gives an
-empty result. Sources of size 0 have the target 0.
+empty result. Sources of size 0 have the target 0. Texts of any length are counted whole. Columns of docs are carried in a
+struct, so that no name clashes.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ maximisation over the counts of vote patterns, taken from all documents, estimat
 each labeller votes rightly and gives each pattern a posterior. The posteriors of a bounded
 sample label a linear scorer over hashed words and shapes of words, which scores every document.
 
-Null and blank texts get score 0 and are not kept. Rows are scored one by one; equal rows get
-equal scores. An empty table gives an empty result; without a sample the posterior alone decides.
+Null and blank texts get score 0 and are not kept. Rows are scored one by one, texts of any length whole; equal rows get
+equal scores. Of equal hashes the sample takes each text once. An empty table gives an empty result; without a sample the posterior alone decides.
+Columns other than doc_id and text aren't looked at. Labellers that measure related things share what they are right
+about, which expectation-maximisation, taking them as independent, counts twice: posteriors are surer than they should be.
 """
 
 from __future__ import annotations

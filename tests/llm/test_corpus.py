@@ -178,6 +178,35 @@ def test_near_dedup_of_families(spark):
         near_dedup.REST = rest
 
 
+def test_near_dedup_of_a_large_family(spark):
+    """Two thousand texts about one, half of them beyond the threshold; some have copies near them but not near the one."""
+    rng = np.random.default_rng(8)
+    base = [f"w{rng.integers(1000)}" for _ in range(80)]
+    texts = []
+    for k in range(2000):
+        w = list(base)
+        for at in rng.choice(80, rng.integers(1, 20), replace=False):
+            w[at] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(w))
+        if k % 50 == 0:
+            texts.append(" ".join([*w[:-1], "end"]))
+    expected = [(i, n, g) for i, (n, g) in enumerate(brute.groups(texts, 2))]
+    got = near_dedup.annotate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), shingle=2).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == expected and len({g for *_, g in expected}) > 300
+
+
+def test_near_dedup_of_clashing_columns_and_null_ids(spark, odd):
+    found = near_dedup.annotate(odd.withColumn("mark", F.lit(1)).withColumn("n_shingles", F.lit("mine")), shingle=2)
+    assert len(set(found.columns)) == len(found.columns) and dict(found.dtypes)["n_shingles"] == "bigint"
+    assert found.count() == len(ROWS) and {r.node for r in found.select("node").collect()} == {"node"}
+    rng = np.random.default_rng(4)
+    rows = [(None, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 12))) for _ in range(300)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string")
+    assert near_dedup.keep(docs, shingle=2).count() == 300
+    nodes = near_dedup.annotate(docs, shingle=2)
+    assert nodes.count() == 350 and nodes.select("root").distinct().count() == 300
+
+
 def test_near_dedup_of_odd_rows(spark, odd, empty):
     got = near_dedup.annotate(odd.select("doc_id", "text"), shingle=2).select("doc_id", "n_shingles", "component_id", "kept").collect()
     by = {r.doc_id: r for r in got}
@@ -480,6 +509,43 @@ def test_em_finds_the_worse_labeller(spark):
     assert right["a"] > right["c"] + 0.15 and right["b"] > right["c"] + 0.1
 
 
+def test_weak_labels_by_brute_force(spark):
+    """Posteriors by plain expectation-maximisation over all rows; scores by a logistic regression fitted apart."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in quality_classifier.annotate(docs).collect()}
+    m = F.col("m")
+    votes = quality_classifier.labellers(m)
+    rows = quality_rules.annotate(docs, ()).select("doc_id", m["n_words"].alias("n"), *[x.alias(k) for k, x in votes.items()]).collect()
+    used = [r for r in rows if r.n > 0]
+    v = np.array([[r[k] for k in votes] for r in used])
+    prior, right = 0.8, np.full((2, v.shape[1]), 0.8)  # right: how often a labeller votes good of the good, bad of the bad
+    for turn in range(quality_classifier.ROUNDS + 1):
+        good = np.where(v > 0, right[0], np.where(v < 0, 1 - right[0], 1)).prod(axis=1) * prior
+        bad = np.where(v < 0, right[1], np.where(v > 0, 1 - right[1], 1)).prod(axis=1) * (1 - prior)
+        p = good / (good + bad)
+        if turn < quality_classifier.ROUNDS:
+            prior = min(max((p.sum() + 1) / (len(p) + 2), 0.05), 0.95)
+            for k, (q, sign) in enumerate(((p, 1), (1 - p, -1))):
+                hit, of = (q[:, None] * (v == sign)).sum(0), (q[:, None] * (v != 0)).sum(0)
+                right[k] = np.clip((hit + 4) / (of + 5), 0.55, 0.99)
+    for r, x in zip(used, p, strict=True):
+        assert got[r.doc_id].weak_label == pytest.approx(x, rel=1e-6, abs=1e-9)
+    assert all((r.score >= quality_classifier.LEAST) == r.kept for r in got.values())
+    words = docs.select("doc_id", quality_classifier.features_of(F.col("text")).alias("t")).collect()
+    seen = {w: k for k, w in enumerate(sorted({w for r in words for w in r.t}))}
+    x = np.zeros((len(words), len(seen)), np.float32)
+    for k, r in enumerate(words):
+        x[k, [seen[w] for w in r.t]] = 1
+    label = np.array([got[r.doc_id].weak_label for r in words])
+    w, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(2000):  # plain gradient steps
+        e = 1 / (1 + np.exp(-(x @ w + b))) - label
+        w, b = w - 0.02 * (x.T @ e / len(x) + 1e-3 * w), b - 0.02 * e.mean()
+    mine = 1 / (1 + np.exp(-(x @ w + b)))
+    agree = np.mean([(a >= 0.5) == (got[r.doc_id].score >= 0.5) for a, r in zip(mine, words, strict=True)])
+    assert agree >= 0.95
+
+
 # 9 mixing
 
 
