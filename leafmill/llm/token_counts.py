@@ -3,7 +3,8 @@
 A vocabulary string that the tokenizer proves to encode alone as one token is counted
 directly wherever it stands as a pre-token; only the other pre-tokens are merged. Null and empty texts have
 no tokens. Texts of any length are counted whole, in pieces that the pre-tokenizer's own
-rules separate. Rows are counted one by one; equal rows give equal counts.
+rules separate. Rows are counted one by one; equal rows give equal counts, an empty table an
+empty result. Columns other than doc_id and text aren't looked at.
 """
 
 from __future__ import annotations
@@ -67,6 +68,9 @@ class Counter:
         self.pre_tokens = regex.compile(PRE_TOKEN).findall
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        # a space before a visible character always begins a pre-token, so texts can be cut there; not before a special string, which parts the spaces from what follows
+        unless = f"(?!{'|'.join(map(re.escape, special))})" if special else ""
+        self.cut = re.compile(rf" (?=\S){unless}").split
         self.memo: dict[str, int] = {}
 
     def merged(self, piece: str) -> int:
@@ -89,9 +93,6 @@ class Counter:
             self.memo[chunk] = n
         return n
 
-    #: A space before a visible character always begins a pre-token, so texts can be cut there.
-    cut = staticmethod(re.compile(r" (?=\S)").split)
-
     def total(self, text: str | None) -> int:
         if not text:
             return 0
