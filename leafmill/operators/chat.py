@@ -43,3 +43,39 @@ def usage(calls: DataFrame) -> DataFrame:
     total = F.coalesce("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
     rate = F.bround(F.col("completion_tokens") / F.greatest(F.col("duration_ms"), F.lit(1)) * 1000, 1)
     return calls.select("call_id", total.alias("total_tokens"), rate.alias("tokens_per_s"))
+
+
+def article_context(articles: DataFrame) -> DataFrame:
+    """articles(article_id, title, url, author, published_at, body, p: the parsed summary, card, excerpt) -> what questions about each are answered from.
+
+    The start of the body (fixed length), else what the summary tells, else card and excerpt; headings are fixed values.
+    """
+    p = F.col("p")
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    head = [F.concat(F.lit("# "), F.coalesce("title", F.lit("Article"))), F.concat(F.lit("来源: "), F.coalesce("url", F.lit(""))), F.concat(F.lit("作者: "), text("author")), F.concat(F.lit("发布时间: "), text("published_at"))]
+    views = F.when(F.size(p["viewpoints"]) > 0, F.concat(F.lit("主要观点：\n"), F.array_join(F.transform(p["viewpoints"], lambda x: F.concat(F.lit("- "), x)), "\n")))
+    told = F.concat_ws("\n", F.nullif(p["one_liner"], F.lit("")), F.nullif(p["detail"], F.lit("")), views)
+    rest = F.concat_ws("\n", F.concat(F.lit("\n## 速读卡\n"), text("card")), F.concat(F.lit("\n## 摘要\n"), text("excerpt")))
+    body = F.when(text("body").isNotNull(), F.concat(F.lit("\n## 正文\n"), F.substring("body", 1, 12000))).when(told != "", F.concat(F.lit("\n## RSS 结构化摘要\n"), told)).otherwise(F.nullif(rest, F.lit("")))
+    return articles.select("article_id", F.concat_ws("\n", *head, body).alias("context"))
+
+
+def prepared(questions: DataFrame, system: str, about: str = "上下文") -> DataFrame:
+    """questions(question_id, message, quote, context, enough, refs: array of (title, url, source)) -> the messages that a model gets.
+
+    Web results are added to the context where that isn't enough; a quote stands before its question.
+    """
+    web = F.when(~F.col("enough") & (F.size("refs") > 0), F.concat(F.lit("\n\n## 联网检索\n"), F.to_json("refs"))).otherwise("")
+    quote = F.trim(F.coalesce("quote", F.lit("")))
+    asked = F.when(quote != "", F.concat(F.lit("用户选中的原文:\n「"), quote, F.lit("」\n\n问题: "), F.col("message"))).otherwise(F.col("message"))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    user = F.concat(F.lit(f"{about}:\n"), F.col("context"), web, F.lit("\n\n用户问题: "), asked)
+    return questions.select("question_id", F.array(message("system", F.lit(system)), message("user", user)).alias("messages"))
+
+
+def turns(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """questions(session_id, at, message) and answers(session_id, at, raw: what a model said) -> the messages that are stored."""
+    from leafmill.operators.model_output import chat_answer
+
+    said = questions.select("session_id", "at", F.lit("user").alias("role"), F.col("message").alias("content"))
+    return said.unionByName(answers.select("session_id", "at", F.lit("assistant").alias("role"), chat_answer(F.col("raw"))["answer"].alias("content")))

@@ -142,3 +142,11 @@ def coverage(segments: DataFrame, key: str, texts: DataFrame, text: str) -> Data
     sizes = F.transform("s", lambda x: F.length(x["raw_text"]))
     lossless = (F.transform("s", lambda x: x["start_offset"]) == ends) & (F.transform("s", lambda x: x["end_offset"] - x["start_offset"]) == sizes) & (joined == strip(F.col(text)))
     return parts.join(texts, key).select(key, F.size("s").cast("long").alias("n_segments"), F.length(joined).cast("long").alias("chars"), F.array_max(sizes).alias("largest"), lossless.alias("lossless"))
+
+
+def report(segments: DataFrame, key: str) -> DataFrame:
+    """The first two segments of each text, for a reviewer: characters, chapter, offsets, the start, and whether the second overlaps the first."""
+    ends = segments.filter("idx = 0").select(key, F.col("end_offset").alias("first_end"))
+    shown = segments.filter("idx < 2").join(ends, key)
+    overlap = F.when(F.col("idx") == 1, F.col("first_end") > F.col("start_offset")).otherwise(F.lit(False))
+    return shown.select(key, "idx", F.length("raw_text").alias("chars"), F.coalesce("chapter", F.lit("—")).alias("chapter"), "start_offset", "end_offset", F.translate(F.substring("raw_text", 1, 200), "\n", " ").alias("preview"), overlap.alias("overlap"))

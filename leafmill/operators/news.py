@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urljoin, urlsplit
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,6 +220,75 @@ def choose_body(candidates: DataFrame) -> DataFrame:
     return candidates.select("article_id", order.alias("o"), F.struct("attempt", "strategy", n.alias("chars"), good.alias("good")).alias("c")).groupBy("article_id").agg(F.min_by("c", "o").alias("c")).select("article_id", "c.*")
 
 
+#: Most addresses of origins that are tried, and of them those through the proxy; the least length of a body (fixed values).
+ORIGINS, PROXIED, BODY_LEAST = 5, 2, 500
+TRIES = ("direct", "proxy", "origin", "origin_proxy")
+
+
+def fetched(candidates: DataFrame) -> DataFrame:
+    """candidates(article_id, strategy, nth, text, expected_words) -> the body of each article, by the first try that is good.
+
+    Direct, the proxy, the first origins, the proxy on fewer of them. An origin's body must also be
+    more than twice as long as what came before from the page itself. Failing all, the longest text (of equal ones the
+    first) stands, marked short; without any text the article failed.
+    """
+    n = F.length(strip(F.coalesce("text", F.lit(""))))
+    s = F.col("strategy")
+    tried = candidates.withColumn("n", n).filter((s != "origin") | (F.col("nth") < ORIGINS)).filter((s != "origin_proxy") | (F.col("nth") < PROXIED))
+    order = F.struct(F.array_position(F.array(*map(F.lit, TRIES)), s).alias("a"), F.col("nth").alias("b"))
+    stub = tried.groupBy("article_id").agg(F.coalesce(F.max(F.when(s.isin("direct", "proxy"), F.col("n"))), F.lit(0)).alias("stub"))
+    good = body_is_good(F.col("text"), F.col("expected_words")) & ((s != "origin") | (F.col("n") > F.greatest(2 * F.col("stub"), F.lit(BODY_LEAST))))
+    rank = F.struct((~good).alias("bad"), F.when(good, 0).otherwise(-F.col("n")).alias("size"), order.alias("order"))
+    best = tried.join(stub, "article_id").select("article_id", rank.alias("rank"), F.struct("strategy", "nth", "n", good.alias("good")).alias("c")).groupBy("article_id").agg(F.min_by("c", "rank").alias("c"))
+    outcome = F.when(F.col("c.good"), "good").when(F.col("c.n") > 0, "short").otherwise("failed")
+    return best.select("article_id", F.when(outcome != "failed", F.col("c.strategy")).alias("strategy"), F.when(outcome != "failed", F.col("c.nth")).alias("nth"), F.col("c.n").alias("chars"), outcome.alias("outcome"))
+
+
+#: Words beside a link to the original, hosts that are no origin, and endings of files that are none (fixed values).
+ORIGIN_HINT = re.compile(r"阅读(?:完整)?(?:文章|原文)|查看原文|原文链接|原文地址|original\s*(?:article|link)|source\s*url", re.I)
+NO_ORIGIN = (
+    "schema.org w3.org purl.org creativecommons.org github.com twitter.com x.com facebook.com linkedin.com youtube.com google.com fonts.googleapis.com cdn.jsdelivr.net"
+).split()
+AGGREGATORS = ("bestblogs.dev",)
+NO_PAGE = (".css", ".js", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".woff", ".woff2", ".json")
+HREF = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*["']([^"'#]+)""", re.I)
+HINT_CHARS, OTHERS = 160, 3
+
+
+def _under(host: str, names) -> bool:
+    return any(host == x or host.endswith("." + x) for x in names)
+
+
+def _leads_out(link: str, page: str) -> bool:
+    """Whether an address can be an article's origin: a page with a path, on another site that is no platform."""
+    try:
+        parts, own = urlsplit(link), urlsplit(page).hostname or ""
+        host = (parts.hostname or "").lower()
+    except ValueError:
+        return False
+    same = bool(own) and (_under(host, [own.lower()]) or _under(own.lower(), [host]))
+    path = parts.path.lower()
+    return parts.scheme in ("http", "https") and bool(host) and not same and not _under(host, [*AGGREGATORS, *NO_ORIGIN]) and bool(path.strip("/")) and not path.endswith(NO_PAGE)
+
+
+def _origins(page: str | None, url: str | None) -> list[str]:
+    found: dict[bool, dict[str, str]] = {True: {}, False: {}}
+    for m in HREF.finditer(page or ""):
+        try:
+            link = urljoin(url or "https://example.invalid/", m[1].strip())
+        except ValueError:  # no address
+            continue
+        if _leads_out(link, url or ""):
+            hinted = bool(ORIGIN_HINT.search(page, max(0, m.start() - HINT_CHARS), m.end() + HINT_CHARS))
+            found[hinted].setdefault(link.split("#")[0].rstrip("/"), link)
+    return list(found[True].values()) or list(found[False].values())[:OTHERS]
+
+
+def origins(page: Column, url: Column) -> Column:
+    """The addresses of a page's originals: links with words that say so beside them, else its first few links that lead out."""
+    return F.pandas_udf(lambda p, u: pd.Series([_origins(a, b) for a, b in zip(p, u, strict=True)]), "array<string>")(page, url)
+
+
 def feed_rows(items: DataFrame, source_id: str) -> DataFrame:
     """items(title, link, description, author, pubDate) of a feed -> articles; items without a link go."""
     from leafmill.functions.text import article_id, strip_html

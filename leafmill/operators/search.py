@@ -107,3 +107,16 @@ def top_results(results: DataFrame, limit: int = 5) -> DataFrame:
 
     once = results.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "url").orderBy("pos"))).filter("nth = 1")
     return once.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).filter(F.col("place") <= limit).drop("nth")
+
+
+#: The source that is asked besides the general one, by what a question is about (fixed values).
+EXTRA = {"academic": "arxiv", "books": "openlibrary", "code": "github", "general": "wikipedia"}
+
+
+def web_results(queries: DataFrame, results: DataFrame, provider: str, limit: int = 5) -> DataFrame:
+    """queries(query_id, domain), results(query_id, source, pos, url, ...) -> the first of each url: the provider's, then those of the domain's own source."""
+    extra = F.create_map(*[F.lit(x) for kv in EXTRA.items() for x in kv])
+    asked = results.join(queries.select("query_id", F.element_at(extra, F.col("domain")).alias("extra")), "query_id")
+    first, second = F.col("source") == provider, F.col("source") == F.col("extra")
+    placed = asked.filter((first | second) & (F.coalesce("url", F.lit("")) != "")).withColumn("pos", F.col("pos") + F.when(first, 0).otherwise(1 << 20))
+    return top_results(placed.drop("extra"), limit)

@@ -139,3 +139,9 @@ def reachable(resources: DataFrame, runtime: DataFrame, probes: DataFrame) -> Da
     """runtime(resource, in_use) and probes(resource, ok, detail) side by side; one without the other has 0 or nothing."""
     joined = runtime.join(probes, "resource", "full_outer").join(resources.select("resource", F.lit(True).alias("known")).distinct(), "resource", "left")
     return joined.select("resource", F.coalesce("in_use", F.lit(0).cast("long")).alias("in_use"), "ok", "detail", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def prompt_profile(facts: DataFrame, tries: int = 3, local_tries: int = 2) -> DataFrame:
+    """chain_facts() of the profile summarize -> which prompt is used, how often it is tried, and the least length of a bullet (fixed values)."""
+    kind = F.when(F.col("local_first"), "local").when(F.col("cloud_first"), "cloud").otherwise("full")
+    return facts.select("profile", kind.alias("prompt"), F.when(kind == "local", local_tries).otherwise(tries).alias("tries"), F.when(kind == "full", 20).otherwise(12).alias("least_body"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import text
-from leafmill.operators import display, markdown, model_output, news, settings
+from leafmill.operators import chat, chunking, display, markdown, model_output, news, search, settings
 from leafmill.plans import views as v
 from leafmill.plans.register import query
 
@@ -52,7 +52,7 @@ def books_as_cards(spark, d):
     return cards.select("book_id", F.array_join(F.transform("lead", lambda x: F.trim(x)), "|").alias("lead"))
 
 
-@query(r"SELECT doc_id, '[§全文]' || CASE WHEN b <> '' THEN chr(10) || b ELSE '' END AS annotated FROM (SELECT doc_id, regexp_replace(replace(text, '#', ' '), '^\s+|\s+$', '', 'g') AS b FROM documents)".replace("[§全文]", "[§(全文)]"), with_views=False)
+@query(r"SELECT doc_id, '[§(全文)]' || CASE WHEN b <> '' THEN chr(10) || b ELSE '' END AS annotated FROM (SELECT doc_id, regexp_replace(replace(text, '#', ' '), '^\s+|\s+$', '', 'g') AS b FROM documents)", with_views=False)
 def texts_annotated(spark, d):
     return markdown.annotated(v.table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("#"), F.lit(" ")).alias("t")), "doc_id", "t")
 
@@ -103,3 +103,84 @@ def models_chosen(spark, d):
     names = F.when(k % 3 == 0, F.array(F.lit("m2"), F.lit("own"))).when(k % 3 == 1, F.array(F.lit("m1"), F.lit("m4"), F.lit("bge-m3"))).otherwise(F.array(F.lit("zz"), F.lit("all-minilm")))
     tiers = v.table(spark, d, "region").select(F.col("r_regionkey").alias("tier"), (F.col("r_regionkey") * 10).alias("min_ram"), F.concat(F.lit("m"), "r_regionkey").alias("model"))
     return settings.chat_model(machines, c.select("machine", F.explode(names).alias("name")), tiers)
+
+
+FETCH = "SELECT segment_id // 6 AS article_id, ['direct', 'proxy', 'origin', 'origin', 'origin_proxy', 'origin_proxy'][segment_id % 6 + 1] AS strategy, CASE WHEN segment_id % 6 IN (3, 5) THEN 1 WHEN segment_id % 42 = 2 THEN 7 ELSE 0 END AS nth, segment_id % 6 AS k, length(regexp_replace(CASE WHEN segment_id % 5 = 1 THEN '' ELSE raw_text END, '^\\s+|\\s+$', '', 'g')) AS n FROM segments"
+
+
+@query(f", c AS (SELECT * FROM ({FETCH}) WHERE NOT (strategy = 'origin' AND nth >= 5)), s AS (SELECT article_id, coalesce(max(CASE WHEN k < 2 THEN n END), 0) AS stub FROM c GROUP BY article_id), g AS (SELECT c.*, n >= 900 AND (strategy <> 'origin' OR n > greatest(2 * stub, 500)) AS good FROM c JOIN s ON c.article_id = s.article_id), b AS (SELECT article_id, arg_min(k, CASE WHEN good THEN k ELSE 1000000000 - n * 10 + k END) AS k FROM g GROUP BY article_id) SELECT b.article_id, CASE WHEN g.good OR g.n > 0 THEN g.strategy END AS strategy, CASE WHEN g.good OR g.n > 0 THEN g.nth END AS nth, CAST(g.n AS INTEGER) AS chars, CASE WHEN g.good THEN 'good' WHEN g.n > 0 THEN 'short' ELSE 'failed' END AS outcome FROM b JOIN g ON b.article_id = g.article_id AND b.k = g.k")
+def articles_fetched(spark, d):
+    """Segments as six tries of an article each."""
+    i = F.col("segment_id")
+    k = i % 6
+    strategy = F.element_at(F.array(*map(F.lit, ("direct", "proxy", "origin", "origin", "origin_proxy", "origin_proxy"))), (k + 1).cast("int"))
+    nth = F.when(k.isin(3, 5), 1).when(i % 42 == 2, 7).otherwise(0)
+    c = v.segments(spark, d).select(F.floor(i / 6).alias("article_id"), strategy.alias("strategy"), nth.alias("nth"), F.when(i % 5 == 1, "").otherwise(F.col("raw_text")).alias("text"), F.lit(3000).alias("expected_words"))
+    return news.fetched(c)
+
+
+@query("SELECT article_id, page_id, '# ' || title || chr(10) || '来源: ' || url || CASE WHEN published_at IS NOT NULL THEN chr(10) || '发布时间: ' || published_at ELSE '' END || chr(10) || chr(10) || CASE WHEN page_id % 3 = 0 THEN '## 正文' || chr(10) || 'body' WHEN page_id % 3 = 1 THEN '## RSS 结构化摘要' || chr(10) || '一句。' ELSE '## 摘要' || chr(10) || 'ex' END AS context FROM articles")
+def article_contexts(spark, d):
+    k = F.col("page_id") % 3
+    a = v.articles(spark, d).withColumns({"author": F.lit(None).cast("string"), "body": F.when(k == 0, "body"), "p": news.parse_summary(F.when(k == 1, "一句。")), "card": F.lit(""), "excerpt": F.lit("ex")})
+    keyed = a.select("article_id", "page_id", "title", "url", "author", "published_at", "body", "p", "card", "excerpt").withColumn("article_id", F.struct("article_id", "page_id"))
+    return chat.article_context(keyed).select("article_id.*", "context")
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN '上下文:' || chr(10) || 'ctx' || CASE WHEN turn % 2 = 0 THEN chr(10) || chr(10) || '## 联网检索' || chr(10) || '[{\"title\":\"t\",\"url\":\"u\",\"source\":\"s\"}]' ELSE '' END || chr(10) || chr(10) || '用户问题: ' || CASE WHEN conv_id % 2 = 0 THEN '用户选中的原文:' || chr(10) || '「q」' || chr(10) || chr(10) || '问题: ' ELSE '' END || text END AS asked FROM conversations WHERE role = 'user'", with_views=False)
+def chats_prepared(spark, d):
+    c = v.table(spark, d, "conversations").filter("role = 'user'")
+    refs = F.array(F.struct(F.lit("t").alias("title"), F.lit("u").alias("url"), F.lit("s").alias("source")))
+    q = c.select(F.struct("conv_id", "turn").alias("question_id"), F.col("text").alias("message"), F.when(F.col("conv_id") % 2 == 0, " q ").alias("quote"), F.lit("ctx").alias("context"), (F.col("turn") % 2 == 1).alias("enough"), refs.alias("refs"))
+    return chat.prepared(q, "system").select("question_id.*", F.get("messages", F.lit(1))["content"].alias("asked"))
+
+
+@query("SELECT conv_id AS session_id, turn AS at, role, text AS content FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, 'assistant', text FROM conversations WHERE role = 'assistant'", with_views=False)
+def chat_turns_stored(spark, d):
+    """Questions, and answers that a model gave as JSON or as plain text."""
+    c = v.table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("at"), "role", "text")
+    raw = F.when(F.col("session_id") % 2 == 0, F.to_json(F.struct(F.col("text").alias("answer")))).otherwise(F.col("text"))
+    return chat.turns(c.filter("role = 'user'").withColumnRenamed("text", "message"), c.filter("role = 'assistant'").withColumn("raw", raw))
+
+
+@query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY first DESC, turn) AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, url ORDER BY first DESC, turn) AS nth FROM (SELECT conv_id, turn, 'u' || (turn % 4) AS url, turn % 3 <> 0 AS first FROM conversations)) WHERE nth = 1 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY first DESC, turn) <= 5", with_views=False)
+def web_results_merged(spark, d):
+    """Turns as results: two of three from the general source, the rest from the one for the question's field."""
+    c = v.table(spark, d, "conversations")
+    field = F.when(F.col("conv_id") % 2 == 0, "code").otherwise("general")
+    own = F.when(F.col("conv_id") % 2 == 0, "github").otherwise("wikipedia")
+    r = c.select(F.col("conv_id").alias("query_id"), F.when(F.col("turn") % 3 != 0, "ddgs").otherwise(own).alias("source"), F.col("turn").alias("pos"), F.concat(F.lit("u"), F.col("turn") % 4).alias("url"), "turn")
+    found = search.web_results(c.select(F.col("conv_id").alias("query_id"), field.alias("domain")).distinct(), r, "ddgs")
+    return found.select(F.col("query_id").alias("conv_id"), "turn", "place")
+
+
+@query()
+def chunk_report(spark, d):
+    return chunking.report(chunking.chunk(v.table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://origin.test/a' WHEN page_id % 3 = 1 THEN 'https://other.test/x|https://other.test/y/' ELSE '' END AS origins FROM pages", with_views=False)
+def page_origins(spark, d):
+    """Pages with links in front: to themselves, to platforms, to files, out, and one that says it is the original."""
+    k = F.col("page_id") % 3
+    out = F.when(k < 2, '<a href="https://other.test/x#1">a</a><a href="https://other.test/x">b</a><a href="https://other.test/y/">c</a>').otherwise("")
+    front = F.concat(F.lit('<a href="/own">o</a><a href="https://gist.github.com/p">p</a><a href="https://o.test/s.css">s</a><a href="https://root.test/">r</a>'), out, F.repeat(F.lit(" "), 400), F.when(k == 0, '阅读原文 <a href="https://origin.test/a">z</a>').otherwise(""), F.repeat(F.lit(" "), 400))
+    bare = F.regexp_replace("html", "(?i)href", "data-h")
+    return v.table(spark, d, "pages").select("page_id", F.array_join(news.origins(F.concat(front, bare), F.col("url")), "|").alias("origins"))
+
+
+@query("SELECT s_suppkey AS id, 'https://h' || s_suppkey || '/v1' AS base, s_name || '_' || CASE WHEN s_suppkey % 2 = 0 THEN '_' ELSE '.' END AS file, '********' AS shown, s_suppkey % 2 = 0 AS embeds, true AS same FROM supplier", with_views=False)
+def names_normalised(spark, d):
+    i = F.col("s_suppkey")
+    address = F.concat(F.lit(" https://h"), i, F.when(i % 3 == 0, "/v1/chat/completions").when(i % 3 == 1, "/v1/").otherwise("//"))
+    model = F.when(i % 2 == 0, "BGE-m3").otherwise("chat")
+    return v.table(spark, d, "supplier").select(
+        i.alias("id"), text.openai_base(address).alias("base"), text.safe_file_name(F.concat("s_name", F.lit("/"), F.when(i % 2 == 0, "?").otherwise("."))).alias("file"), text.masked(F.col("s_name")).alias("shown"),
+        text.is_embedding_model(model).alias("embeds"), text.same_model(model, F.concat(model, F.lit(":latest"))).alias("same"),
+    )
+
+
+@query("SELECT r_name AS profile, CASE WHEN r_regionkey = 0 THEN 'local' ELSE 'cloud' END AS prompt, CASE WHEN r_regionkey = 0 THEN 2 ELSE 3 END AS tries, 12 AS least_body FROM region", with_views=False)
+def prompt_profiles(spark, d):
+    c = v.table(spark, d, "region").select(F.col("r_name").alias("profile"), F.lit(0).alias("pos"), F.when(F.col("r_regionkey") == 0, "ollama").otherwise("openai").alias("provider"), F.lit(0).cast("long").alias("concurrency"))
+    return settings.prompt_profile(settings.chain_facts(c))

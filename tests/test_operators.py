@@ -327,3 +327,30 @@ def test_lists_follow_their_rules(spark):
     assert one(spark, news.expected_words(p), a=SUMMARY) == 1200 and one(spark, news.origin_hint(p), a=SUMMARY) is None
     assert one(spark, news.article_context(F.lit(" "), F.col("a"), F.lit("card")), a="told") == "told"
     assert one(spark, display.without_citation(F.col("a")), a="x — 依据：y") == "x"
+
+
+def test_report_and_offsets_of_chunks(spark):
+    """Offsets of all segments give the text back, and the report shows the first two."""
+    docs = spark.read.parquet(os.environ.get("LEAFMILL_DATA", "/root/testdata/sf0.001") + "/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: (r.text or "").strip() for r in docs.collect()}
+    found = {}
+    for r in chunking.chunk(docs, "doc_id", "text").collect():
+        found.setdefault(r.doc_id, []).append(r)
+    assert found.keys() == {i for i, t in texts.items() if t}
+    for i, rows in found.items():
+        rows.sort(key=lambda r: r.idx)
+        assert [r.idx for r in rows] == list(range(len(rows))) and "".join(texts[i][r.start_offset : r.end_offset] for r in rows) == texts[i]
+        assert all(r.raw_text == texts[i][r.start_offset : r.end_offset] for r in rows)
+    shown = chunking.report(chunking.chunk(docs, "doc_id", "text"), "doc_id").collect()
+    assert len(shown) == sum(min(2, len(rows)) for rows in found.values()) and not any(r.overlap for r in shown)
+    assert all(r.preview == found[r.doc_id][r.idx].raw_text[:200].replace("\n", " ") for r in shown)
+    gap = spark.createDataFrame([(1, 0, 3, "abc"), (1, 4, 6, "ef"), (2, 0, 3, "abc"), (2, 2, 5, "cde"), (3, 0, 2, "ab"), (3, 2, 4, "cd")], "id int, start_offset int, end_offset int, raw_text string")
+    whole = spark.createDataFrame([(1, "abcdef"), (2, "abcde"), (3, "abcd")], "id int, t string")
+    assert {r.id: r.lossless for r in chunking.coverage(gap, "id", whole, "t").collect()} == {1: False, 2: False, 3: True}
+
+
+def test_origins():
+    page = '<a href="/own">x</a>' + '<a href="http://a.test/p">a</a><a href="http://b.test/p">b</a><a href="http://c.test/p">c</a><a href="http://d.test/p">d</a>' + '<a href="http://www.x.com/p">t</a>'
+    assert news._origins(page, "http://own.test/") == ["http://a.test/p", "http://b.test/p", "http://c.test/p"]
+    assert news._origins(page + " " * 200 + 'Source URL <a href="//e.test/q">e</a>', "http://own.test/") == ["http://e.test/q"]
+    assert news._origins(None, None) == [] and news._origins('<a href="http://[bad/p">', "http://own.test/") == []
