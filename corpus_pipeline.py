@@ -1,4 +1,9 @@
-"""From raw documents to token blocks: quality, near-duplicates, contamination, mixture, tokens."""
+"""From raw documents to token blocks: quality, near-duplicates, contamination, mixture, tokens.
+
+Null, blank and very short texts fail the quality rules; texts of any length pass through whole. Repeated rows
+are one document for the near-duplicate stage, which keeps one; unrelated texts with equal or null ids all stay. Columns
+that the stages don't need are carried along, whatever their names. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
