@@ -5,12 +5,14 @@ the least among the k-grams of the span. Both sides keep such k-grams, so that e
 fingerprints meet; each meeting is then extended word by word, and counts if the shared run
 holds a whole window. Items of fewer than n words are one window of their own length and have
 fingerprints of their own length. Null and wordless texts have no words and no hits; an empty
-benchmark hits nothing; equal rows give equal results. Texts are read whole.
+benchmark hits nothing; equal rows give equal results. Texts are read whole. Items with equal ids
+count as one in the lists; other columns are carried along or not looked at, so that no name clashes.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -100,13 +102,12 @@ class Index:
         for length in self.lengths:
             prints, at = winnow(h, length, self.gram)
             near = np.minimum(np.searchsorted(self.keys, prints), len(self.keys) - 1)
-            seen: set[tuple[int, int]] = set()
             until: dict[tuple[int, int], int] = {}
             for i in np.flatnonzero(self.keys[near] == prints):
                 p = int(at[i])
                 for item, q in self.places[int(prints[i])]:
                     item_id, own, least = self.items[item]
-                    if until.get((item, p - q), -1) > p or (item, p) in seen and item_id in found and hit[p]:
+                    if until.get((item, p - q), -1) > p:
                         continue
                     a = b = 0
                     while p - a and q - a and words[p - a - 1] == own[q - a - 1]:
@@ -120,16 +121,22 @@ class Index:
         return hit, sorted(found)
 
 
-def runs(hit: np.ndarray) -> list[dict]:
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-    return [{"a": int(a), "b": int(b)} for a, b in edge.reshape(-1, 2)]
+#: The index of the benchmark that this worker last saw, by a name of its own.
+_INDEXES: dict[str, Index] = {}
 
 
-def _scan(items: list[tuple[str, str | None]], window: int, gram: int, judge):
-    """A function over Arrow batches: judge(batch, words of each text, their hits)."""
+def _scan(spark: SparkSession, items: list[tuple[str, str | None]], window: int, gram: int, judge):
+    """A function over Arrow batches: judge(batch, words of each text, their hits).
+
+    The items, of a checked size, are a broadcast variable; a worker indexes them once for all its tasks.
+    """
+    name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items, window, gram)
+        if name not in _INDEXES:
+            _INDEXES.clear()
+            _INDEXES[name] = Index(sent.value, window, gram)
+        index = _INDEXES[name]
         for batch in batches:
             words = [split(t) for t in each(batch.column("text"))]
             yield judge(batch, words, [index.hits(w) for w in words])
@@ -140,46 +147,60 @@ def _scan(items: list[tuple[str, str | None]], window: int, gram: int, judge):
 def _joined(docs: DataFrame, benchmark: DataFrame, window: int, gram: int) -> DataFrame:
     """key (the hash of a text), items and n_hit of every text that is hit, by joins.
 
-    First fingerprints meet, then the texts of the pairs that do. A text's fingerprints, an
-    item's and a pair are rows of their own, so that no key needs more of a task than Spark's
-    split of skewed joins allows. Equal texts are matched once.
+    Fingerprints meet first. Around each that does, a text's windows are rows, told by 128 bits of hash; they
+    meet the windows of items. A text and an item are a pair only where they share a window, which
+    the lists of items ask for, and no text is shipped for a pair. Equal texts are matched once.
     """
     items = materialize(benchmark.select(F.col("item_id").cast("string"), F.col("text").alias("item_text")).filter("item_text IS NOT NULL").distinct(), "items")
     lengths = items.select(F.least(F.lit(window), n_words_of(F.col("item_text"))).alias("n")).distinct()
     lengths = sorted(r.n for r in lengths.collect() if r.n)  # window values at most
     texts = docs.select("text").filter("text IS NOT NULL").distinct().select(F.sha2("text", 256).alias("key"), "text")
     texts = materialize(texts, "texts")
+    hashed = lambda words: xxhash.xxh3_128_digest(" ".join(words))
 
-    def prints(key: str, own: bool):
-        def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for k, text in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                    h = numbers(split(text))
-                    for n in [min(window, len(h))] if own else lengths:
-                        if n and len(f := np.unique(winnow(h, n, gram)[0])):
-                            yield pd.DataFrame({key: k, "print": f.view(np.int64)})
-
-        return make
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, text in zip(b["key"], b["text"], strict=True):
+                h = numbers(split(text))
+                for n in lengths:
+                    f, at = winnow(h, n, gram)
+                    if len(f):
+                        yield pd.DataFrame({"key": key, "n": n, "print": f.view(np.int64), "at": at})
+
+    def own_prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text in b["item_text"]:
+                h = numbers(split(text))
+                if n := min(window, len(h)):
+                    yield pd.DataFrame({"n": n, "print": winnow(h, n, gram)[0].view(np.int64)})
 
-    ours = texts.select("key", "text").mapInPandas(prints("key", False), "key string, print long")
-    theirs = items.select(F.sha2("item_text", 256).alias("item"), "item_text").distinct().mapInPandas(prints("item", True), "item string, print long")
-    pairs = ours.join(theirs, "print").select("key", "item").distinct()
-    both = pairs.join(texts, "key").join(items.withColumn("item", F.sha2("item_text", 256)), "item").select("key", "text", "item_id", "item_text")
+    def own_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for item_id, text in zip(b["item_id"], b["item_text"], strict=True):
+                words = split(text)
+                if n := min(window, len(words)):
+                    yield pd.DataFrame({"item_id": item_id, "w": [hashed(words[i : i + n]) for i in range(len(words) - n + 1)]})
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for key, text, item_id, item_text in b.itertuples(index=False):
-                hit, found = Index([(item_id, item_text)], window, gram).hits(split(text))
-                if found:
-                    rows.append((key, item_id, runs(hit)))
-            yield pd.DataFrame(rows, columns=["key", "item_id", "runs"])
-
-    found = both.mapInPandas(verify, "key string, item_id string, runs array<struct<a: long, b: long>>")
-    per_text = found.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
+            for key, text, met in zip(b["key"], b["text"], b["met"], strict=True):
+                words = split(text)
+                starts = {(m["n"], i) for m in met for i in range(max(0, m["at"] + min(gram, m["n"]) - m["n"]), min(m["at"], len(words) - m["n"]) + 1)}
+                if starts:
+                    rows = [(key, i, i + n, hashed(words[i : i + n])) for n, i in sorted(starts)]
+                    yield pd.DataFrame(rows, columns=["key", "a", "b", "w"])
+
+    theirs = items.mapInPandas(own_prints, "n long, print long").distinct()
+    ours = texts.mapInPandas(prints, "key string, n long, print long, at long").join(theirs, ["n", "print"], "left_semi")
+    met = ours.groupBy("key").agg(F.collect_set(F.struct("n", "at")).alias("met"))  # no more than a text has fingerprints
+    near = texts.join(met, "key").mapInPandas(windows, "key string, a long, b long, w binary")
+    kept = materialize(items.mapInPandas(own_windows, "item_id string, w binary").distinct(), "item-windows")
+    hit = materialize(near.join(kept.select("w").distinct(), "w", "left_semi"), "hit-windows")
+    found = hit.select("key", "w").distinct().join(kept, "w").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    per_text = hit.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     union = F.aggregate("runs", start, lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], s["end"]))).alias("n"), F.greatest(s["end"], r["b"]).alias("end")))["n"]
-    return per_text.select("key", "items", union.alias("n_hit"))
+    return per_text.join(found, "key").select("key", "items", union.alias("n_hit"))
 
 
 def n_words_of(text: Column) -> Column:
@@ -220,7 +241,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram:
         )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_scan(items, window, gram, rows), f"doc_id {kind}, n_words long, n_hit long, items array<string>")
+    return docs.select("doc_id", "text").mapInArrow(_scan(docs.sparkSession, items, window, gram, rows), f"doc_id {kind}, n_words long, n_hit long, items array<string>")
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -238,7 +259,7 @@ def keep(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     def rows(batch, words, hits):
         return batch.filter(pa.array([not (n := int(h.sum())) or 20 * n < len(w) for w, (h, _) in zip(words, hits, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(_scan(items, window, gram, rows), docs.schema)
+    return docs.mapInArrow(_scan(docs.sparkSession, items, window, gram, rows), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
