@@ -163,3 +163,8 @@ def has_cjk(x: Column) -> Column:
 def is_local(url: Column) -> Column:
     """Whether an address is this machine's."""
     return host(url).isin("localhost", "127.0.0.1", "::1", "[::1]")
+
+
+def event_text(payload: Column) -> Column:
+    """An event as a listener of an event stream gets it; payload is a struct."""
+    return F.concat(F.lit("data: "), F.to_json(payload), F.lit("\n\n"))

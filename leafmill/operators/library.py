@@ -310,3 +310,8 @@ def manual_category(x: Column) -> Column:
 def distinct_in_order(first: Column, second: Column) -> Column:
     """The items of both lists, each once, at its first place."""
     return F.array_distinct(F.concat(first, second))
+
+
+def lookup(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Each wanted key once, with its row, or with nulls if there is none."""
+    return wanted.select(key).distinct().join(rows, key, "left")

@@ -95,3 +95,31 @@ def heuristic_summary(docs: DataFrame, key: str, text: str) -> DataFrame:
     fallback = F.array(F.concat(F.lit("- **全文**："), F.col("lead"), F.lit(" — 依据：原文 〔§全文〕")))
     ps = F.coalesce(F.transform("ps", lambda x: x["p"]), fallback)
     return made.select(key, F.array_join(F.concat(F.array(F.lit(LEAD), F.col("lead"), F.lit(""), F.lit(POINTS)), ps, F.array(*[F.lit(x) for x in ASKS])), "\n").alias("markdown"))
+
+
+#: Characters up to which a document is summarised in one; segments, bullets of each and of all that a longer one shows; and its own lines (fixed values).
+SHORT_CHARS, SEGMENTS, PER_SEGMENT, POINTS_MOST = 12_000, 6, 3, 8
+SEGMENT_LEAD, SEGMENT_ASKS = "本文按段落摘要如下。", ["", "## 你可以接着问", "1. 哪一段最值得展开？", "2. 有哪些需要注意的限制？"]
+
+
+def segment_cards(segments: DataFrame, key: str) -> DataFrame:
+    """A card per text from its first segments(idx, label, said: sentences, points): the lead of each, and its points with the place they are from."""
+    point = lambda label: lambda x: F.concat(F.lit("- **"), label, F.lit("**："), x, F.lit(" — 依据：原文 〔§"), label, F.lit("〕"))
+    first = segments.filter(F.col("idx") < SEGMENTS)
+    part = F.struct("idx", F.slice("said", 1, 1).alias("said"), F.transform(F.slice("points", 1, PER_SEGMENT), point(F.col("label"))).alias("points"))
+    parts = first.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts"))  # six at most
+    lead = F.coalesce(F.nullif(F.array_join(F.slice(F.flatten(F.transform("parts", lambda x: x["said"])), 1, 3), " "), F.lit("")), F.lit(SEGMENT_LEAD))
+    points = F.slice(F.flatten(F.transform("parts", lambda x: x["points"])), 1, POINTS_MOST)
+    points = F.when(F.size(points) > 0, points).otherwise(F.array(F.concat(F.lit("- **全文**："), lead, F.lit(" — 依据：原文 〔§全文〕"))))
+    return parts.select(key, F.array_join(F.concat(F.array(F.lit(LEAD), lead, F.lit(""), F.lit(POINTS)), points, F.array(*map(F.lit, SEGMENT_ASKS))), "\n").alias("markdown"))
+
+
+def document_summaries(docs: DataFrame, key: str, text: str, segments: DataFrame) -> DataFrame:
+    """Every text's card without a model, and whether it is made by segments(key, idx, raw_text, chapter), as of the long ones; texts without words have none."""
+    noted = docs.join(annotated(docs, key, text), key).filter(strip(F.col(text)) != "")
+    is_long = F.length("annotated") > SHORT_CHARS
+    short = heuristic_summary(noted.filter(~is_long).select(key, "annotated"), key, "annotated").select(key, "markdown", F.lit(False).alias("by_segments"))
+    said = F.array(F.substring(without_markers(F.col("raw_text")), 1, 120))
+    label = F.coalesce("chapter", F.concat(F.lit("段 "), F.col("idx") + 1))
+    of_long = segments.join(noted.filter(is_long).select(key), key, "left_semi").select(key, "idx", label.alias("label"), said.alias("said"), said.alias("points"))
+    return short.unionByName(segment_cards(of_long, key).select(key, "markdown", F.lit(True).alias("by_segments")))

@@ -184,3 +184,24 @@ def names_normalised(spark, d):
 def prompt_profiles(spark, d):
     c = v.table(spark, d, "region").select(F.col("r_name").alias("profile"), F.lit(0).alias("pos"), F.when(F.col("r_regionkey") == 0, "ollama").otherwise("openai").alias("provider"), F.lit(0).cast("long").alias("concurrency"))
     return settings.prompt_profile(settings.chain_facts(c))
+
+
+@query("SELECT event_id, 'data: {\"type\":\"' || event_type || '\",\"id\":' || event_id || '}' || chr(10) || chr(10) AS line FROM events", with_views=False)
+def events_as_text(spark, d):
+    return v.table(spark, d, "events").select("event_id", text.event_text(F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("id"))).alias("line"))
+
+
+@query("SELECT w.url, a.n FROM (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT url || '/not' FROM pages)) w LEFT JOIN (SELECT url, min(page_id) AS n FROM pages GROUP BY url) a ON w.url = a.url", with_views=False)
+def articles_by_url(spark, d):
+    """All addresses of pages, and as many that aren't there."""
+    from leafmill.operators import library
+
+    p = v.table(spark, d, "pages")
+    wanted = p.select("url").unionByName(p.select(F.concat("url", F.lit("/not")).alias("url")))
+    return library.lookup(p.groupBy("url").agg(F.min("page_id").alias("n")), wanted, "url")
+
+
+@query()
+def document_summaries(spark, d):
+    docs = v.table(spark, d, "documents").select("doc_id", "text")
+    return markdown.document_summaries(docs, "doc_id", "text", chunking.chunk(docs, "doc_id", "text"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import language, text
-from leafmill.operators import chunking, display, export, jobs, library, model_output, news, queue, search, settings
+from leafmill.operators import chunking, display, export, jobs, library, markdown, model_output, news, queue, search, settings
 from leafmill.plans import views
 from leafmill.sources import readers
 
@@ -354,3 +354,13 @@ def test_origins():
     assert news._origins(page, "http://own.test/") == ["http://a.test/p", "http://b.test/p", "http://c.test/p"]
     assert news._origins(page + " " * 200 + 'Source URL <a href="//e.test/q">e</a>', "http://own.test/") == ["http://e.test/q"]
     assert news._origins(None, None) == [] and news._origins('<a href="http://[bad/p">', "http://own.test/") == []
+
+
+def test_summaries_of_short_and_long_documents(spark):
+    docs = spark.createDataFrame([(1, "# One\nFirst thing said here. More.\n# Two\nSecond."), (2, "## [§甲]\n" + "长句子。" * 4000), (3, " "), (4, None)], "id int, t string")
+    found = {r.id: r for r in markdown.document_summaries(docs, "id", "t", chunking.chunk(docs, "id", "t")).collect()}
+    assert found.keys() == {1, 2} and not found[1].by_segments and found[2].by_segments
+    lines = found[2].markdown.split("\n")
+    n = min(6, chunking.chunk(docs, "id", "t").filter("id = 2").count())
+    assert lines[0] == "## 总结（最多三句话）" and sum(x.startswith("- **§甲**：") for x in lines) == n and lines[-2:] == ["1. 哪一段最值得展开？", "2. 有哪些需要注意的限制？"]
+    assert "First thing said here. More. Second. — 依据：原文 〔§(全文)〕" in found[1].markdown  # places instead of headings: one section
