@@ -39,7 +39,7 @@ from leafmill.llm.common import each, materialize, table
 from leafmill.llm.decontamination import LOWER
 
 #: Tokens of a block, keys of a bucket, and the largest count that is discounted.
-BLOCK_TOKENS, BUCKET_KEYS, K = 1 << 22, 1 << 19, 5
+BLOCK_TOKENS, BUCKET_KEYS, K = 1 << 21, 1 << 19, 5
 #: Histories that occur more often, and more than N / HOT times, are spread over buckets: at most HOT of them.
 HOT = 1 << 20
 EPSILON = 1e-3
