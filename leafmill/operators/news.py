@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import body_is_good, cut, ensure_mark, first_filled, sentences, strip
+from leafmill.functions.text import body_is_good, cut, ensure_mark, first_filled, once, sentences, strip
 
 #: Headings of a structured summary and the fields they open (fixed values).
 SECTIONS = {"一句话摘要": "one_liner", "详细摘要": "detail", "主要观点": "viewpoints", "文章金句": "quotes", "文章信息": "meta"}
@@ -25,6 +25,8 @@ META = {
     "word_count": r"字数[:：]\s*(\d+)",
 }
 CLAIM_MOST, NOTE_LEAST = 60, 35
+#: Sentences that are folded at once.
+RUN = 128
 VIEWS = "struct<claims:array<string>,notes:array<string>,open:string>"
 
 
@@ -51,7 +53,18 @@ def viewpoints(text: Column) -> Column:
         waiting = F.struct(s["claims"].alias("claims"), s["notes"].alias("notes"), x.alias("open"))
         return F.when(s["open"].isNull(), waiting).when(pairs, closed(s, s["open"], x, F.lit(None))).otherwise(closed(s, s["open"], F.lit(""), x))
 
-    return F.aggregate(sentences(text), start, step, lambda s: F.when(s["open"].isNull(), s).otherwise(closed(s, s["open"], F.lit(""), F.lit(None))))
+    def folded(said: Column) -> Column:
+        """In runs of sentences, so that no list is copied once for each of them."""
+
+        def run(s: Column, i: Column) -> Column:
+            begin = F.struct(start["claims"].alias("claims"), start["notes"].alias("notes"), s["open"].alias("open"))
+            joined = lambda r: F.struct(F.concat(s["claims"], r["claims"]).alias("claims"), F.concat(s["notes"], r["notes"]).alias("notes"), r["open"].alias("open"))
+            return once(F.aggregate(F.slice(said, i, F.lit(RUN)), begin, step), joined)
+
+        runs = F.sequence(F.lit(1), F.greatest(F.size(said), F.lit(1)), F.lit(RUN))
+        return F.aggregate(runs, start, run, lambda s: F.when(s["open"].isNull(), s).otherwise(closed(s, s["open"], F.lit(""), F.lit(None))))
+
+    return once(sentences(text), folded)
 
 
 def quotes(text: Column) -> Column:
@@ -78,11 +91,13 @@ def plain(text: Column) -> Column:
 
 def parse_summary(text: Column) -> Column:
     """One-liner, detail, viewpoints with notes, quotes and information of a feed's summary."""
-    s = sections(text)
-    get = lambda k: F.coalesce(F.element_at(s, k), F.lit(""))
-    v = viewpoints(get("viewpoints"))
-    full = F.struct(get("one_liner").alias("one_liner"), get("detail").alias("detail"), v["claims"].alias("viewpoints"), v["notes"].alias("viewpoint_notes"), quotes(get("quotes")).alias("quotes"), meta(get("meta")).alias("meta"))
-    return F.when(get("one_liner") != "", full).otherwise(plain(first_filled(get("detail"), text)))
+
+    def parsed(s: Column) -> Column:
+        get = lambda k: F.coalesce(F.element_at(s, k), F.lit(""))
+        made = lambda v: F.struct(get("one_liner").alias("one_liner"), get("detail").alias("detail"), v["claims"].alias("viewpoints"), v["notes"].alias("viewpoint_notes"), quotes(get("quotes")).alias("quotes"), meta(get("meta")).alias("meta"))
+        return F.when(get("one_liner") != "", once(viewpoints(get("viewpoints")), made)).otherwise(plain(first_filled(get("detail"), text)))
+
+    return once(sections(text), parsed)
 
 
 def score_hint(parsed: Column) -> Column:
