@@ -2,6 +2,7 @@
 
 from leafmill.llm import (
     decontamination,
+    fill_in_middle,
     katz,
     mixing,
     near_dedup,
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.query,
     "op9_mixing": mixing.query,
     "op10_katz_scores": katz.query,
+    "op12_fill_in_middle": fill_in_middle.query,
 }
 
 #: Others need whole-corpus models, tokenizers or regular expressions that DuckDB hasn't; tests/llm checks those by brute force.
 ORACLES = {
     "op9_mixing": mixing.SQL,
+    "op12_fill_in_middle": fill_in_middle.SQL,
 }
