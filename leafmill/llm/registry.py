@@ -9,6 +9,7 @@ from leafmill.llm import (
     personal_data,
     quality_classifier,
     quality_rules,
+    source_divergence,
     token_counts,
     token_output,
     url_filters,
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_mixing": mixing.query,
     "op10_katz_scores": katz.query,
     "op12_fill_in_middle": fill_in_middle.query,
+    "op13_source_divergence": source_divergence.query,
 }
 
 #: Others need whole-corpus models, tokenizers or regular expressions that DuckDB hasn't; tests/llm checks those by brute force.
 ORACLES = {
     "op9_mixing": mixing.SQL,
     "op12_fill_in_middle": fill_in_middle.SQL,
+    "op13_source_divergence": source_divergence.SQL,
 }
