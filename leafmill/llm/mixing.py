@@ -1,7 +1,8 @@
 """Mixing sources to target weights: repetition rates per source, hash-seeded copies per document.
 
 Null and blank texts have size 0 and are never copied. Null sources form one source, the last.
-Equal rows draw equal numbers, so that reruns and retried tasks agree. An empty table gives an
+A row draws by its source, id and text, and by its number among rows that are equal in these, so that null
+and repeated ids, and repeated rows, draw for themselves; reruns and retried tasks agree. An empty table gives an
 empty result. Sources of size 0 have the target 0. Texts of any length are counted whole. Columns of docs are carried in a
 struct, so that no name clashes.
 """
@@ -47,8 +48,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
 
 def draw(key: Column, seed: str = SEED) -> Column:
     """A number in [0, 1) that depends on the seed and the key alone."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12)
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -57,37 +57,60 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) ->
     return materialize(targets(sizes, weights, most), "mix-plan")
 
 
-def with_copies(docs: DataFrame, mix: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc and mix as two structs, size, and the number of copies of each row of docs.
+def keyed(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """doc (the columns, all by default), key (a hash of source, doc_id and text), nth (from 0, among rows with equal keys), blank.
+
+    Only repeated rows are numbered: by partition, and in each from where the earlier ones end, so that no task
+    needs all rows of a key. Which of the equal rows gets which number depends on the run, what they get together doesn't.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text)))
+    rows = docs.select(F.struct(*(columns or ("*",))).alias("doc"), key.alias("key"), (~F.rlike(text, F.lit(r"[^\x20\x09-\x0D]"))).alias("blank"))
+    again = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "repeated-rows")
+    if again.isEmpty():
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    placed = rows.join(again, "key", "left_semi").withColumn("part", F.spark_partition_id())
+    placed = materialize(placed, "repeated-rows")
+    counts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("key", "part", (F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")).alias("start"))
+    place = F.row_number().over(Window.partitionBy("key", "part").orderBy(F.lit(0))) - 1
+    numbered = placed.withColumn("place", place).join(starts, ["key", "part"]).withColumn("nth", (F.col("start") + F.col("place")).cast("long"))
+    alone = rows.join(again, "key", "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    return alone.unionByName(numbered.select(*alone.columns))
+
+
+def with_copies(rows: DataFrame, mix: DataFrame, seed: str = SEED) -> DataFrame:
+    """doc and mix as two structs, size, and the number of copies of each row of keyed(); none of a blank one.
 
     The plan is a written table of a known size: Spark broadcasts it if it is under the
     session's threshold and otherwise shuffles, and splits sources that are skewed.
     """
-    d = docs.select(F.struct("*").alias("doc"))
     m = mix.select(F.struct("*").alias("mix"))
-    joined = d.join(m, F.col("doc.source").eqNullSafe(F.col("mix.source")), "left")
+    joined = rows.join(m, F.col("doc.source").eqNullSafe(F.col("mix.source")), "left")
     rate = F.coalesce(F.try_divide(F.col("mix.target"), F.col("mix.source_size").cast("double")), F.lit(0.0))
-    copies = F.floor(rate) + (draw(F.col("doc.doc_id"), seed) < rate - F.floor(rate)).cast("long")
+    drawn = draw(F.concat_ws(":", "key", F.col("nth").cast("string")), seed)
+    copies = F.when(F.col("blank"), 0).otherwise(F.floor(rate) + (drawn < rate - F.floor(rate)).cast("long"))
     return joined.select("doc", "mix", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    taken = with_copies(docs, plan(docs, weights, most), seed)
+    taken = with_copies(keyed(docs), plan(docs, weights, most), seed)
     return taken.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
-    return with_copies(sized, plan(docs)).select(
+    rows = keyed(docs, "doc_id", "source", size_of(F.col("text")).alias("size"))
+    return with_copies(rows, plan(docs)).select(
         "doc.doc_id", "doc.size", "mix.source_size", "mix.target", (F.col("doc.size") * F.col("copies")).alias("taken")
     )
 
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(concat_ws(':', coalesce(source, ''), coalesce(CAST(doc_id AS VARCHAR), 'null'), md5(coalesce(text, '')))) AS key FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -105,7 +128,7 @@ WITH d AS (
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / CAST(t.source_size AS DOUBLE) END AS rate,
-         CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) / 281474976710656.0 AS u
+         CAST(('0x' || substr(md5('mix-1:' || d.key || ':' || (row_number() OVER (PARTITION BY d.key) - 1)), 1, 12)) AS BIGINT) / 281474976710656.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

@@ -4,6 +4,7 @@ from leafmill.llm import (
     decontamination,
     fill_in_middle,
     katz,
+    language_id,
     mixing,
     near_dedup,
     personal_data,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.query,
     "op9_mixing": mixing.query,
     "op10_katz_scores": katz.query,
+    "op11_language_id": language_id.query,
     "op12_fill_in_middle": fill_in_middle.query,
     "op13_source_divergence": source_divergence.query,
 }

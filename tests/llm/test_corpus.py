@@ -593,6 +593,22 @@ def test_taken_comes_near_the_target(spark):
     assert all(taken[s] == pytest.approx(t, rel=0.05) for s, t in target.items())
 
 
+def test_null_and_repeated_ids_draw_for_themselves(spark):
+    """Rows that can't be told apart, or have no id, still come near their target together; blank ones are never taken."""
+    text = F.when(F.col("id") % 2 == 0, "the same words again").otherwise(F.concat(F.lit("row "), F.col("id"), F.lit(" of many")))
+    rows = spark.range(8000).select(F.when(F.col("id") % 3 == 0, 7).cast("long").alias("doc_id"), text.alias("text"), F.when(F.col("id") < 6000, "a").when(F.col("id") < 7000, "b").otherwise("c").alias("source"), F.lit(1).alias("key"), F.lit(2).alias("nth"))
+    rows = rows.unionByName(rows.limit(50).withColumn("text", F.lit(" \t")))
+    target = {r.source: r.target for r in mixing.plan(rows).collect()}
+    for parts in (2, 5):
+        mixed = mixing.mix(rows.repartition(parts))
+        taken = {r.source: r["count"] * 4 for r in mixed.groupBy("source").count().collect()}
+        assert all(taken[s] == pytest.approx(t, rel=0.05) for s, t in target.items()), (taken, target)
+        assert mixed.filter("trim(text) = '\t'").count() == 0
+        counts = sorted((str(r[:3]), r["count"]) for r in mixed.groupBy("doc_id", "text", "source").count().collect())
+        assert parts == 2 or counts == before
+        before = counts
+
+
 # 10 Katz
 
 
