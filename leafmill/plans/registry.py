@@ -512,4 +512,4 @@ def articles_after_prune(spark, d):
     return library.cascade(v.articles(spark, d), retired, "source_id").select("article_id", "url", "source_id")
 
 
-from leafmill.plans import changes, queue_log, shown  # noqa: E402, F401
+from leafmill.plans import changes, found, queue_log, shown  # noqa: E402, F401
