@@ -165,12 +165,11 @@ def by_hand(text, dimensions=language_id.DIMENSIONS):
     """The bundle of a text, n-gram by n-gram."""
     symbols = [0, *(ord(c) if c.isalpha() else 0 for c in (text or "").lower()), 0]
     vector = lambda c: language_id.symbol_vectors(np.array([c]), dimensions)[0].astype(int)
-    out, n = np.zeros(dimensions, int), 0
-    for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
-        if (a or b) and (b or c):
-            out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
-            n += 1
-    return out, n
+    grams = Counter((a, b, c) for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False) if (a or b) and (b or c))
+    out = np.zeros(dimensions, int)
+    for (a, b, c), n in grams.items():
+        out += n * (np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c))
+    return out, sum(grams.values())
 
 
 def test_bundles_are_sums_of_bound_vectors(monkeypatch):
