@@ -91,20 +91,19 @@ def spans(text: str, b: Budget = Budget()) -> list[tuple[int, int]]:
             start = at
         yield start, end
 
-    found = [*pieces(0, len(text))]
-    merging = True
-    while merging:  # a small segment joins the next, if nothing begins inside it
-        merging, joined, i = False, [], 0
-        while i < len(found):
-            s, e = found[i]
-            if e - s < b.least and i + 1 < len(found) and found[i + 1][1] - s <= b.most and outline.next_start(s, found[i + 1][0]) is None:
-                joined.append((s, found[i + 1][1]))
-                merging, i = True, i + 2
-            else:
-                joined.append((s, e))
-                i += 1
-        found = joined
-    return [x for s, e in found for x in pieces(s, e)]
+    def thinned(cuts: list[int]) -> list[int]:
+        """cuts without those behind a small piece in which nothing begins, if the two pieces together aren't too long; of two such cuts in a row the first goes."""
+        kept = cuts[:1]
+        for left, cut, right in zip(cuts, cuts[1:], cuts[2:], strict=False):
+            small = cut - left < b.least and right - left <= b.most and outline.next_start(left, cut) is None
+            if not small or kept[-1] != left:
+                kept.append(cut)
+        return kept + cuts[-1:]
+
+    cuts = [0, *(e for _, e in pieces(0, len(text)))]
+    while (fewer := thinned(cuts)) != cuts:
+        cuts = fewer
+    return [x for s, e in zip(cuts, cuts[1:], strict=False) for x in pieces(s, e)]
 
 
 SEGMENT = "idx int, raw_text string, start_offset int, end_offset int, chapter string, page_range string"

@@ -50,13 +50,17 @@ def jobs(log: DataFrame, tries: int = TRIES) -> DataFrame:
 
 
 def places(log: DataFrame, tries: int = TRIES) -> DataFrame:
-    """jobs() with place: queued, active, backlog of a paused book, or none. A job is in one place, however often it was enqueued; pausing sends a running one back to pending."""
-    found = jobs(log, tries).join(pauses(log), "book_id", "left")
+    """jobs() with place: queued, active, backlog of a paused book, or none."""
+    return placed(jobs(log, tries), pauses(log))
+
+
+def placed(found: DataFrame, paused_books: DataFrame) -> DataFrame:
+    """Jobs with place. A job is in one place, however often it was enqueued; pausing sends a running one back to pending."""
     paused = F.coalesce("paused", F.lit(False))
     waits, runs = F.col("status") == "pending", F.col("status") == "running"
     place = F.when(paused & (waits | runs), "backlog").when(waits, "queued").when(runs, "active").otherwise("none")
     status = F.when(paused & runs, "pending").otherwise(F.col("status"))
-    return found.select("book_id", "idx", status.alias("status"), "errors", "started", place.alias("place"))
+    return found.join(paused_books, "book_id", "left").withColumn("place", place).withColumn("status", status).drop("paused")
 
 
 def recovered(found: DataFrame) -> DataFrame:
