@@ -149,3 +149,32 @@ def latest(changes: DataFrame, *key: str) -> DataFrame:
     rest = [c for c in changes.columns if c not in (*key, "batch")]
     last = changes.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
     return last.select(*key, *[F.col(f"last.{c}").alias(c) for c in rest])
+
+
+RING = "key string, task_ids array<long>, n_finished long"
+
+
+class Ring(StatefulProcessor):
+    """The last tasks of a key, latest first, and the number of all there have been; the list never grows beyond its limit."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "seqs array<long>, task_ids array<long>, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        seqs, ids, n = self.held.get() if self.held.exists() else ([], [], 0)
+        new = {(r.seq, r.task_id) for r in rows}
+        last = sorted(new | set(zip(seqs, ids, strict=True)), reverse=True)[: self.limit]
+        n += len(new)
+        self.held.update(([s for s, _ in last], [i for _, i in last], n))
+        yield Row(key=key[0], task_ids=[i for _, i in last], n_finished=n)
+
+    def close(self) -> None:
+        pass
+
+
+def recent(finished: DataFrame, limit: int) -> DataFrame:
+    """A stream finished(key, task_id, seq), each task once -> its key's ring."""
+    return finished.select("key", "task_id", "seq").groupBy("key").transformWithState(Ring(limit), RING, outputMode="Update", timeMode="None")
