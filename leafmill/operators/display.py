@@ -82,11 +82,3 @@ def card_structure(cards: DataFrame, key: str, text: str) -> DataFrame:
     label = F.when(is_bold, F.regexp_extract(point, bold, 1))
     body = F.when(f == "sentences", line).when(f == "notes", note).when(f == "follow_ups", ask).otherwise(without_citation(F.when(is_bold, F.regexp_extract(point, bold, 2)).otherwise(point)))
     return placed.select(key, "pos", "field", label.alias("label"), body.alias("body")).filter("body IS NOT NULL")
-
-
-def summaries_to_card(segments: DataFrame) -> DataFrame:
-    """segments(book_id, idx, s: a summary) -> of each book the lead and its points: three sentences, three bullets a segment and eight in all, of six segments (fixed values)."""
-    first = segments.filter("idx < 6").select("book_id", "idx", F.slice("s.sentences", 1, 3).alias("said"), F.slice("s.bullets", 1, 3).alias("points"))
-    grouped = first.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("idx", "said", "points"))).alias("xs"))
-    flat = lambda f: F.flatten(F.transform("xs", lambda x: x[f]))
-    return grouped.select("book_id", F.slice(flat("said"), 1, 3).alias("lead"), F.slice(F.transform(flat("points"), lambda b: F.concat(b["label"], F.lit("："), b["body"])), 1, 8).alias("points"))

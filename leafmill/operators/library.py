@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import MASK, ascii_nocase, first_filled, strip
+from leafmill.operators.ordering import RUN, by_runs
 
 #: The fixed categories of a book; the last is the fallback.
 CATEGORIES = ("文学", "历史", "科技", "经管", "社科", "生活", "其他")
@@ -218,10 +219,10 @@ def is_preset(sources: DataFrame, presets: DataFrame) -> DataFrame:
 
 def position_delta(segments: DataFrame, moves: DataFrame) -> DataFrame:
     """moves(book_id, from_idx, to_idx) -> the places between two segments in their book's list; null if either isn't there."""
-    placed = segments.select("book_id", "idx", F.row_number().over(Window.partitionBy("book_id").orderBy("idx")).alias("at"))
+    placed = by_runs(segments.select("book_id", "idx"), "book_id", "idx", F.floor(F.col("idx") / RUN), "at")
     ends = moves.join(placed.select("book_id", F.col("idx").alias("from_idx"), F.col("at").alias("a")), ["book_id", "from_idx"], "left")
     ends = ends.join(placed.select("book_id", F.col("idx").alias("to_idx"), F.col("at").alias("b")), ["book_id", "to_idx"], "left")
-    return ends.select("book_id", "from_idx", "to_idx", (F.col("b") - F.col("a")).alias("delta"))
+    return ends.select("book_id", "from_idx", "to_idx", (F.col("b") - F.col("a")).cast("int").alias("delta"))
 
 
 def first_sample(segments: DataFrame, chars: int = 2000) -> DataFrame:

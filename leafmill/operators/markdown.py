@@ -12,7 +12,7 @@ HEADING = r"^#{1,6}\s+.+$"
 CITATION = r"(?i)〔[^〕]+〕|\[p\.\d+\]|〔?§[^\s，,;；|〕\]]+|Sheet\s*[:：]?\s*\S+|p\.\d+"
 UNLOCATED = " 〔未定位到页/节〕"
 #: Headings and lines of a card made without a model (fixed values).
-LEAD, POINTS, WHOLE, NO_LEAD = "## 总结（最多三句话）", "## 结构化要点", "(全文)", "文档的要点如下。"
+LEAD, POINTS, WHOLE, NO_LEAD = "## 总结（最多三句话）", "## 结构化要点", "(全文)", ("文档 ", " 的要点如下。")
 ASKS = ["", "## 你可以接着问", "1. 哪一节最值得展开？", "2. 有哪些需要注意的限制？"]
 
 
@@ -32,9 +32,10 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def under(lines: DataFrame, key: str, heading: str) -> Column:
-    """Whether a line is inside a section whose heading begins so: the last heading so far decides."""
+    """Whether a line is inside a section whose heading begins so, with or without a space; any other heading with one ends it."""
     so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("line").startswith("## "), F.col("line").rlike(heading)), ignorenulls=True).over(so_far)
+    mark = F.when(F.col("line").rlike(heading), True).when(F.col("line").startswith("## "), False)
+    last = F.last(mark, ignorenulls=True).over(so_far)
     return F.coalesce(last, F.lit(False))
 
 
@@ -80,15 +81,17 @@ def clipped(x: Column, n: int) -> Column:
     return F.when(F.length(x) > n, F.concat(F.substring(x, 1, n), F.lit("…"))).otherwise(x)
 
 
-def heuristic_summary(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A summary card without a model: the first sentence, and a point for each of the first six sections."""
+def heuristic_summary(docs: DataFrame, key: str, text: str, filename: Column | str = "article") -> DataFrame:
+    """A summary card without a model: the first sentence, or a line with the file's name, and a point for each of the first six sections."""
     lead = F.filter(F.split(without_markers(F.col(text)), r"(?<=[。！？.!?])\s+"), lambda s: F.length(F.trim(s)) > 8)
-    one = F.coalesce(F.get(lead, F.lit(0)), F.lit(NO_LEAD))
+    name = F.lit(filename) if isinstance(filename, str) else filename
+    one = F.coalesce(F.get(lead, F.lit(0)), F.concat(F.lit(NO_LEAD[0]), name, F.lit(NO_LEAD[1])))
     one = F.when(F.length(one) > 160, F.concat(F.substring(one, 1, 159), F.lit("…"))).otherwise(one)
     parts = sections(docs, key, text).select(key, "section", cite_of(F.col("heading")).alias("cite"), without_markers(F.col("text")).alias("body"))
-    label = F.regexp_replace("cite", r"^(?:§|p\.)+", "")
+    label = strip(F.regexp_replace("cite", r"^§*[p.]*", ""))
     rest = F.when(F.col("body").startswith(label), F.regexp_replace(F.substring("body", F.length(label) + 1, F.lit(1 << 30)), "^[ ：:>-]+", "")).otherwise(F.col("body"))
-    points = parts.select(key, "section", "cite", label.alias("label"), F.trim(rest).alias("body")).filter("body <> ''")
+    shown = F.coalesce(F.nullif(label, F.lit("")), F.col("cite"))
+    points = parts.select(key, "section", "cite", shown.alias("label"), F.trim(rest).alias("body")).filter("body <> ''")
     point = F.concat(F.lit("- **"), F.col("label"), F.lit("**："), clipped(F.col("body"), 120), F.lit(" — 依据：原文 〔"), F.col("cite"), F.lit("〕"))
     per_doc = points.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("section", point.alias("p")))), 1, 6).alias("ps"))
     made = docs.select(key, one.alias("lead")).join(per_doc, key, "left")

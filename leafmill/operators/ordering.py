@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from leafmill.sources.shared import stored
 
 
+#: Keys, where they are whole numbers given in turn, that one task places.
+RUN = 50_000
+
+
 def _placed(runs: DataFrame, group: list[str], order: list[str], column: str) -> DataFrame:
     """runs(group, order, run_) with column: places within runs, and where each run starts by the sums of the earlier ones."""
     counts = runs.groupBy(*group, "run_").agg(F.count(F.lit(1)).alias("n_"))
@@ -21,6 +25,17 @@ def _placed(runs: DataFrame, group: list[str], order: list[str], column: str) ->
     return placed.withColumn(column, F.col("start_") + F.col("here_")).drop("run_", "here_", "at_", "start_", *[f"{g}_of" for g in group])
 
 
+def running_sum(rows: DataFrame, group: str, key: str, run: Column, value: Column, column: str) -> DataFrame:
+    """rows with the sum of value over the rows of their group up to their key; run as in by_runs, key unique within a group."""
+    valued = rows.withColumn("run_", F.coalesce(run, F.lit(-1 << 62))).withColumn("value_", value)
+    sums = valued.groupBy(group, "run_").agg(F.sum("value_").alias("sum_"))
+    before = F.coalesce(F.sum("sum_").over(Window.partitionBy(group).orderBy("run_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(F.col(group).alias("of_"), F.col("run_").alias("at_"), before.alias("start_"))
+    here = F.sum("value_").over(Window.partitionBy(group, "run_").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    placed = valued.withColumn("here_", here).join(starts, F.col(group).eqNullSafe(F.col("of_")) & (F.col("run_") == F.col("at_")))
+    return placed.withColumn(column, F.col("start_") + F.col("here_")).drop("run_", "value_", "here_", "of_", "at_", "start_")
+
+
 def by_runs(rows: DataFrame, group: str, key: str, run: Column, column: str = "idx") -> DataFrame:
     """rows with their places, from 0 by key, nulls first, within their group. run must not fall while the key rises; a run of a group is numbered in one task.
 

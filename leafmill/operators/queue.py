@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.library import state
+from leafmill.operators.ordering import RUN, running_sum
 
 #: Tries of a job until it has failed, and seconds of each (fixed values).
 TRIES, TRY_SECONDS = 3, 180
@@ -93,13 +94,13 @@ def diagnostics(found: DataFrame, paused: DataFrame, workers: int) -> DataFrame:
 def with_progress(log: DataFrame, totals: DataFrame) -> DataFrame:
     """Every result in the log with its book's progress at that moment: how many of its jobs have been ready so far.
 
-    A job counts from its first ready on. totals(book_id, total); windows are over a book's results.
+    A job counts from its first ready on. totals(book_id, total); no task needs all results of a book.
     """
     done = log.filter(F.col("command").isin("ready", "error"))
     nth = F.row_number().over(Window.partitionBy("book_id", "idx", "command").orderBy("seq"))
     new = F.when((F.col("command") == "ready") & (F.col("nth") == 1), 1).otherwise(0)
-    so_far = Window.partitionBy("book_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return done.withColumn("nth", nth).withColumn("ready", F.sum(new).over(so_far)).join(totals, "book_id", "left").select("seq", "book_id", "idx", "command", "ready", "total")
+    counted = running_sum(done.withColumn("nth", nth), "book_id", "seq", F.floor(F.col("seq") / RUN), new, "ready")
+    return counted.join(totals, "book_id", "left").select("seq", "book_id", "idx", "command", "ready", "total")
 
 
 def snapshot_then(log: DataFrame, at: int) -> DataFrame:

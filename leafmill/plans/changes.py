@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import text
-from leafmill.operators import library, news, settings
+from leafmill.operators import library, news, ordering, settings
 from leafmill.plans import views as v
 from leafmill.plans.register import query
 
@@ -32,11 +32,9 @@ def books_public(spark, d):
 
 @query("SELECT n.note_id, s.book_id, n.segment_id, CAST(row_number() OVER (PARTITION BY s.book_id ORDER BY n.created_at DESC, n.note_id) AS INTEGER) AS place FROM notes n JOIN segments s ON n.segment_id = s.segment_id")
 def notes_by_book(spark, d):
-    from pyspark.sql import Window
-
     n = v.notes(spark, d).join(v.segments(spark, d).select("segment_id", "book_id"), "segment_id")
-    place = F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("created_at"), "note_id"))
-    return library.notes_of(n).select("note_id", "book_id", "segment_id", place.alias("place"))
+    latest = ordering.by_ranges(library.notes_of(n).withColumn("turned", -F.col("created_at")), ["book_id"], ["turned", "note_id"], "place")
+    return latest.select("note_id", "book_id", "segment_id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query("SELECT source_id, url, length(source_id) % 2 = 0 AS preset FROM sources")

@@ -302,9 +302,10 @@ def languages_of_dressed_texts(spark, d):
     return v.table(spark, d, "documents").select("doc_id", language.infer(F.concat(preface, F.coalesce("text", F.lit("")))).alias("inferred"))
 
 
-def _cards(docs: DataFrame) -> DataFrame:
-    """Documents as Markdown: each line a point, every seventh a heading."""
+def _cards(docs: DataFrame, tight: bool = False) -> DataFrame:
+    """Documents as Markdown: each line a point, every seventh a heading; tight: half of them with a first heading without its space."""
     head = F.when(F.col("doc_id") % 3 == 0, "## 结构化要点").when(F.col("doc_id") % 3 == 1, "## 你可以接着问").otherwise("## Other")
+    head = F.when(F.lit(tight) & (F.floor(F.col("doc_id") / 3) % 2 == 0), F.replace(head, F.lit("## "), F.lit("##"))).otherwise(head)
     body = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 3, F.concat(F.lit("## H"), i.cast("string"))).when(i % 2 == 0, F.concat(F.lit("- "), x)).otherwise(F.concat(F.lit("- p.3 "), x)))
     return docs.select("doc_id", F.concat(F.lit("intro\n"), head, F.lit("\n"), F.array_join(body, "\n")).alias("md"))
 
@@ -317,14 +318,18 @@ def markdown_sections(spark, d):
     return markdown.sections(_cards(v.table(spark, d, "documents")), "doc_id", "md")
 
 
-@query(CARDS + " SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN fixed THEN rtrim(line) || ' 〔未定位到页/节〕' ELSE line END AS line, fixed FROM (SELECT *, head = '## 结构化要点' AND line LIKE '- %' AND NOT regexp_matches(line, '(?i)〔[^〕]+〕|\\[p\\.\\d+\\]|〔?§[^\\s，,;；|〕\\]]+|Sheet\\s*[:：]?\\s*\\S+|p\\.\\d+') AS fixed FROM (SELECT g.*, first_value(line) OVER (PARTITION BY doc_id, section ORDER BY pos) AS head FROM g))")
+#: The same with half of the first headings without their space.
+TIGHT = CARDS.replace("ELSE '## Other' END AS head", "ELSE '## Other' END AS wide, CASE WHEN doc_id // 3 % 2 = 0 THEN replace(wide, '## ', '##') ELSE wide END AS head").replace("line LIKE '## %'", "line LIKE '## %' OR line LIKE '##结%' OR line LIKE '##你%'")
+
+
+@query(TIGHT + " SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN fixed THEN rtrim(line) || ' 〔未定位到页/节〕' ELSE line END AS line, fixed FROM (SELECT *, head IN ('## 结构化要点', '##结构化要点') AND line LIKE '- %' AND NOT regexp_matches(line, '(?i)〔[^〕]+〕|\\[p\\.\\d+\\]|〔?§[^\\s，,;；|〕\\]]+|Sheet\\s*[:：]?\\s*\\S+|p\\.\\d+') AS fixed FROM (SELECT g.*, first_value(line) OVER (PARTITION BY doc_id, section ORDER BY pos) AS head FROM g))")
 def citations_repaired(spark, d):
-    return markdown.cited(markdown.lines_of(_cards(v.table(spark, d, "documents")), "doc_id", "md"), "doc_id")
+    return markdown.cited(markdown.lines_of(_cards(v.table(spark, d, "documents"), tight=True), "doc_id", "md"), "doc_id")
 
 
-@query(CARDS + " SELECT doc_id, CAST(pos AS INTEGER) AS pos, line FROM (SELECT g.*, first_value(line) OVER (PARTITION BY doc_id, section ORDER BY pos) AS head FROM g) WHERE head <> '## 你可以接着问'")
+@query(TIGHT + " SELECT doc_id, CAST(pos AS INTEGER) AS pos, line FROM (SELECT g.*, first_value(line) OVER (PARTITION BY doc_id, section ORDER BY pos) AS head FROM g) WHERE head NOT IN ('## 你可以接着问', '##你可以接着问')")
 def asks_dropped(spark, d):
-    return markdown.without_asks(markdown.lines_of(_cards(v.table(spark, d, "documents")), "doc_id", "md"), "doc_id")
+    return markdown.without_asks(markdown.lines_of(_cards(v.table(spark, d, "documents"), tight=True), "doc_id", "md"), "doc_id")
 
 
 @query()

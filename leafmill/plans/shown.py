@@ -45,11 +45,19 @@ def cards_structured(spark, d):
     return display.card_structure(docs, "doc_id", "card").select("doc_id", "field", "label", "body")
 
 
-@query("SELECT book_id, 'Sentence ' || any_value(a) || '。|Second|Sentence ' || any_value(b) || '。' AS lead FROM (SELECT book_id, arg_min(segment_id, idx) AS a, list(segment_id ORDER BY idx)[2] AS b, count(*) AS n FROM segments WHERE idx < 6 AND summary_json LIKE '{%' GROUP BY book_id) WHERE n >= 2 GROUP BY book_id")
+@query(
+    """, x AS (SELECT book_id, idx, segment_id, row_number() OVER (PARTITION BY book_id ORDER BY idx) AS k FROM segments WHERE idx < 6 AND summary_json LIKE '{%'),
+    b AS (SELECT book_id, k, idx, unnest([1, 2, 3]) AS j, unnest(['甲：body of ' || segment_id, '乙：second', '丙：third']) AS said FROM x),
+    p AS (SELECT book_id, string_agg('- **段 ' || (idx + 1) || '**：' || said || ' — 依据：原文 〔§段 ' || (idx + 1) || '〕', chr(10) ORDER BY k, j) AS points FROM b WHERE 3 * (k - 1) + j <= 8 GROUP BY book_id),
+    l AS (SELECT book_id, string_agg('Sentence ' || segment_id || '。', ' ' ORDER BY k) FILTER (k <= 3) AS lead FROM x GROUP BY book_id)
+    SELECT l.book_id, '## 总结（最多三句话）' || chr(10) || lead || chr(10) || chr(10) || '## 结构化要点' || chr(10) || points || chr(10) || chr(10) || '## 你可以接着问' || chr(10) || '1. 哪一段最值得展开？' || chr(10) || '2. 有哪些需要注意的限制？' AS markdown
+    FROM l JOIN p ON l.book_id = p.book_id"""
+)
 def books_as_cards(spark, d):
     s = v.segments(spark, d).filter("summary_json LIKE '{%'").select("book_id", "idx", model_output.summary(F.col("summary_json")).alias("s"))
-    cards = display.summaries_to_card(s).filter("size(points) > 3")
-    return cards.select("book_id", F.array_join(F.transform("lead", lambda x: F.trim(x)), "|").alias("lead"))
+    points = F.transform("s.bullets", lambda b: F.concat(b["label"], F.lit("："), b["body"]))
+    said = s.select("book_id", "idx", F.concat(F.lit("段 "), F.col("idx") + 1).alias("label"), F.transform("s.sentences", text.strip).alias("said"), points.alias("points"))
+    return markdown.segment_cards(said, "book_id")
 
 
 @query(r"SELECT doc_id, '[§(全文)]' || CASE WHEN b <> '' THEN chr(10) || b ELSE '' END AS annotated FROM (SELECT doc_id, regexp_replace(replace(text, '#', ' '), '^\s+|\s+$', '', 'g') AS b FROM documents)", with_views=False)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators.library import CATEGORIES
+from leafmill.operators.ordering import by_runs
 
 STATUSES = ("unread", "reading", "summarized", "processing", "error")
-#: Rows that are numbered in one task, about.
+#: Numbers of documents that are placed in one task.
 RUN_ROWS = 50_000
 
 
@@ -46,31 +47,12 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, group: str, key: str, run_rows: int) -> DataFrame:
-    """rows with idx, from 0 in the key's order within its group, nulls first.
-
-    Runs of the key's values are numbered apart, and each run then starts where the group's rows
-    in earlier runs end: no task holds more of a large group than a run.
-    """
-    total = rows.count()
-    cuts = rows.agg(F.percentile_approx(key, [i * run_rows / total for i in range(1, -(-total // run_rows))])).first()[0] if total > run_rows else []
-    run = F.lit(0)
-    for cut in sorted(set(cuts or [])):
-        run = run + F.when(F.col(key) > cut, 1).otherwise(0)
-    local = rows.withColumn("run", run)
-    counts = local.groupBy(group, "run").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(group).orderBy("run")) - F.col("n")
-    starts = counts.select(F.col(group).alias("of"), F.col("run").alias("at"), before.alias("start"))
-    placed = local.withColumn("place", F.row_number().over(Window.partitionBy(group, "run").orderBy(key)) - 1)
-    met = placed.join(starts, F.col(group).eqNullSafe(F.col("of")) & (F.col("run") == F.col("at")))
-    return met.select(*rows.columns, (F.col("start") + F.col("place")).cast("int").alias("idx"))
-
-
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A segment per document, in doc_id order within its book; its status from the labels."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     d = F.col("doc_id")
-    return numbered(docs.join(labels, "doc_id", "left"), "source", "doc_id", RUN_ROWS).select(
+    placed = by_runs(docs.join(labels, "doc_id", "left"), "source", "doc_id", F.floor(d / RUN_ROWS)).withColumn("idx", F.col("idx").cast("int"))
+    return placed.select(
         d.alias("segment_id"),
         F.col("source").alias("book_id"),
         "idx",

@@ -2,6 +2,7 @@
 
 import io
 import json
+import math
 import os
 import re
 import sqlite3
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import language, text
-from leafmill.operators import chunking, display, export, jobs, library, markdown, model_output, news, queue, search, settings
+from leafmill.operators import chunking, display, export, jobs, library, markdown, model_output, news, ordering, queue, search, settings
 from leafmill.plans import views
 from leafmill.sources import readers
 
@@ -175,12 +176,25 @@ def test_stream_gives_the_batch_states(spark, tmp_path):
 
 @pytest.mark.parametrize("run_rows", [1, 7, 1000])
 def test_numbering_in_runs(spark, run_rows):
-    rows = [("hot", i * i % 101 - 50) for i in range(60)] + [("b", 5), ("b", -10**12), ("b", 10**12), ("b", None), (None, 3), (None, None), (None, 1)]
-    got = views.numbered(spark.createDataFrame(rows, "source string, doc_id long").repartition(3), "source", "doc_id", run_rows).collect()
-    for group in ("hot", "b", None):
-        keys = sorted((k for g, k in rows if g == group), key=lambda k: (k is not None, k or 0))
-        assert [(r.idx, r.doc_id) for r in sorted((r for r in got if r.source == group), key=lambda r: r.idx)] == list(enumerate(keys))
-    assert len(got) == len(rows) and views.numbered(spark.createDataFrame([], "source string, doc_id long"), "source", "doc_id", 1).count() == 0
+    rows = [("hot", i) for i in sorted({i * i % 101 - 50 for i in range(60)})] + [("b", 5), ("b", -10**12), ("b", 10**12), ("b", None), (None, 3), (None, None), (None, 1)]
+    docs = spark.createDataFrame(rows, "source string, doc_id long").repartition(3)
+    for got in (ordering.by_runs(docs, "source", "doc_id", F.floor(F.col("doc_id") / run_rows)).collect(), ordering.by_ranges(docs, ["source"], ["doc_id"]).collect()):
+        for group in ("hot", "b", None):
+            keys = sorted({k for g, k in rows if g == group}, key=lambda k: (k is not None, k or 0))
+            assert [(r.idx, r.doc_id) for r in sorted((r for r in got if r.source == group), key=lambda r: r.idx)] == list(enumerate(keys))
+        assert len(got) == len(rows)
+    empty = spark.createDataFrame([], "source string, doc_id long")
+    assert ordering.by_runs(empty, "source", "doc_id", F.col("doc_id")).count() == 0 and ordering.by_ranges(empty, ["source"], ["doc_id"]).count() == 0
+    sums = ordering.running_sum(docs, "source", "doc_id", F.floor(F.col("doc_id") / run_rows), F.col("doc_id") % 3, "total").filter("source = 'hot'").orderBy("doc_id").collect()
+    assert [r.total for r in sums] == [sum(int(math.fmod(y.doc_id, 3)) for y in sums[: k + 1]) for k in range(len(sums))]
+
+
+def test_numbering_needs_no_driver_and_no_chain(spark):
+    """A group of nine tenths of the rows lies in many runs, and the plan has no condition for each of them."""
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, "hot").otherwise("b").alias("source"))
+    plan = ordering.by_runs(docs, "source", "doc_id", F.floor(F.col("doc_id") / 500))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("CASE WHEN") <= 2 and plan.filter("source = 'hot'").agg(F.max("idx")).first()[0] == 17999
 
 
 def test_no_task_holds_a_whole_book(spark, monkeypatch):
@@ -189,7 +203,7 @@ def test_no_task_holds_a_whole_book(spark, monkeypatch):
     monkeypatch.setattr(views, "RUN_ROWS", 20, raising=False)
     segments, books = views.segments(spark, data), views.books(spark, data)
     assert {r.segment_id: r.idx for r in segments.collect()} == whole
-    assert re.search(r"row_number\(\) windowspecdefinition\(source#\d+, run#\d+", segments._jdf.queryExecution().optimizedPlan().toString())
+    assert re.search(r"row_number\(\) windowspecdefinition\(source#\d+, run_#\d+", segments._jdf.queryExecution().optimizedPlan().toString())
     blocks = export.blocks(books, library.segment_list(segments, "export"), "x", "2024-01-01")
     assert "collect_list" not in blocks._jdf.queryExecution().optimizedPlan().toString()
 
