@@ -517,4 +517,4 @@ def articles_after_prune(spark, d):
     return library.cascade(v.articles(spark, d), retired, "source_id").select("article_id", "url", "source_id")
 
 
-from leafmill.plans import asked, changes, found, queue_log, queue_stream, shown  # noqa: E402, F401
+from leafmill.plans import asked, changes, files, found, queue_log, queue_stream, shown  # noqa: E402, F401

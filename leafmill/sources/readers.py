@@ -27,7 +27,11 @@ def format_of(path: Column) -> Column:
 
 def files(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """path, format, file_hash, content and error of files; those too large or of no known format have an error and no content."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return described(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), most_bytes)
+
+
+def described(raw: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """raw(path, length, content), as Spark reads files whole -> the columns of files()."""
     error = F.when(F.col("length") > most_bytes, "too large").when(format_of(F.col("path")).isNull(), "unknown format")
     return raw.select("path", format_of(F.col("path")).alias("format"), F.sha2("content", 256).alias("file_hash"), F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
 
@@ -204,8 +208,8 @@ def ocr_documents(pages: DataFrame, engine: str) -> DataFrame:
 
 def feed_items(spark: SparkSession, path: str) -> DataFrame:
     """Items of RSS files and entries of Atom files, with the columns that operators.news.feed_rows takes."""
-    rss = spark.read.schema("title string, link string, description string, author string, pubDate string").option("rowTag", "item").xml(path)
+    rss = spark.read.schema("title string, link string, description string, author string, pubDate string").option("recursiveFileLookup", "true").option("rowTag", "item").xml(path)
     kinds = "title string, link array<struct<_href:string,_rel:string>>, summary string, content string, author struct<name:string>, published string, updated string"
-    atom = spark.read.schema(kinds).option("rowTag", "entry").xml(path)
+    atom = spark.read.schema(kinds).option("recursiveFileLookup", "true").option("rowTag", "entry").xml(path)
     own = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
     return rss.unionByName(atom.select("title", F.get(own, F.lit(0))["_href"].alias("link"), F.coalesce("summary", "content").alias("description"), F.col("author.name").alias("author"), F.coalesce("published", "updated").alias("pubDate")))
