@@ -4,7 +4,8 @@ Verdicts of the listed rules are the labels. FP-growth mines combinations of url
 with a blocked label among the labelled urls, allowed or blocked; what no listed rule fits is no
 evidence for either. Combinations with enough support, confidence and lift become rules, and a rule
 that contains another one is dropped, so that the shortest remain: they reach urls that the list
-doesn't. An inverted index from tokens to rules finds the rules all of whose tokens an url
+doesn't. The many tokens of one template are mined as one, so that long urls don't multiply combinations; only tokens that come
+together on most urls but not on all still do. An inverted index from tokens to rules finds the rules all of whose tokens an url
 has. Token sets are matched once, however many urls share them.
 
 A null url, or one without ://, has an empty host and path and no tokens: it is allowed. Rows
@@ -16,6 +17,7 @@ at. The listed rules are compiled into one expression: they are a parameter, LIS
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.ml.fpm import FPGrowth
@@ -91,23 +93,37 @@ def judged_by_list(pages: DataFrame, rules=RULES) -> DataFrame:
     return cut.select("page_id", "host", "path", tokens_of(F.col("host"), F.col("path"), F.col("rest")).alias("tokens"), listed_rule(F.col("host"), F.col("path"), rules).alias("listed"))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, support_rows: int = SUPPORT_ROWS, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame | None:
-    """labelled(tokens, verdict) -> rule_id, tokens, confidence, support of the shortest rules for a block.
+def mine(labelled: DataFrame, support: float = SUPPORT, support_rows: int = SUPPORT_ROWS, confidence: float = CONFIDENCE, lift: float = LIFT) -> tuple[DataFrame, DataFrame] | None:
+    """labelled(tokens, verdict) -> rule_id, tokens, confidence, support of the shortest rules for a block, and token, name: what stands for a token in rules.
 
-    Tokens that all labelled urls have tell nothing and are left out; FP-growth gets the others.
+    Tokens that the same urls have stand for each other: one of them is mined, and a rule with it holds for each. A
+    token that is a rule by itself is in no other shortest rule, and one with too few blocked urls is in none, so both are
+    left out of the mining, as are tokens that all labelled urls have, which tell nothing.
     """
-    baskets = materialize(labelled.filter("verdict IS NOT NULL").select("tokens", (F.col("verdict") == "block").alias("bad")), "labelled-urls")
+    baskets = materialize(labelled.filter("verdict IS NOT NULL").select(F.monotonically_increasing_id().alias("row"), "tokens", (F.col("verdict") == "block").alias("bad")), "labelled-urls")
     n, bad = baskets.agg(F.count(F.lit(1)), F.coalesce(F.count_if("bad"), F.lit(0))).first()
     if not bad:
         return None
-    common = baskets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == n)
-    common = [r.token for r in common.collect()]  # no more than one url has
-    told = F.array_except("tokens", F.array(*map(F.lit, common)).cast("array<string>"))
-    items = baskets.select(F.when(F.col("bad"), F.array_append(told, BLOCKED)).otherwise(told).alias("items")).filter("size(items) > 0")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, support_rows / n)), minConfidence=confidence).fit(items)
-    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BLOCKED))) & (F.col("lift") >= lift))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.xxhash64("tokens"))
-    return shortest(materialize(rules, "url-rules"))
+    least = math.ceil(max(support, support_rows / n) * n - 1e-9)
+    extents = baskets.select("row", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")
+    )
+    told = extents.filter((F.col("n") < n) & (F.col("n_bad") >= least))
+    same = told.groupBy("n", "n_bad", "x", "y").agg(F.min("token").alias("name"), F.collect_list("token").alias("all"))
+    right = F.col("n_bad") / F.col("n")
+    alone = (right >= confidence) & (right / (bad / n) >= lift)
+    classes = materialize(same.select("name", "all", right.alias("confidence"), (F.col("n_bad") / n).alias("support"), alone.alias("alone")), "url-tokens")
+    single = classes.filter("alone").select(F.array("name").alias("tokens"), "confidence", "support")
+    names = classes.filter("NOT alone").select("name").distinct()
+    left = baskets.select("row", "bad", F.explode("tokens").alias("name")).join(names, "name").groupBy("row").agg(F.collect_set("name").alias("names"), F.first("bad").alias("bad"))
+    items = materialize(left.select(F.when(F.col("bad"), F.array_append("names", BLOCKED)).otherwise(F.col("names")).alias("items")), "url-items")
+    rules = single
+    if kept := items.count():  # fewer than n if some have none of these tokens
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / kept), minConfidence=confidence).fit(items)
+        mined = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BLOCKED))) & (F.col("confidence") / (bad / n) >= lift))
+        rules = single.unionByName(mined.select(F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * kept / n).alias("support")))
+    rules = materialize(rules.withColumn("rule_id", F.xxhash64("tokens")), "url-rules")
+    return shortest(rules), materialize(classes.select(F.explode("all").alias("token"), "name"), "url-names")
 
 
 def shortest(rules: DataFrame) -> DataFrame:
@@ -129,9 +145,10 @@ def contained(sets: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     return met.groupBy(key, "rule_id", "n", "confidence").agg(F.count(F.lit(1)).alias("hits")).filter("hits = n").select(key, "rule_id", "confidence")
 
 
-def matches(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """token_sets(tokens), distinct -> tokens, confidence of the best rule all of whose tokens are among them."""
-    sets = token_sets.select(F.col("tokens").alias("all"), "tokens")
+def matches(token_sets: DataFrame, rules: DataFrame, names: DataFrame) -> DataFrame:
+    """token_sets(tokens), distinct -> tokens, confidence of the best rule that they fit: of each of its tokens there is one that stands for it."""
+    there = token_sets.select(F.col("tokens").alias("all"), F.explode("tokens").alias("token")).join(names, "token")
+    sets = there.groupBy("all").agg(F.collect_set("name").alias("tokens"))
     return contained(sets, rules, "all").groupBy(F.col("all").alias("tokens")).agg(F.max("confidence").alias("confidence"))
 
 
@@ -142,7 +159,7 @@ def judge(pages: DataFrame, rules=RULES, support: float = SUPPORT, support_rows:
     best = F.lit(None).cast("double")
     if mined is not None:
         open_sets = seen.filter("listed IS NULL").select("tokens").distinct()
-        seen = seen.join(materialize(matches(open_sets, mined), "url-matches"), "tokens", "left")
+        seen = seen.join(materialize(matches(open_sets, *mined), "url-matches"), "tokens", "left")
         best = F.when(F.col("listed").isNull(), F.col("confidence"))
     verdict = F.coalesce(F.col("listed.verdict"), F.when(best.isNotNull(), F.lit("block")), F.lit("allow"))
     return seen.select("page_id", "host", "path", F.col("listed.rule").alias("rule"), verdict.alias("verdict"), best.alias("confidence"))

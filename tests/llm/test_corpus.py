@@ -324,10 +324,31 @@ def test_mined_verdicts_by_brute_force(spark):
 def test_mined_rules_match_whole_token_sets(spark):
     labelled = [(["h:spam", "p:win"], "block")] * 30 + [(["h:spam", "p:about"], "allow")] * 30 + [(["h:ok", "p:win"], "allow")] * 30 + [(["h:spam", "p:new"], None)] * 90
     labelled += [(["h:spam", "p:win", "q:a"], "block")] * 30
-    rules = url_filters.mine(spark.createDataFrame(labelled, "tokens array<string>, verdict string"))
+    rules, names = url_filters.mine(spark.createDataFrame(labelled, "tokens array<string>, verdict string"))
     assert [r.tokens for r in rules.orderBy("tokens").collect()] == [["h:spam", "p:win"], ["q:a"]]
     sets = spark.createDataFrame([(["a", "h:spam", "p:win"],), (["h:spam"],), ([],)], "tokens array<string>")
-    assert [r.tokens for r in url_filters.matches(sets, rules).collect()] == [["a", "h:spam", "p:win"]]
+    assert [r.tokens for r in url_filters.matches(sets, rules, names).collect()] == [["a", "h:spam", "p:win"]]
+
+
+def test_long_templates_are_mined_by_class(spark):
+    """Forty parts that blocked urls share, half of them with allowed ones: two to the forty combinations, but few classes; any part stands for its class."""
+    ours, both = [f"p:x{i}" for i in range(20)], [f"p:y{i}" for i in range(20)]
+    labelled = [([*ours, *both], "block")] * 60 + [(both, "allow")] * 60 + [(["p:z"], "allow")] * 9 + [([*both, "q:w", "q:v"], "block")] * 20 + [(["q:w", "q:v"], "allow")] * 40
+    frame = spark.createDataFrame(labelled, "tokens array<string>, verdict string")
+    rules, names = url_filters.mine(frame)
+    assert [r.tokens for r in rules.orderBy("tokens").collect()] == [["p:x0"], ["p:y0", "q:v"]]
+    sets = spark.createDataFrame([(["p:x7"],), (["p:y3"],), (["p:y3", "q:w"],), (["p:y9", "q:v"],), (["p:z"],), (["q:w"],)], "tokens array<string>")
+    assert sorted(r.tokens for r in url_filters.matches(sets, rules, names).collect()) == [["p:x7"], ["p:y3", "q:w"], ["p:y9", "q:v"]]
+    by_hand = mined([({"p:x0", "p:x1", *(["p:y0", "p:y1"])} if "p:x0" in t else {x for x in t if x in ("p:y0", "p:y1", "q:v", "q:w", "p:z")}, v == "block") for t, v in labelled])
+    assert by_hand == {("p:x0",), ("p:x1",), ("p:y0", "q:v"), ("p:y0", "q:w"), ("p:y1", "q:v"), ("p:y1", "q:w")}
+
+
+def test_a_very_long_url_is_judged(spark):
+    long = "http://a.net/es/" + "/".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    urls = [long] * 40 + ["http://b.org/x"] * 40 + ["http://c.com/y"] * 40
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filters.judge(rows).groupBy("host", "verdict").count().collect()
+    assert sorted(tuple(r) for r in got) == [("a.net", "block", 40), ("b.org", "allow", 40), ("c.com", "allow", 40)]
 
 
 # 6 personal data
