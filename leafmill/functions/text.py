@@ -116,13 +116,25 @@ def resolved(link: Column, base: Column) -> Column:
     )
 
 
-def stream_deltas(body: Column) -> Column:
-    """The pieces of an event stream's data lines, up to its end, joined."""
+def _streamed(body: Column) -> Column:
+    """The data lines of an event stream, up to its end."""
     lines = F.filter(F.split(body, r"\r?\n"), lambda x: x.startswith("data:"))
     data = F.transform(lines, lambda x: F.trim(F.substring(x, 6, 1 << 30)))
     end = F.array_position(data, "[DONE]").cast("int")
-    live = F.when(end > 0, F.slice(data, F.lit(1), end - 1)).otherwise(data)
-    return F.array_join(F.transform(live, lambda d: F.get_json_object(d, "$.choices[0].delta.content")), "")
+    return F.when(end > 0, F.slice(data, F.lit(1), end - 1)).otherwise(data)
+
+
+def stream_deltas(body: Column) -> Column:
+    """The pieces of an event stream, joined."""
+    return F.array_join(F.transform(_streamed(body), lambda d: F.get_json_object(d, "$.choices[0].delta.content")), "")
+
+
+def stream_usage(body: Column) -> Column:
+    """prompt_tokens, completion_tokens, total_tokens as the last data line tells that tells any; a missing total is the sum of both."""
+    told = F.filter(F.transform(_streamed(body), lambda d: F.get_json_object(d, "$.usage")), lambda u: u.isNotNull())
+    number = lambda name: F.get_json_object(F.try_element_at(told, F.lit(-1)), f"$.{name}").cast("long")
+    prompt, completion = number("prompt_tokens"), number("completion_tokens")
+    return F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), F.coalesce(number("total_tokens"), prompt + completion).alias("total_tokens"))
 
 
 def is_embedding_model(name: Column) -> Column:

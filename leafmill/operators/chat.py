@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators import model_output
+
 HISTORY, NEAREST, NAVIGATION = 6, 3, 50
 
 
@@ -27,15 +29,24 @@ def neighbours(segments: DataFrame, current: DataFrame, n: int = NEAREST) -> Dat
 
 
 def context(books: DataFrame, segments: DataFrame, current: DataFrame) -> DataFrame:
-    """A text per book: title, count, labels of the first segments, the current text, excerpts of its neighbours."""
-    s = segments.select("book_id", "segment_id", "idx", F.coalesce(F.nullif("label", F.lit("")), F.col("anchor_label"), F.concat(F.lit("段 "), F.col("idx") + 1)).alias("name"), "raw_text")
-    labels = s.filter(F.col("idx") < NAVIGATION).groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: F.concat(x["idx"].cast("string"), F.lit(" "), x["name"])), "\n").alias("labels"))
-    here = s.join(current, "book_id").filter("idx = current").select("book_id", F.substring("raw_text", 1, 3000).alias("here"))
-    near = neighbours(segments, current).join(s.select("segment_id", "raw_text"), "segment_id")
-    near = near.groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.substring("raw_text", 1, 400).alias("t")))), lambda x: x["t"]), "\n\n").alias("near"))
+    """A text per book to answer from: its title and size, a line with the state of each of the first segments, the current text with
+    its summary, and excerpts of the nearest ones, nearest first. Headings and lengths are fixed values.
+    """
+    number = lambda c: F.concat(F.lit("段 "), (F.col(c) + 1).cast("string"))
+    lined = lambda order, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(c).alias("t")))), lambda x: x["t"]), "\n\n")
+    line = F.concat(F.lit("- ["), number("idx"), F.lit("] "), F.coalesce(F.nullif("label", F.lit("")), number("idx")), F.lit(" ("), F.coalesce("summary_status", F.lit("pending")), F.lit(")"))
+    lines = segments.filter(F.col("idx") < NAVIGATION).select("book_id", "idx", line.alias("t")).groupBy("book_id").agg(lined("idx", "t").alias("lines"))
+    here = segments.join(current, "book_id").filter("idx = current").select("book_id", F.substring("raw_text", 1, 3000).alias("here"), "summary_json", model_output.summary(F.col("summary_json")).alias("s"))
+    told = F.when(model_output.is_valid(F.col("s")), model_output.summary_text(F.col("s"))).otherwise(F.concat(F.lit("摘要: "), F.nullif("summary_json", F.lit(""))))
+    here = here.select("book_id", "here", told.alias("told"))
+    far = F.abs(F.col("idx") - F.col("current"))
+    near = neighbours(segments, current).join(segments.select("segment_id", "raw_text"), "segment_id")
+    near = near.select("book_id", "idx", far.alias("far"), F.concat(F.lit("### "), number("idx"), F.lit("\n"), F.substring("raw_text", 1, 400)).alias("t")).groupBy("book_id").agg(lined(F.struct("far", "idx"), "t").alias("near"))
     counts = segments.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
-    joined = books.select("book_id", "title").join(counts, "book_id").join(labels, "book_id", "left").join(here, "book_id", "left").join(near, "book_id", "left")
-    return joined.select("book_id", F.concat_ws("\n\n", "title", F.concat(F.lit("段数 "), F.col("n")), "labels", "here", "near").alias("context"))
+    joined = books.select("book_id", "title").join(counts, "book_id").join(lines, "book_id", "left").join(here, "book_id", "left").join(near, "book_id", "left")
+    title = F.concat(F.lit("# "), F.coalesce("title", F.lit("Book")))
+    parts = (title, F.lit("## L0 书级"), F.concat(F.lit("总段数: "), F.col("n")), F.lit("## L1 段摘要导航"), "lines", F.lit("## L2 当前段原文"), "here", "told", F.lit("## L2 相关段摘录"), "near")
+    return joined.select("book_id", F.concat_ws("\n\n", *parts).alias("context"))
 
 
 def usage(calls: DataFrame) -> DataFrame:

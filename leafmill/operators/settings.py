@@ -145,3 +145,11 @@ def prompt_profile(facts: DataFrame, tries: int = 3, local_tries: int = 2) -> Da
     """chain_facts() of the profile summarize -> which prompt is used, how often it is tried, and the least length of a bullet (fixed values)."""
     kind = F.when(F.col("local_first"), "local").when(F.col("cloud_first"), "cloud").otherwise("full")
     return facts.select("profile", kind.alias("prompt"), F.when(kind == "local", local_tries).otherwise(tries).alias("tries"), F.when(kind == "full", 20).otherwise(12).alias("least_body"))
+
+
+#: Characters of a segment that are sent to be translated (fixed value).
+TRANSLATED_CHARS = 8000
+
+
+def translation_input(text: Column) -> Column:
+    return F.substring(text, 1, TRANSLATED_CHARS)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import language, text
-from leafmill.operators import chat, chunking, export, jobs, library, markdown, model_output, news, search
+from leafmill.operators import chat, chunking, export, jobs, library, markdown, model_output, news, search, settings
 from leafmill.plans import views as v
 from leafmill.plans.register import ORACLES, QUERIES, query
 from leafmill.streaming import jobs as streams
@@ -194,7 +194,15 @@ def context_neighbours(spark, d):
     return chat.neighbours(v.segments(spark, d), v.books(spark, d).select("book_id", F.lit(7).alias("current")))
 
 
-@query(", n AS (SELECT *, coalesce(nullif(label, ''), anchor_label, '段 ' || (idx + 1)) AS name, row_number() OVER (PARTITION BY book_id ORDER BY abs(idx - 7), idx) AS place FROM segments) SELECT b.book_id, b.title || chr(10) || chr(10) || '段数 ' || count(*) || chr(10) || chr(10) || string_agg(n.idx || ' ' || n.name, chr(10) ORDER BY n.idx) FILTER (n.idx < 50) || chr(10) || chr(10) || max(CASE WHEN n.idx = 7 THEN substr(n.raw_text, 1, 3000) END) || chr(10) || chr(10) || string_agg(substr(n.raw_text, 1, 400), chr(10) || chr(10) ORDER BY n.idx) FILTER (n.place <= 3 AND n.idx <> 7) AS context FROM books b JOIN n ON b.book_id = n.book_id GROUP BY b.book_id, b.title")
+@query(
+    """, n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY abs(idx - 7), idx) AS place,
+      CASE WHEN summary_json LIKE '{%' THEN array_to_string(['总结: Sentence ' || segment_id || '。  Second  ', '结构化要点:', '- 甲：body of ' || segment_id, '- 乙：second', '- 丙：third', '需要注意:', '- note ' || (segment_id % 7), '你可以接着问:', '- why?', '- how?'], chr(10)) ELSE '摘要: ' || summary_json END AS told FROM segments)
+    SELECT b.book_id, array_to_string(list_filter(['# ' || b.title, '## L0 书级', '总段数: ' || count(*), '## L1 段摘要导航',
+      string_agg('- [段 ' || (n.idx + 1) || '] ' || coalesce(nullif(label, ''), '段 ' || (n.idx + 1)) || ' (' || summary_status || ')', chr(10) || chr(10) ORDER BY n.idx) FILTER (n.idx < 50),
+      '## L2 当前段原文', max(CASE WHEN n.idx = 7 THEN substr(n.raw_text, 1, 3000) END), max(CASE WHEN n.idx = 7 THEN told END), '## L2 相关段摘录',
+      string_agg('### 段 ' || (n.idx + 1) || chr(10) || substr(n.raw_text, 1, 400), chr(10) || chr(10) ORDER BY n.place) FILTER (n.place <= 3 AND n.idx <> 7)], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS context
+    FROM books b JOIN n ON b.book_id = n.book_id GROUP BY b.book_id, b.title"""
+)
 def context_assembled(spark, d):
     b = v.books(spark, d)
     return chat.context(b, v.segments(spark, d), b.select("book_id", F.lit(7).alias("current")))
@@ -495,13 +503,27 @@ def page_links(spark, d):
     return v.table(spark, d, "pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.size(rooted).cast("long").alias("n_rooted"))
 
 
-@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS answer FROM conversations GROUP BY conv_id", with_views=False)
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS answer, CAST(sum(length(text)) AS BIGINT) AS prompt_tokens, count(*) AS completion_tokens, CAST(CASE WHEN conv_id % 2 = 0 THEN sum(length(text)) + count(*) ELSE 7 END AS BIGINT) AS total_tokens FROM conversations GROUP BY conv_id", with_views=False)
 def streamed_answers(spark, d):
-    """Conversations sent as an event stream, a turn per delta, and put together again."""
+    """Conversations sent as an event stream, a turn per delta and the usage at the end, and put together again."""
     delta = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
-    sent = v.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", delta.alias("x")))).alias("xs"))
-    body = F.concat(F.array_join(F.transform("xs", lambda s: F.concat(F.lit("data: "), s["x"])), "\n\n"), F.lit("\n\ndata: [DONE]\n\ndata: later"))
-    return sent.select("conv_id", text.stream_deltas(body).alias("answer"))
+    sent = v.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", delta.alias("x")))).alias("xs"), F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("k"))
+    used = F.to_json(F.struct(F.array().cast("array<string>").alias("choices"), F.struct(F.col("n").alias("prompt_tokens"), F.col("k").alias("completion_tokens"), F.when(F.col("conv_id") % 2 == 1, 7).alias("total_tokens")).alias("usage")))
+    body = F.concat(F.array_join(F.transform("xs", lambda s: F.concat(F.lit("data: "), s["x"])), "\n\n"), F.lit("\n\ndata: "), used, F.lit("\n\ndata: [DONE]\n\ndata: later"))
+    return sent.select("conv_id", text.stream_deltas(body).alias("answer"), text.stream_usage(body).alias("u")).select("conv_id", "answer", "u.*")
+
+
+@query("SELECT segment_id, sha256(substr(raw_text, 1, 8000)) AS input_hash, CAST(least(length(raw_text), 8000) AS INTEGER) AS chars FROM segments")
+def translation_inputs(spark, d):
+    s = v.segments(spark, d).select("segment_id", settings.translation_input(F.col("raw_text")).alias("t"))
+    return s.select("segment_id", F.sha2("t", 256).alias("input_hash"), F.length("t").alias("chars"))
+
+
+@query("SELECT article_id, url FROM articles WHERE source_id = (SELECT min(source_id) FROM articles)")
+def articles_of_source(spark, d):
+    """The articles of the source that sorts first."""
+    a = v.articles(spark, d)
+    return news.of_source(a, a.agg(F.min("source_id")).first()[0]).select("article_id", "url")
 
 
 @query("SELECT address, min(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS address FROM pages) GROUP BY address", with_views=False)

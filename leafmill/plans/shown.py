@@ -10,10 +10,10 @@ from leafmill.plans import views as v
 from leafmill.plans.register import query
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE '深聊 · ' || CASE WHEN event_id % 2 = 0 THEN 'OpenAI' ELSE 'other' END || ' · m · ' || CASE WHEN event_id % 3 = 0 THEN n ELSE '↑' || n END || ' tokens · ' || (event_id % 60) || 's' END AS line FROM (SELECT event_id, CASE WHEN event_id < 1000 THEN CAST(event_id AS VARCHAR) WHEN event_id < 10000 THEN printf('%.1f', event_id / 1000.0) || 'k' ELSE printf('%.0f', event_id / 1000.0) || 'k' END AS n FROM (SELECT event_id // 100 * 100 + 1 AS event_id FROM events) GROUP BY ALL)", with_views=False)
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE '深聊 · ' || CASE WHEN event_id % 2 = 0 THEN 'OpenAI' ELSE 'other' END || ' · m · ' || CASE WHEN event_id % 3 = 0 THEN n ELSE '↑' || n END || ' tokens · ' || (event_id % 60) || 's' END AS line FROM (SELECT event_id, CASE WHEN event_id < 1000 THEN CAST(event_id AS VARCHAR) WHEN event_id < 10000 THEN printf('%.1f', event_id / 1000.0) || 'k' ELSE printf('%.0f', event_id / 1000.0) || 'k' END AS n FROM events)", with_views=False)
 def chat_attributions(spark, d):
     i = F.col("event_id")
-    e = v.table(spark, d, "events").select((F.floor(i / 100) * 100 + 1).alias("event_id")).distinct()
+    e = v.table(spark, d, "events")
     known = lambda x: F.when(i % 5 != 0, x)
     line = display.attribution(known(F.when(i % 2 == 0, "openai").otherwise("other")), known(F.lit("m")), F.lit(0.0), known(F.when(i % 3 == 0, i)), known(F.when(i % 3 != 0, i)), F.lit(None).cast("long"), known((i % 60) * 1000))
     return e.select("event_id", line.alias("line"))
