@@ -340,7 +340,22 @@ def asks_dropped(spark, d):
     return markdown.without_asks(markdown.lines_of(_cards(v.table(spark, d, "documents"), tight=True), "doc_id", "md"), "doc_id")
 
 
-@query()
+def _bare(x: str) -> str:
+    """SQL for a text without markers, on one line."""
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace({x}, '(?m)^#{{1,6}}\s*', '', 'g'), '\[§[^\]]+\]|\[p\.\d+\]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(
+    CARDS
+    + rf""", sec AS (SELECT doc_id, section, '§' || trim(regexp_replace(arg_min(line, pos), '^[#\s]+', '')) AS cite, string_agg(line, chr(10) ORDER BY pos) AS t FROM g WHERE section > 0 GROUP BY doc_id, section),
+    lab AS (SELECT *, trim(regexp_replace(cite, '^§*[p.]*', '')) AS own, {_bare('t')} AS flat FROM sec),
+    pts AS (SELECT doc_id, section, cite, coalesce(nullif(own, ''), cite) AS label, CASE WHEN starts_with(flat, own) THEN trim(regexp_replace(substr(flat, length(own) + 1), '^[ ：:>-]+', '')) ELSE trim(flat) END AS body FROM lab),
+    six AS (SELECT doc_id, '- **' || label || '**：' || CASE WHEN length(body) > 120 THEN substr(body, 1, 120) || '…' ELSE body END || ' — 依据：原文 〔' || cite || '〕' AS p, row_number() OVER (PARTITION BY doc_id ORDER BY section) AS k FROM pts WHERE body <> ''),
+    per AS (SELECT doc_id, string_agg(p, chr(10) ORDER BY k) AS ps FROM six WHERE k <= 6 GROUP BY doc_id),
+    whole AS (SELECT doc_id, list_filter(string_split(regexp_replace({_bare("string_agg(line, chr(10) ORDER BY pos)")}, '([。！？.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x)) > 8)[1] AS one FROM g GROUP BY doc_id),
+    lead AS (SELECT doc_id, CASE WHEN length(coalesce(one, '文档 article 的要点如下。')) > 160 THEN substr(one, 1, 159) || '…' ELSE coalesce(one, '文档 article 的要点如下。') END AS one FROM whole)
+    SELECT l.doc_id, array_to_string(['{markdown.LEAD}', one, '', '{markdown.POINTS}', coalesce(ps, '- **全文**：' || one || ' — 依据：原文 〔§全文〕'), {", ".join(f"'{x}'" for x in markdown.ASKS)}], chr(10)) AS markdown FROM lead l LEFT JOIN per ON l.doc_id = per.doc_id"""
+)
 def heuristic_summaries(spark, d):
     return markdown.heuristic_summary(_cards(v.table(spark, d, "documents")), "doc_id", "md")
 
@@ -458,7 +473,16 @@ def model_json_repaired(spark, d):
     return _outputs(v.table(spark, d, "documents")).select("doc_id", model_output.repaired_json(F.col("raw")).alias("json"))
 
 
-@query()
+#: Sentences are folded from left to right: what is told so far, how many claims, and the claim that may still get a note. A
+#: section without text keeps the sign of the next heading, since the blank before that belongs to its own heading.
+FOLDED = """WITH s AS (SELECT doc_id, source, list_transform(string_split_regex(text, '[.\n]+'), lambda x: ltrim(x || '。', ' ' || chr(9) || chr(13))) AS said FROM documents),
+f AS (SELECT *, list_reduce(list_transform(CASE WHEN len(said) = 1 THEN ['📊。'] ELSE said[2:] END, lambda x: {'skim': '', 'n': 0, 'open': x}), lambda a, x: CASE WHEN a.open IS NULL THEN {'skim': a.skim, 'n': a.n, 'open': x.open}
+  WHEN length(x.open) > length(a.open) AND length(x.open) >= 35 AND length(a.open) <= 60 THEN {'skim': a.skim || chr(10) || '· ' || a.open || chr(10) || '  ' || x.open, 'n': a.n + 1, 'open': NULL}
+  ELSE {'skim': a.skim || chr(10) || '· ' || a.open, 'n': a.n + 1, 'open': x.open} END, {'skim': '', 'n': 0, 'open': NULL}) AS r FROM s),
+v AS (SELECT *, r.n + CASE WHEN r.open IS NULL THEN 0 ELSE 1 END AS n FROM f)"""
+
+
+@query(FOLDED + " SELECT doc_id, said[1] AS one_liner, CAST(n AS INTEGER) AS n_viewpoints, source AS author, CASE WHEN doc_id % 120 <= 100 THEN CAST(doc_id % 120 AS DOUBLE) END AS score, n >= 2 AS rich, substr(r.skim || coalesce(chr(10) || '· ' || r.open, ''), 2) AS skim FROM v", with_views=False)
 def feed_summaries_parsed(spark, d):
     """Documents dressed as structured feed summaries: their first sentence, then all others as views."""
     said = F.transform(F.split("text", r"[.\n]+"), lambda x: F.concat(x, F.lit("。")))
