@@ -96,10 +96,13 @@ def ocr_pages_read(spark, d):
     return read.select("path", "page", "text", F.round("confidence", 9).alias("confidence"), (F.round("confidence", 9).cast("double") < 0.5).alias("low"), "doubtful").select("path", "page", "text", "confidence", F.when(F.col("confidence") == 0.5, F.col("low")).otherwise(F.col("doubtful")).alias("doubtful"))
 
 
-@query(RECOGNISED + " SELECT doc_id AS path, 'e' AS ocr_engine, count(*) AS ocr_pages, count(*) FILTER (text <> '') AS pages_with_text, round_even(avg(confidence), 4) AS ocr_confidence FROM r GROUP BY doc_id", with_views=False)
+@query(RECOGNISED + " SELECT doc_id AS path, 'e' AS ocr_engine, count(*) AS ocr_pages, count(*) FILTER (text <> '') AS pages_with_text, true AS is_mean FROM r GROUP BY doc_id", with_views=False)
 def ocr_documents_read(spark, d):
-    found = readers.ocr_documents(readers.ocr_pages(_recognised(spark, d)), "e")
-    return found.select("path", "ocr_engine", "ocr_pages", "pages_with_text", "ocr_confidence")
+    """is_mean: whether the confidence is the mean of its pages' to four places, which sums in another order may round to another last place."""
+    pages = readers.ocr_pages(_recognised(spark, d))
+    means = pages.groupBy("path").agg(F.avg("confidence").alias("mean"))
+    found = readers.ocr_documents(pages, "e").join(means, "path")
+    return found.select("path", "ocr_engine", "ocr_pages", "pages_with_text", (F.abs(F.col("ocr_confidence") - F.col("mean")) < 0.0000501).alias("is_mean"))
 
 
 @query(RECOGNISED + " SELECT l.doc_id AS path, CAST(l.page AS INTEGER) AS page, coalesce(CASE WHEN length(l.line) % 4 > 0 THEN nullif(trim(l.line), '') END, nullif(trim(r.text), '')) AS text FROM l JOIN r ON l.doc_id = r.doc_id AND l.page = r.page", with_views=False)
