@@ -150,3 +150,24 @@ def test_an_empty_index_finds_nothing(spark):
     assert hits(index, "abc") == {} and index.n_rows == 0
     index = index.put(of(spark, [(1, ("abc", "b"))]))
     assert list(hits(index, "abc")) == [1]
+
+
+def test_lists_are_written_straight_to_their_buckets(spark):
+    """No exchange and no sort of postings, and one list for a trigram of many rows."""
+    rows = spark.createDataFrame([(i, "", f"abcabc {i}") for i in range(500)], "row_no long, title string, body string").coalesce(1)
+    made = fulltext._lists(rows, 8)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    abc = made.filter("gram = 'abc' AND field = 1")
+    assert abc.count() == 1 and sorted((r.row_no, r.places) for r in fulltext._unlisted(abc).collect()) == [(i, [0, 3]) for i in range(500)]
+
+
+def test_a_compact_index_holds_the_same_without_what_is_gone(spark):
+    index = fulltext.Index.build(of(spark, list(enumerate(texts(40, 1)))), folder(spark, "index"), 8)
+    index = index.put(of(spark, [(3, ("abc", "zzz"))])).remove(of(spark, [(5, ("", ""))]))
+    before, found = lists(index), hits(index, "abc OR zzz")
+    compact = index.compact()
+    assert lists(compact) == before and hits(compact, "abc OR zzz") == found
+    held = {n for r in compact.lists().collect() for n in r.rows}
+    assert held <= {r.row_no for r in compact.rows.collect()} and not {r.row_no for r in index.gone.collect()} & held
+    assert hits(index, "abc OR zzz") == found  # a reader of the earlier state sees that
