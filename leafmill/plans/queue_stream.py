@@ -1,4 +1,4 @@
-"""Queries of the work queue as a stream: the events table arrives in a few files, one for each micro-batch."""
+"""Queries of the work queue as a stream: the events table arrives in a few parts, one for each micro-batch."""
 
 from __future__ import annotations
 
@@ -12,37 +12,35 @@ from leafmill.plans.register import ORACLES, query
 from leafmill.sources.shared import folder
 from leafmill.streaming import queue as streams
 
-FILES, AFTER = 4, 5000
+PARTS, AFTER = 4, 5000
 
 
-def arriving(spark: SparkSession, d: str) -> DataFrame:
-    """The log with its times, as a stream of files."""
+def ended(of, spark: SparkSession, d: str, schema: str) -> DataFrame:
+    """What the stream of(log) has said when the log with its times has come, part by part in order of seq.
+
+    A part is as many files as its rows make, and one micro-batch: the stream stops when it has read them all, and goes
+    on from its checkpoint when the next part is there.
+    """
     times = v.table(spark, d, "events").select(F.col("event_id").alias("seq"), "ts")
-    log, path = _log(spark, d).join(times, "seq"), folder(spark, "log")
+    log, path, out, checkpoint = _log(spark, d).join(times, "seq"), folder(spark, "log"), folder(spark, "said"), folder(spark, "streams")
     end = times.agg(F.max("seq")).first()[0] or 0
-    for k in range(FILES):  # one after the other, as a stream reads files in the order of their times
-        log.filter(F.floor(F.col("seq") * FILES / (end + 1)) == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def ended(stream: DataFrame, spark: SparkSession, schema: str) -> DataFrame:
-    """What a stream has said when all its files are read."""
-    out, checkpoint = folder(spark, "said"), folder(spark, "streams")
-    streams.to_folder(stream, out, checkpoint).awaitTermination()
+    for k in range(PARTS):
+        log.filter(F.floor(F.col("seq") * PARTS / (end + 1)) == k).write.mode("append").parquet(path)
+        streams.to_folder(of(spark.readStream.schema(log.schema).parquet(path)), out, checkpoint).awaitTermination()
     return streams.said(spark, out, schema)
 
 
 @query(STATES + " SELECT book_id, idx, status, errors, started, place, false AS overdue FROM places", with_views=False)
 def queue_streamed(spark, d):
     """The states of jobs from a stream, with their places; the log is no longer than it may be late, so that no timer ends before it."""
-    said = ended(streams.job_changes(arriving(spark, d), late="1000 days"), spark, streams.JOB)
+    said = ended(lambda log: streams.job_changes(log, late="1000 days"), spark, d, streams.JOB)
     jobs = streams.latest(said, "book_id", "idx")
     return queue.placed(jobs, queue.pauses(_log(spark, d))).select("book_id", "idx", "status", "errors", "started", "place", "overdue")
 
 
 @query(ORACLES["queue_events_with_progress"], with_views=False)
 def queue_progress_streamed(spark, d):
-    said = ended(streams.progress(arriving(spark, d)), spark, streams.PROGRESS)
+    said = ended(streams.progress, spark, d, streams.PROGRESS)
     totals = _log(spark, d).groupBy("book_id").agg(F.count_distinct("idx").alias("total"))
     return said.join(totals, "book_id", "left").select("seq", "book_id", "idx", "command", "ready", "total")
 
@@ -58,5 +56,5 @@ def queue_feed(spark, d):
     books = _log(spark, d).filter("book_id IS NOT NULL").select("book_id", F.upper("book_id").alias("title")).distinct()
     first = queue.snapshot_then(_log(spark, d).filter(F.col("seq") <= AFTER), AFTER).join(books, "book_id", "left")
     first = streams.with_text(first.select("seq", "book_id", "idx", "what", "title"))
-    said = ended(streams.events(arriving(spark, d), books, AFTER), spark, "seq long, book_id string, idx int, what string, title string, text string")
+    said = ended(lambda log: streams.events(log, books, AFTER), spark, d, "seq long, book_id string, idx int, what string, title string, text string")
     return first.unionByName(said.drop("batch"))

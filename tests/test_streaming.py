@@ -90,3 +90,30 @@ def test_progress_counts_a_job_once(spark, tmp_path):
         assert k < 2
     got = sorted((r.seq, r.command, r.ready) for r in streams.said(spark, str(tmp_path / "out"), streams.PROGRESS).collect())
     assert got == [(1, "ready", 1), (2, "error", 1), (3, "ready", 1), (4, "ready", 2)]
+
+
+def test_a_part_of_the_log_is_as_many_files_as_its_rows_make(spark, monkeypatch):
+    """No task holds a whole part; a part is still one batch, and the parts come in order."""
+    from leafmill.plans import queue_stream
+
+    seen, paths = [], []
+
+    def each(log):
+        seen.append(log)
+        return log.select("seq", "book_id", "idx", F.col("command").alias("what"))
+
+    real = queue_stream.folder
+    monkeypatch.setattr(queue_stream, "folder", lambda s, name: paths.append(real(s, name)) or paths[-1])
+    monkeypatch.setattr(queue_stream, "_log", lambda s, d: queue_log._log(s, d).repartition(3, "seq"))
+    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        before = spark.conf.get(name)
+        spark.conf.set(name, value)
+        monkeypatch.setattr(queue_stream, f"_{name}", before, raising=False)
+    try:
+        said = queue_stream.ended(each, spark, DATA, "seq long, book_id string, idx int, what string")
+    finally:
+        for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.set(name, getattr(queue_stream, f"_{name}"))
+    spans = [(r.low, r.high) for r in said.groupBy("batch").agg(F.min("seq").alias("low"), F.max("seq").alias("high")).orderBy("batch").collect()]
+    assert len(spans) == len(seen) == queue_stream.PARTS and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert len(spark.read.parquet(paths[0]).inputFiles()) > 2 * queue_stream.PARTS
