@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.batches import pieces
 from leafmill.functions.text import strip
 
 SHORT = 12_000
@@ -114,7 +115,7 @@ def chunk(docs: DataFrame, key: str, text: str, b: Budget = Budget()) -> DataFra
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [key, *(f.split()[0] for f in SEGMENT.split(", "))]
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             rows = []
             for k, value in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), strict=True):
                 value = (value or "").strip()
