@@ -9,6 +9,7 @@ from html import escape
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from leafmill.functions.batches import pieces
 from leafmill.operators import news
 from leafmill.plans import views as v
 from leafmill.plans.register import query
@@ -34,7 +35,7 @@ def _made(docs, kind: str, make):
     """A file of each document: path, format, content, error; make gives its bytes."""
 
     def write(batches):
-        for b in batches:
+        for b in (p for batch in batches for p in pieces(batch)):
             ids, contents = b.column("doc_id").to_pylist(), [make(i, t) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in ids]), pa.array([kind] * len(ids)), pa.array(contents, pa.binary()), pa.nulls(len(ids), pa.string())], ["path", "format", "content", "error"])
 

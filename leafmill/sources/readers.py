@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.batches import pieces
+
 FORMATS = {"txt": "txt", "md": "txt", "pdf": "pdf", "epub": "epub", "mobi": "mobi"}
 MOST_BYTES, OCR_BELOW = 500 << 20, 0.15
 ENCODINGS = ("utf-8", "gb18030", "latin-1")
@@ -132,7 +134,7 @@ def texts(found: DataFrame, pages_of: dict[str, Callable[[bytes], list[str | Non
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for batch in batches for p in pieces(batch)):
             rows = []
             for path, kind, content, error in zip(*(b.column(c).to_pylist() for c in ("path", "format", "content", "error")), strict=True):
                 text = n = full = empty = failed = share = None
