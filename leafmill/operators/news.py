@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.batches import in_pieces
 from leafmill.functions.text import body_is_good, cut, ensure_mark, first_filled, once, sentences, strip
 
 #: Headings of a structured summary and the fields they open (fixed values).
@@ -299,9 +301,15 @@ def _origins(page: str | None, url: str | None) -> list[str]:
     return list(found[True].values()) or list(found[False].values())[:OTHERS]
 
 
+def _all_origins(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for columns in batches:
+        for pages, urls in in_pieces(*columns):
+            yield pa.array([_origins(p, u) for p, u in zip(pages, urls, strict=True)], pa.list_(pa.string()))
+
+
 def origins(page: Column, url: Column) -> Column:
     """The addresses of a page's originals: links with words that say so beside them, else its first few links that lead out."""
-    return F.pandas_udf(lambda p, u: pd.Series([_origins(a, b) for a, b in zip(p, u, strict=True)]), "array<string>")(page, url)
+    return F.arrow_udf(_all_origins, "array<string>")(page, url)
 
 
 def feed_rows(items: DataFrame, source_id: str) -> DataFrame:
