@@ -171,3 +171,15 @@ def test_a_compact_index_holds_the_same_without_what_is_gone(spark):
     held = {n for r in compact.lists().collect() for n in r.rows}
     assert held <= {r.row_no for r in compact.rows.collect()} and not {r.row_no for r in index.gone.collect()} & held
     assert hits(index, "abc OR zzz") == found  # a reader of the earlier state sees that
+
+
+def test_segments_keep_rows_with_equal_or_no_ids(spark, tmp_path):
+    from leafmill.plans import views
+
+    docs = [(1, "a", "src1"), (1, "b", "src1"), (1, "c", "src2"), (None, "d", "src1"), (None, "e", "src1"), (2, "f", "src1")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for books in (None, views.books(spark, str(tmp_path))):
+        got = views.segments(spark, str(tmp_path), books).collect()
+        assert sorted(r.raw_text for r in got) == list("abcdef") and {r.raw_text: r.summary_status for r in got} == dict(zip("abcdef", ["ready"] * 3 + ["pending"] * 2 + ["failed"], strict=True))
+        assert sorted((r.book_id, r.idx) for r in got) == [("src1", i) for i in range(5)] + [("src2", 0)]
