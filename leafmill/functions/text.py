@@ -11,6 +11,11 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def bare(x: Column) -> Column:
+    """strip(x) for what costs nothing to evaluate again, such as a lambda's variable: the pattern runs only where an end is white space."""
+    return F.when(F.concat(F.substring(x, 1, 1), F.substring(x, -1, 1)).rlike(r"(?U)\s"), strip(x)).otherwise(x)
+
+
 def first_filled(*options: Column) -> Column:
     """The first that isn't null or blank, stripped."""
     return F.coalesce(*[F.nullif(strip(o), F.lit("")) for o in options])
@@ -41,12 +46,13 @@ def html_to_text(x: Column) -> Column:
 
 def sentences(x: Column) -> Column:
     """Sentences that end in a full-width mark, stripped, without empty ones."""
-    return F.filter(F.transform(F.split(strip(x), r"(?<=[。！？])(?U)\s*"), strip), lambda s: s != "")
+    parts = once(x, lambda y: F.split(bare(y), r"(?<=[。！？])(?U)\s*"))
+    return F.filter(F.transform(parts, bare), lambda s: s != "")
 
 
 def ensure_mark(x: Column) -> Column:
-    x = strip(x)
-    return F.when((x == "") | x.rlike("[。！？.!?]$"), x).otherwise(F.concat(x, F.lit("。")))
+    marked = lambda y: F.when((y == "") | F.substring(y, -1, 1).isin(*"。！？.!?"), y).otherwise(F.concat(y, F.lit("。")))
+    return once(x, lambda y: once(bare(y), marked))
 
 
 def ascii_nocase(x: Column) -> Column:

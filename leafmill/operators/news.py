@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.batches import in_pieces
-from leafmill.functions.text import body_is_good, cut, ensure_mark, first_filled, once, sentences, strip
+from leafmill.functions.text import bare, body_is_good, cut, ensure_mark, first_filled, once, sentences, strip
 
 #: Headings of a structured summary and the fields they open (fixed values).
 SECTIONS = {"一句话摘要": "one_liner", "详细摘要": "detail", "主要观点": "viewpoints", "文章金句": "quotes", "文章信息": "meta"}
@@ -34,11 +34,15 @@ VIEWS = "struct<claims:array<string>,notes:array<string>,open:string>"
 
 def sections(text: Column) -> Column:
     """Bodies by field; of a repeated heading the last counts."""
-    raw = strip(F.coalesce(text, F.lit("")))
-    names = F.transform(F.regexp_extract_all(raw, F.lit(HEADING), F.lit(0)), lambda h: F.regexp_replace(h, r"(?U)[\s📌📝💡💬📊]", ""))
-    bodies = F.transform(F.slice(F.split(raw, HEADING, -1), F.lit(2), F.size(F.split(raw, HEADING, -1))), lambda b: strip(F.regexp_replace(b, r"\s*阅读(?:完整文章|推文)\s*$", "")))
+    ended = lambda b: F.when(b.contains("阅读"), F.regexp_replace(b, r"\s*阅读(?:完整文章|推文)\s*$", "")).otherwise(b)
     fields = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
-    pairs = F.filter(F.zip_with(names, bodies, lambda n, b: F.struct(F.element_at(fields, n).alias("k"), b.alias("b"))), lambda p: p["b"] != "")
+
+    def paired(raw: Column) -> Column:
+        names = F.transform(F.regexp_extract_all(raw, F.lit(HEADING), F.lit(0)), lambda h: F.regexp_replace(h, r"(?U)[\s📌📝💡💬📊]", ""))
+        bodies = once(F.split(raw, HEADING, -1), lambda parts: F.transform(F.transform(F.slice(parts, F.lit(2), F.size(parts)), ended), bare))
+        return F.zip_with(names, bodies, lambda n, b: F.struct(F.element_at(fields, n).alias("k"), b.alias("b")))
+
+    pairs = F.filter(once(F.coalesce(text, F.lit("")), lambda t: once(bare(t), paired)), lambda p: p["b"] != "")
     last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["b"])))
     return last
 
