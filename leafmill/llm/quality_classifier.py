@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import lower_ascii, materialize, table, words_of
+from leafmill.llm.common import let, lower_ascii, materialize, table, words_of
 from leafmill.llm.quality_rules import measures
 
 #: Rows of the training sample at most, buckets of the scorer, and the least score that is kept.
@@ -82,17 +82,15 @@ def em(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[dic
 
 def features_of(text: Column) -> Column:
     """Words, and shapes of words: length, case and the last character if it is no letter."""
-    words = words_of(text)
-    shapes = F.transform(
-        words,
-        lambda w: F.concat(
-            F.lit(" "),
-            F.least(F.length(w), F.lit(12)).cast("string"),
-            F.when(w == F.upper(w), "A").otherwise("a"),
-            F.regexp_extract(w, r"[^\p{L}\p{N}]+$", 0),
-        ),
-    )
-    return F.concat(F.transform(words, lambda w: lower_ascii(w)), shapes)
+
+    def shape(w: Column) -> Column:
+        tail = F.when(F.substring(w, -1, 1).between("a", "z"), "").otherwise(F.regexp_extract(w, r"[^\p{L}\p{N}]+$", 0))  # most words end so
+        return F.concat(F.lit(" "), F.least(F.length(w), F.lit(12)).cast("string"), F.when(w == F.upper(w), "A").otherwise("a"), tail)
+
+    def lower(w: Column) -> Column:
+        return F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(lower_ascii(w))  # of ASCII alone both are the same
+
+    return let(words_of(text), lambda words: F.concat(F.transform(words, lower), F.transform(words, shape)))
 
 
 def annotate(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS, least: float = LEAST) -> DataFrame:
