@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import attempts, model_output
 from leafmill.plans import views as v
-from leafmill.plans.queue_stream import ended
 from leafmill.plans.register import query
 from leafmill.sources.shared import folder
 from leafmill.streaming import queue as streams
@@ -133,8 +132,9 @@ def tasks_recent(spark, d):
 @query(FINISHED + " SELECT key, task_id, CAST(row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS INTEGER) AS place, count(*) OVER (PARTITION BY key) AS n_finished FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) <= 50", with_views=False)
 def tasks_recent_streamed(spark, d):
     """The same from a stream in three pieces."""
-    finished, path = _finished(spark, d), folder(spark, "finished")
+    finished, path, out, checkpoint = _finished(spark, d), folder(spark, "finished"), folder(spark, "said"), folder(spark, "streams")
     finished.repartition(3, "task_id").write.parquet(path)
     stream = spark.readStream.schema(finished.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    said = streams.latest(ended(streams.recent(stream, attempts.SHOWN), spark, streams.RING), "key")
+    streams.to_folder(streams.recent(stream, attempts.SHOWN), out, checkpoint).awaitTermination()
+    said = streams.latest(streams.said(spark, out, streams.RING), "key")
     return said.select("key", F.posexplode("task_ids").alias("i", "task_id"), "n_finished").select("key", "task_id", (F.col("i") + 1).alias("place"), "n_finished")

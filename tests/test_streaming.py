@@ -117,3 +117,17 @@ def test_a_part_of_the_log_is_as_many_files_as_its_rows_make(spark, monkeypatch)
     spans = [(r.low, r.high) for r in said.groupBy("batch").agg(F.min("seq").alias("low"), F.max("seq").alias("high")).orderBy("batch").collect()]
     assert len(spans) == len(seen) == queue_stream.PARTS and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
     assert len(spark.read.parquet(paths[0]).inputFiles()) > 2 * queue_stream.PARTS
+
+
+def test_recent_tasks_of_a_stream_are_those_of_the_sql_with_repeated_and_missing_ids(spark, tmp_path):
+    import duckdb
+
+    from leafmill.plans import registry
+
+    rows = [(None if i % 90 == 7 else i, None if i % 4 == 3 else i % 3, ("purchase", "error", "view")[i % 5 % 3]) for i in range(20 * streams.RING_ROWS)]
+    spark.createDataFrame(rows + rows[::6], "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.QUERIES["tasks_recent_streamed"](spark, str(tmp_path)).collect()
+    sql = duckdb.connect()
+    sql.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sql.sql(f"select key, task_id, place, n_finished from ({registry.ORACLES['tasks_recent_streamed']})").fetchall()
+    assert len(want) == 200 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
