@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import language, text
@@ -424,7 +424,7 @@ def model_tiers(spark, d):
     return jobs.tier_for(v.table(spark, d, "customer").select(F.col("c_custkey").alias("machine"), (F.col("c_custkey") % 60).alias("ram")), tiers)
 
 
-def _outputs(docs: DataFrame) -> DataFrame:
+def _outputs(docs: DataFrame, *more: Column) -> DataFrame:
     """Model outputs made of whole texts: 0 to 4 sentences, 2 to 8 bullets of all shapes; sound, fenced, with a comma too many or missing, in two objects, or prose."""
     i = F.col("doc_id")
     body, n, m = F.coalesce(F.col("text"), F.lit("")), (i % 5).cast("int"), (i % 7 + 2).cast("int")
@@ -442,7 +442,7 @@ def _outputs(docs: DataFrame) -> DataFrame:
     parted = F.concat(first, F.lit('}, {"label": "a label of more than twenty characters", "anchor": "§1"}'))
     k = i % 8
     raw = F.when(k == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(k == 2, F.regexp_replace(good, r"\}$", ",}")).when(k == 3, parted).when(k == 4, F.concat(F.lit("So: "), good, F.lit(" Done."))).when(k == 5, F.concat(F.lit("Sorry: "), F.translate(body, "{", "("))).otherwise(good)
-    return docs.select("doc_id", raw.alias("raw"))
+    return docs.select("doc_id", raw.alias("raw"), *more)
 
 
 TRIMMED = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
@@ -461,11 +461,14 @@ def summaries_validated(spark, d):
 
 @query(rf"SELECT doc_id, CASE WHEN t = '' THEN NULL ELSE substr(t, 1, 300) END AS body FROM ({OUTPUTS}) WHERE n_bullets IS NOT NULL", with_views=False)
 def summary_texts(spark, d):
-    """The body of the first bullet, read back from the summary's text."""
-    s = _outputs(v.table(spark, d, "documents")).select("doc_id", model_output.summary(F.col("raw")).alias("s")).filter("s.found")
-    plain = model_output.summary_text(F.col("s"))
-    told = F.regexp_extract(plain, r"(?s)结构化要点:\n- b1：(.*?)\n- b2", 1)
-    return s.select("doc_id", F.nullif(F.when(told == "b1", "").when(told == "b1：", "").otherwise(told), F.lit("")).alias("body"))
+    """The body of the first bullet, read back from the summary's text, between the sentences and the second bullet; null for a text that says nothing."""
+    docs = v.table(spark, d, "documents")
+    s = _outputs(docs, F.coalesce("text", F.lit("")).rlike(r"[^\t\n\f\r ]").alias("says")).select("doc_id", "says", model_output.summary(F.col("raw")).alias("s")).filter("s.found")
+    s = s.select("doc_id", "says", "s", model_output.summary_text(F.col("s")).alias("plain"))
+    before = F.when(F.size("s.sentences") > 0, F.concat(F.lit("总结: "), F.array_join("s.sentences", " "), F.lit("\n"))).otherwise("")
+    rest = F.when(F.startswith("plain", before), F.substring("plain", F.length(before) + 1, F.length("plain")))
+    told = F.regexp_extract(rest, r"(?s)^结构化要点:\n- b1：(.*)\n- b2：a body that says enough\n", 1)  # the last of them: a text may have such a line too
+    return s.select("doc_id", F.when(F.col("says"), told).alias("body"))
 
 
 @query()

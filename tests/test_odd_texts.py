@@ -6,10 +6,10 @@ import pytest
 from leafmill.operators import display
 from leafmill.plans.registry import ORACLES, QUERIES
 
-TEXTS = [None, "", "   ", "\n\n", "\t", "\ttab", " two\r\nlines\r\n", "a\x85b c", "said — 依据：x and more", "said - 依据：y", "— 依据：", "：colon", "**b**：c", "## 总结"]
+TEXTS = [None, "", "   ", "\n\n", "\t", "\ttab", " two\r\nlines\r\n", "a\x85b c", "said — 依据：x and more", "said - 依据：y", "— 依据：", "：colon", "**b**：c", "## 总结", "]", "]} \"x\", [ and more", "b1", "b1：", "first\n- b2：second\n- b3：third", "结构化要点:\n- b1：x\n- b2：a body that says enough\ny"]
 
 
-@pytest.mark.parametrize("name", ["cards_structured"])
+@pytest.mark.parametrize("name", ["cards_structured", "summary_texts"])
 def test_rows_are_those_of_the_sql(spark, tmp_path, name):
     rows = [(i, t) for k, t in enumerate(TEXTS) for i in range(168 * k, 168 * k + 168)]  # each with all remainders
     rows += [(i, t) for k, t in enumerate(TEXTS) for i in (None, k, 400)]
